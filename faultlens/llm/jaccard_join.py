@@ -10,8 +10,11 @@ is counted exactly.
 
 A chunk of documents meets each signature once: its own classes with equal signatures
 are linked to one of them there, and only that one travels.  Groups over ALL classes are
-linked as stars; when the links are known, classes of one group that ended in different
-components are compared in a second step, so no pair is lost and no group is paired out.
+linked as stars.  When the links are known, classes that large groups connect and that
+ended in different components are compared in blocks, a pair of blocks a task: a bound
+from small histograms of the sets rules most pairs out, the rest are counted exactly, and
+a task returns only links that join components.  So no pair is lost and none is emitted
+but as a candidate star ray or a link.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ U = np.uint64
 N2, K2 = 3, 1
 ALL = 8
 PROFILE = "doc_id long, n_shingles long, class binary"
-FOUND = "pair boolean, sig long, a binary, na int, b binary, nb int"
-FOUND_ARROW = pa.schema([("pair", pa.bool_()), ("sig", pa.int64()), ("a", pa.binary()), ("na", pa.int32()), ("b", pa.binary()), ("nb", pa.int32())])
+BLOCK, BINS = 500_000, 256
+FOUND = "pair boolean, a binary, na int, b binary, nb int"
+FOUND_ARROW = pa.schema([("pair", pa.bool_()), ("a", pa.binary()), ("na", pa.int32()), ("b", pa.binary()), ("nb", pa.int32())])
 
 
 def shingle_sets(chunk: ta.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +162,8 @@ def link_groups(sig: np.ndarray, who: np.ndarray, names: np.ndarray, size: np.nd
     """Candidate pairs and members of the groups of equal signatures.
 
     sig sorted, who: index into names (n x 2) and size; a group has no class twice.
-    Returns pairs (two index arrays), members (sig, index), and which entries lead a group.
+    Returns pairs to compare, ties of members of large groups to their group's first one
+    (both rows of two indices), and which entries lead a group.
     """
     new = np.ones(len(sig), bool)
     new[1:] = sig[1:] != sig[:-1]
@@ -181,20 +186,19 @@ def link_groups(sig: np.ndarray, who: np.ndarray, names: np.ndarray, size: np.nd
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     fit = similar_sizes(size[a], size[b], ratio)
     pairs = np.unique(np.stack([a[fit], b[fit]], axis=1), axis=0)
-    member = many & big
-    return pairs, (sig[member], who[member]), new
+    ties = np.unique(np.stack([who[lead[star]], who[star]], axis=1), axis=0)
+    return pairs, ties, new
 
 
-def found_rows(out: blobs.Rows, pairs, members, names, size):
+def found_rows(out: blobs.Rows, pairs, ties, names, size):
     raw = [n.tobytes() for n in names]
-    for i, j in pairs:
-        out.add(True, None, raw[i], int(size[i]), raw[j], int(size[j]))
-    for s, i in zip(members[0].view(np.int64), members[1], strict=True):
-        out.add(False, int(s), raw[i], int(size[i]), None, None)
+    for kind, some in ((True, pairs), (False, ties)):
+        for i, j in some:
+            out.add(kind, raw[i], int(size[i]), raw[j], int(size[j]))
 
 
 def send_signatures(n: int, n_buckets: int, num: int, den: int):
-    """Chunks' signatures for the buckets (bucket >= 0) and what chunks find themselves (-1)."""
+    """Chunks' signatures for the buckets, and what chunks find themselves (buckets from n_buckets on)."""
 
     def run(batches):
         bands = Bands(num, den)
@@ -215,11 +219,11 @@ def send_signatures(n: int, n_buckets: int, num: int, den: int):
                 twice = np.zeros(len(sig), bool)
                 twice[1:] = (sig[1:] == sig[:-1]) & (who[1:] == who[:-1])
                 sig, who = sig[~twice], who[~twice]
-                pairs, members, lead = link_groups(sig, who, names, size, bands.ratio, True)
-                if len(pairs):
-                    head = np.array([len(names), len(pairs), len(members[0])], np.int64)
-                    rest = b"".join(x.tobytes() for x in (names, size.astype(np.int64), pairs.astype(np.int64), members[0], members[1].astype(np.int64)))
-                    out.add(0, -1, b"", head.tobytes() + rest)
+                pairs, ties, lead = link_groups(sig, who, names, size, bands.ratio, True)
+                if len(pairs) or len(ties):
+                    head = np.array([len(names), len(pairs), len(ties)], np.int64)
+                    rest = b"".join(x.astype(np.int64 if x is not names else np.uint64).tobytes() for x in (names, size, pairs, ties))
+                    out.add(0, n_buckets + int(names[0, 0] % U(n_buckets)), b"", head.tobytes() + rest)
                 sig, who = sig[lead], who[lead]
                 some, bounds = blobs.split(sig, n_buckets)
                 for k in some:
@@ -232,26 +236,25 @@ def send_signatures(n: int, n_buckets: int, num: int, den: int):
     return run
 
 
-def local_found(batches):
+def local_found(packed) -> pa.Table:
     """Rows of what chunks found by themselves."""
     out = blobs.Rows(FOUND_ARROW)
-    for batch in batches:
-        for e in batch.column(0):
-            e = e.as_py()
-            n, p, m = (int(x) for x in np.frombuffer(e, np.int64, 3))
-            names = np.frombuffer(e, np.uint64, 2 * n, 24).reshape(n, 2)
-            size = np.frombuffer(e, np.int64, n, 24 + 16 * n)
-            pairs = np.frombuffer(e, np.int64, 2 * p, 24 + 24 * n).reshape(p, 2)
-            at = 24 + 24 * n + 16 * p
-            found_rows(out, pairs, (np.frombuffer(e, np.uint64, m, at), np.frombuffer(e, np.int64, m, at + 8 * m)), names, size)
-            yield from out.ready()
-    yield out.flush()
-
-
-def match(num: int, den: int):
-    """Candidate pairs and members of large groups in one bucket of signatures."""
+    for e in packed:
+        e = e.as_py()
+        n, p, t = (int(x) for x in np.frombuffer(e, np.int64, 3))
+        names = np.frombuffer(e, np.uint64, 2 * n, 24).reshape(n, 2)
+        size = np.frombuffer(e, np.int64, n, 24 + 16 * n)
+        both = np.frombuffer(e, np.int64, 2 * (p + t), 24 + 24 * n).reshape(p + t, 2)
+        found_rows(out, both[:p], both[p:], names, size)
+    return pa.Table.from_batches([out.flush()])
+
+
+def match(num: int, den: int, n_buckets: int):
+    """Candidate pairs and ties of large groups in one bucket of signatures."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= n_buckets:
+            return local_found(table.column("extra"))
         sigs, names, sizes, who, base = [], [], [], [], 0
         for k, e in zip(table.column("keys"), table.column("extra"), strict=True):
             s, e = np.frombuffer(k.as_py(), np.uint64), e.as_py()
@@ -279,8 +282,8 @@ def match(num: int, den: int):
         twice = np.zeros(len(sig), bool)
         twice[1:] = (sig[1:] == sig[:-1]) & (who[1:] == who[:-1])
         out = blobs.Rows(FOUND_ARROW)
-        pairs, members, _ = link_groups(sig[~twice], who[~twice], kinds, sized, Fraction(num, den), False)
-        found_rows(out, pairs, members, kinds, sized)
+        pairs, ties, _ = link_groups(sig[~twice], who[~twice], kinds, sized, Fraction(num, den), False)
+        found_rows(out, pairs, ties, kinds, sized)
         return pa.Table.from_batches([out.flush()])
 
     return run
@@ -316,6 +319,40 @@ def verify(num: int, den: int):
     return run
 
 
+def compare_blocks(num: int, den: int):
+    """Links that join components between two blocks of a cluster, or inside one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("class").to_pylist()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("items")]
+        size = np.array([len(s) for s in sets])
+        own = table.column("own").to_numpy()
+        root, label = table.column("root").to_pylist(), {}
+        group = np.array([label.setdefault(r, len(label)) for r in root])
+        hist = np.stack([np.minimum(np.bincount((s >> U(20)).astype(np.int64) % BINS, minlength=BINS), 255) for s in sets]).astype(np.int16)
+        inside = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        links = []
+        for x in np.argsort(size):
+            other = (group != group[x]) & similar_sizes(size, size[x], Fraction(num, den))
+            if not inside:
+                other &= own > own[x]
+            y = np.flatnonzero(other)
+            if not len(y):
+                continue
+            apart = np.abs(hist[y] - hist[x]).sum(1)
+            y = y[apart * (num + den) <= (size[y] + size[x]) * (den - num)]
+            for k in y:
+                if group[k] != group[x]:
+                    both = np.sort(np.concatenate([sets[x], sets[k]]))
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if den * shared >= num * (len(both) - shared):
+                        links.append((names[x], names[k]))
+                        group[group == group[k]] = group[x]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return run
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """Profiles (doc_id, n_shingles, class) of all rows, and links (a, b) between classes."""
     ids, text = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
@@ -324,40 +361,32 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = blobs.number_for(total, 2_000_000)
     sent = docs.select(text).mapInArrow(send_signatures(n, n_buckets, num, den), blobs.ROW)
-    sent = store.materialize(sent.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.crc32("extra"))), "signatures", "none")
-    local = sent.where("bucket < 0").select("extra").mapInArrow(local_found, FOUND)
-    across = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(match(num, den), FOUND)
-    found = store.materialize(local.unionAll(across), "found")
-    store.drop(docs.sparkSession, sent)
+    found = store.materialize(sent.groupBy("bucket").applyInArrow(match(num, den, n_buckets), FOUND), "found")
     pairs = store.materialize(found.where("pair").select("a", "b").distinct(), "pairs")
-
-    def linked(some: DataFrame) -> DataFrame:
-        """Exact counts of candidate pairs: (a, b, linked)."""
-        wanted = some.select(F.col("a").alias("class")).unionAll(some.select("b")).distinct()
-        where = wanted.join(kinds, "class").select("least").distinct()
-        texts = docs.select(ids, text).join(where, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-        sets = texts.select("text").mapInArrow(set_rows(n), "class binary, items binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-        sets = store.materialize(sets, "sets", "none")
-        x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-        out = store.materialize(some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify(num, den), "a binary, b binary, linked boolean"), "tested")
-        store.drop(docs.sparkSession, sets)
-        return out
-
-    tested = linked(pairs)
-    links = tested.where("linked").select("a", "b")
-    members = found.where("NOT pair").select("sig", F.col("a").alias("class"), F.col("na").alias("size")).distinct()
+    ties = store.materialize(found.where("NOT pair").select("a", "b").distinct(), "ties")
+    wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).unionAll(ties.select("a")).unionAll(ties.select("b")).distinct()
+    where = wanted.join(kinds, "class").select("least").distinct()
+    texts = docs.select(ids, text).join(where, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    sets = texts.select("text").mapInArrow(set_rows(n), "class binary, items binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    sets = store.materialize(sets, "sets", "none")
+    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+    tested = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify(num, den), "a binary, b binary, linked boolean")
+    links = store.materialize(tested.where("linked").select("a", "b"), "linked")
+    return profiles, links.unionAll(block_links(ties, links, sets, num, den))
+
+
+def block_links(ties: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components among classes that ties connect, found in pairs of blocks."""
+    cluster = components(ties).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     label = components(links)
-    placed = members.join(label, members["class"] == label["node"], "left").select("sig", "class", "size", F.coalesce("root", "class").alias("root"))
-    placed = store.materialize(placed, "members")
-    split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    rest = placed.join(split, "sig")
-    other = rest.toDF("sig", "class_b", "size_b", "root_b")
-    near = (F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num) & (F.col("root") != F.col("root_b")) & (F.col("class") < F.col("class_b"))
-    more = rest.join(other, "sig").where(near).select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
-    more = store.materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionAll(linked(more).where("linked").select("a", "b"))
-    return profiles, links
+    placed = cluster.join(label, cluster["class"] == label["node"], "left").select("class", "cluster", F.coalesce("root", "class").alias("root"))
+    placed = store.materialize(placed, "placed")
+    whole = placed.join(sets.select("class", (F.octet_length("items") / 8).alias("size")), "class").groupBy("cluster")
+    split = whole.agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("cluster", "blocks")
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    rows = placed.join(split, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "root").join(sets, "class")
+    return store.materialize(rows.groupBy("cluster", "i", "j").applyInArrow(compare_blocks(num, den), "a binary, b binary"), "linked")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
