@@ -23,38 +23,37 @@ from . import textarrays as ta
 END = 2
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
-MEMO = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
 
 
 def encoder(path: str):
     """text -> its ids as little-endian 32-bit numbers.
 
-    Merges never cross the tokenizer's own split pattern, so each distinct split is encoded
-    once and remembered (at most MEMO of them at a time); a text with the special string
-    goes to the tokenizer whole.
+    The tokenizer's file gives the byte strings of its ids, in the order of its merges;
+    a rank encoder merges by the same order over the same splits and is several times
+    faster.  A text with the special string goes to the tokenizer itself.
     """
-    import regex
+    import json
+
+    import tiktoken
     from tokenizers import Tokenizer
 
     memo = ta.process_memo()
     if ("bpe", path) not in memo:
-        memo["bpe", path] = (Tokenizer.from_file(path), {}, regex.compile(PATTERN))
-    tokenizer, known, pattern = memo["bpe", path]
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in set(printable)]
+        byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(other)}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token != SPECIAL}
+        fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        memo["bpe", path] = (Tokenizer.from_file(path), fast)
+    tokenizer, fast = memo["bpe", path]
 
     def encode(text: str) -> bytes:
         if SPECIAL in text:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = pattern.findall(text)
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            if len(known) > MEMO:
-                known.clear()
-            new = list({p for p in parts if p not in known})
-            for p, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, parts))
+        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     return encode
 
