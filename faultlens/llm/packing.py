@@ -85,13 +85,12 @@ def cut(path: str, limit: int):
     return run
 
 
-def exact(count: np.ndarray, limit: int, first: int) -> tuple[int, ...] | None:
-    """Up to three available lengths that fill the gap beside `first` exactly, longest first."""
-    have = count.copy()
-    have[first] -= 1
-    gap = limit - first
+def exact(have: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
+    """Up to `most` (3) available lengths that fill a gap exactly, longest first."""
     if have[gap] > 0:
         return (gap,)
+    if most < 2:
+        return None
 
     def two(total: int, longest: int) -> tuple[int, int] | None:
         a = np.arange(min(longest, total - 1), (total + 1) // 2 - 1, -1)
@@ -100,7 +99,7 @@ def exact(count: np.ndarray, limit: int, first: int) -> tuple[int, ...] | None:
 
     if pair := two(gap, gap):
         return pair
-    for c in range(gap - 2, (gap + 2) // 3 - 1, -1):
+    for c in range(gap - 2 if most > 2 else 0, (gap + 2) // 3 - 1, -1):
         if have[c] > 0:
             have[c] -= 1
             pair = two(gap - c, min(c, gap - c - 1))
@@ -111,49 +110,36 @@ def exact(count: np.ndarray, limit: int, first: int) -> tuple[int, ...] | None:
 
 
 def plan(count: np.ndarray, limit: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The shortest of the plans with complements of at most three, two or one length."""
+    return min((fill_up(count, limit, most) for most in (3, 2, 1)), key=lambda p: sum(times for times, _ in p))
+
+
+def fill_up(count: np.ndarray, limit: int, most: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns (how often, [(length, how many)]) that use every piece once.
 
-    Each step uses up a length or a group of open sequences, so the list is short
-    whatever the counts are.
+    A sequence starts with the longest length left.  If up to `most` lengths fill its
+    gap exactly, they do; else the longest piece that fits goes in, and the smaller gap is
+    looked up again.  The content found is used as often as its lengths last, so the list
+    is short whatever the counts are.
     """
     count = count.copy()
-    done: list[tuple[int, list[int]]] = []
-    rest = []
-    if count[limit]:
-        done.append((int(count[limit]), [limit]))
-    for length in range(limit - 1, 0, -1):
+    out = []
+    for length in range(limit, 0, -1):
         while count[length] > 0:
-            fill = exact(count, limit, length)
-            if fill is None:
-                rest.append((length, int(count[length])))
-                count[length] = 0
-                break
-            need = np.bincount([length, *fill], minlength=limit + 1)
+            have, content, gap = count.copy(), [length], limit - length
+            have[length] -= 1
+            while gap and have[1 : gap + 1].any():
+                fill = exact(have, gap, most) or (int(np.flatnonzero(have[: gap + 1])[-1]),)
+                content += fill
+                for x in fill:
+                    have[x] -= 1
+                gap -= sum(fill)
+            need = np.bincount(content, minlength=limit + 1)
             used = np.flatnonzero(need)
             times = int((count[used] // need[used]).min())
             count -= times * need
-            done.append((times, [length, *fill]))
-    # residuals: open sequences in groups of one content, best fit first
-    opened: list[tuple[int, int, list[tuple[int, int]]]] = []  # gap, how many, content
-    for length, n in rest:
-        while n:
-            fits = [k for k, g in enumerate(opened) if g[0] >= length]
-            if not fits:
-                each = min(limit // length, n)
-                times = n // each
-                opened.append((limit - each * length, times, [(length, each)]))
-                n -= times * each
-                continue
-            k = min(fits, key=lambda k: opened[k][0])
-            gap, times, content = opened.pop(k)
-            each = min(gap // length, max(1, n // times))
-            use = min(times, n // each)
-            if use < times:
-                opened.append((gap, times - use, content))
-            opened.append((gap - each * length, use, [*content, (length, each)]))
-            n -= use * each
-    out = [(times, [(x, lengths.count(x)) for x in dict.fromkeys(lengths)]) for times, lengths in done]
-    return out + [(times, content) for _, times, content in opened]
+            out.append((times, [(x, content.count(x)) for x in dict.fromkeys(content)]))
+    return out
 
 
 class Places:
