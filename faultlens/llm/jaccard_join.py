@@ -35,7 +35,7 @@ U = np.uint64
 N2, K2 = 3, 1
 ALL = 8
 PROFILE = "doc_id long, n_shingles long, class binary"
-BLOCK, BINS = 500_000, 256
+BLOCK, BINS = 60_000, 256
 FOUND = "pair boolean, a binary, na int, b binary, nb int"
 FOUND_ARROW = pa.schema([("pair", pa.bool_()), ("a", pa.binary()), ("na", pa.int32()), ("b", pa.binary()), ("nb", pa.int32())])
 
@@ -204,7 +204,7 @@ def send_signatures(n: int, n_buckets: int, num: int, den: int):
         bands = Bands(num, den)
         out = blobs.Rows(blobs.KEYS)
         for batch in batches:
-            for c in ta.chunks(batch.column(0), 4 * ta.CHUNK):
+            for c in ta.chunks(batch.column(0)):
                 sets, first = shingle_sets(c, n)
                 names, size = classes(sets, first), np.diff(first)
                 _, one = np.unique(names, axis=0, return_index=True)
@@ -366,11 +366,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = store.materialize(found.where("NOT pair").select("a", "b").distinct(), "ties")
     wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).unionAll(ties.select("a")).unionAll(ties.select("b")).distinct()
     where = wanted.join(kinds, "class").select("least").distinct()
-    texts = docs.select(ids, text).join(where, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    texts = docs.select(ids, text).join(where.hint("merge"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     sets = texts.select("text").mapInArrow(set_rows(n), "class binary, items binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
     sets = store.materialize(sets, "sets", "none")
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    tested = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify(num, den), "a binary, b binary, linked boolean")
+    tested = pairs.hint("merge").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(verify(num, den), "a binary, b binary, linked boolean")
     links = store.materialize(tested.where("linked").select("a", "b"), "linked")
     return profiles, links.unionAll(block_links(ties, links, sets, num, den))
 
