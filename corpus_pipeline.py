@@ -1,16 +1,63 @@
-"""The corpus pipeline: stages over `documents`, each a whole table in and out."""
+"""The corpus pipeline: stages over `documents`, each a whole table in and out.
+
+Every stage works on what its predecessor kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultlens.llm import jaccard_join, language_id, line_dedup, mixing, packing, store
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language stay."""
+    store.sweep(spark, docs)
+    return language_id.known_languages(docs)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines are deleted; a document without a word left goes."""
+    store.sweep(spark, docs)
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = line_dedup.line_dedup(docs, carry=rest).where(F.col("n_removed") < F.col("n_lines"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), *(F.col(f"__{c}").alias(c) for c in rest), F.length("kept_text").cast("long").alias("n_chars")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingle similarity, the one with the smallest id stays."""
+    store.sweep(spark, docs)
+    return jaccard_join.one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    store.sweep(spark, docs)
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    store.sweep(spark, docs)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("mixing sources", mixed),
+    ("best-fit packing", packed),
+]
 
-STAGES: list = []
+#: Language ID and packing are beyond SQL; a brute-force version is in tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents, in order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

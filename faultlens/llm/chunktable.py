@@ -14,28 +14,35 @@ SCHEMA = "cid long, ids binary, known binary, offsets binary, raw long, data bin
 ARROW = pa.schema([("cid", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("offsets", pa.binary()), ("raw", pa.int64()), ("data", pa.binary())])
 
 
-def pack(batches):
-    from pyspark import TaskContext
-
-    cid = TaskContext.get().partitionId() << 32
-    out = blobs.Rows(ARROW)
-    for batch in batches:
-        ids = batch.column(0)
-        known = np.array(ids.is_valid(), bool) if len(ids) else np.zeros(0, bool)
-        ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for c in ta.chunks(batch.column(1)):
-            rows = slice(c.first, c.first + c.n)
-            data = pa.compress(c.data.tobytes(), codec="zstd", asbytes=True)
-            out.add(cid, ids[rows].tobytes(), known[rows].tobytes(), c.offsets.tobytes(), len(c.data), data)
-            cid += 1
-            yield from out.ready()
-    yield out.flush()
+def pack(extra=None, fields=()):
+    """Chunks of documents; extra(chunk, rows of the batch) adds binary columns of these names."""
+    schema = pa.schema([*ARROW, *((f, pa.binary()) for f in fields)])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        cid = TaskContext.get().partitionId() << 32
+        out = blobs.Rows(schema)
+        for batch in batches:
+            ids = batch.column(0)
+            known = np.array(ids.is_valid(), bool) if len(ids) else np.zeros(0, bool)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for c in ta.chunks(batch.column(1)):
+                rows = slice(c.first, c.first + c.n)
+                data = pa.compress(c.data.tobytes(), codec="zstd", asbytes=True)
+                more = extra(c, batch.slice(c.first, c.n)) if extra else ()
+                out.add(cid, ids[rows].tobytes(), known[rows].tobytes(), c.offsets.tobytes(), len(c.data), data, *more)
+                cid += 1
+                yield from out.ready()
+        yield out.flush()
+
+    return run
 
 
 def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Writes the chunks of docs once; a chunk's cid stays what it is from then on."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return store.materialize(rows.mapInArrow(pack, SCHEMA), "chunks", "none")
+    return store.materialize(rows.mapInArrow(pack(), SCHEMA), "chunks", "none")
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, ta.Chunk]:

@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs, store
@@ -34,7 +34,6 @@ from .components import components
 U = np.uint64
 N2, K2 = 3, 1
 ALL = 8
-PROFILE = "doc_id long, n_shingles long, class binary"
 BLOCK, BINS = 60_000, 256
 FOUND = "pair boolean, a binary, na int, b binary, nb int"
 FOUND_ARROW = pa.schema([("pair", pa.bool_()), ("a", pa.binary()), ("na", pa.int32()), ("b", pa.binary()), ("nb", pa.int32())])
@@ -79,15 +78,17 @@ def classes(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def profile(n: int):
+    """All columns but the first, the text, with n_shingles and class."""
+
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary())])
         for batch in batches:
-            for c in ta.chunks(batch.column(1)):
+            for c in ta.chunks(batch.column(0)):
                 sets, first = shingle_sets(c, n)
                 size = np.diff(first)
                 name = classes(sets, first)
                 names = pa.array([name[k].tobytes() if size[k] else None for k in range(c.n)], pa.binary())
-                yield pa.record_batch([batch.column(0).slice(c.first, c.n), pa.array(size), names], schema=schema)
+                rest = [x.slice(c.first, c.n) for x in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(size), names], [*batch.schema.names[1:], "n_shingles", "class"])
 
     return run
 
@@ -353,10 +354,12 @@ def compare_blocks(num: int, den: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Profiles (doc_id, n_shingles, class) of all rows, and links (a, b) between classes."""
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, carry: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Profiles (doc_id, carried columns, n_shingles, class) of all rows, and links (a, b) between classes."""
     ids, text = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    profiles = store.materialize(docs.select(ids, text).mapInArrow(profile(n), PROFILE), "profiles")
+    rows = docs.select(text, ids, *carry)
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
+    profiles = store.materialize(rows.mapInArrow(profile(n), f"{plain}, n_shingles long, class binary"), "profiles")
     kinds = profiles.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = blobs.number_for(total, 2_000_000)
@@ -389,15 +392,15 @@ def block_links(ties: DataFrame, links: DataFrame, sets: DataFrame, num: int, de
     return store.materialize(rows.groupBy("cluster", "i", "j").applyInArrow(compare_blocks(num, den), "a binary, b binary"), "linked")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, carry: tuple[Column, ...] = ()) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of n-word shingles, num / den or more.
 
     Returns doc_id, n_shingles and component_id, the smallest doc_id reachable by links,
     for every row.  A text without words (or null) has no shingles and no links; a text of
     fewer than n words is one shingle.  Rows without an id link like others, and lend no
-    id to their component.  Other columns are not read.
+    id to their component.  Other columns are not read; columns in carry come along.
     """
-    profiles, links = jaccard_classes(docs, id_col, text_col, n, num, den)
+    profiles, links = jaccard_classes(docs, id_col, text_col, n, num, den, carry)
     label = components(links)
     kinds = profiles.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     roots = kinds.join(label, kinds["class"] == label["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
@@ -405,7 +408,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(best, "root").select("class", "component_id")
     out = profiles.join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select(*profiles.drop("class").columns, F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that lead their group: those with its smallest id, each once.
+
+    A row without an id stays if no row with an id is in its group.
+    """
+    key = store.key_of(id_col, text_col).alias("__key")
+    groups = jaccard_join(docs, id_col, text_col, carry=(key,), **how)
+    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__key").distinct()
+    kept = docs.withColumn("__key", store.key_of(id_col, text_col)).join(leads.hint("merge"), "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -151,11 +151,12 @@ class Model:
 
 
 def predictor(model: Model):
+    """Adds lang_pred and score to all columns but the first, the text to judge."""
+
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
         weights = [np.ascontiguousarray(model.weights[:, k]) for k in range(len(model.pairs))]
         for batch in batches:
-            for c in ta.chunks(batch.column(1)):
+            for c in ta.chunks(batch.column(0)):
                 good = has_letter(c)
                 margins = np.zeros((c.n, len(weights)))
                 idx = features(c.data)
@@ -170,7 +171,8 @@ def predictor(model: Model):
                 else:
                     names, score = [UNKNOWN] * c.n, np.zeros(c.n)
                 score = np.where(good, score, 0.0) if model.langs else score
-                yield pa.record_batch([batch.column(0).slice(c.first, c.n), pa.array(names, pa.string()), pa.array(score)], schema=schema)
+                rest = [x.slice(c.first, c.n) for x in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
 
     return run
 
@@ -209,10 +211,22 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns doc_id, held_out, lang_pred, score for every row.
     """
     model = learn(docs, id_col, text_col, lang_col, bound)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(predictor(model), "doc_id long, lang_pred string, score double")
+    out = judged(docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id")), model)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def judged(rows: DataFrame, model: Model) -> DataFrame:
+    """rows without their first column, the text, with lang_pred and score."""
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
+    return rows.mapInArrow(predictor(model), f"{plain}, lang_pred string, score double")
+
+
+def known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 2000) -> DataFrame:
+    """The rows of docs whose text is in a language, with docs' columns; a null language is filled in."""
+    model = learn(docs, id_col, text_col, lang_col, bound)
+    out = judged(docs.select(F.col(text_col).cast("string").alias("__text"), "*"), model).where(F.col("lang_pred") != UNKNOWN)
+    return out.withColumn(lang_col, F.coalesce(lang_col, "lang_pred")).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return language_id(store.table(spark, sf_dir, "documents"))

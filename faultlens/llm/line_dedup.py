@@ -27,22 +27,20 @@ from .quality_rules import Lines
 from .substring_dedup import answer_shared
 
 U = np.uint64
-LINES = "rows binary, a binary, b binary"
+LINES = "rows binary, a binary, b binary, rest binary"
 REPEATED = "cid long, l int, left int, doc long, a long, b long"
 
 
-def pack(batches):
-    """Chunks of documents, with the row and a 128-bit hash of each line beside them."""
-    schema = pa.schema([*ct.ARROW, ("rows", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-    for batch in ct.pack(batches):
-        extra: list[list[bytes]] = [[], [], []]
-        for r in ct.each([batch]):
-            chunk = ct.unpack(r)[2]
-            lines = Lines(chunk)
-            extra[0].append(lines.row.astype(np.int32).tobytes())
-            for lane in (0, 1):
-                extra[1 + lane].append(chunk.span_hashes(lines.begin, lines.end, lane).tobytes())
-        yield pa.record_batch([*batch.columns, *(pa.array(x, pa.binary()) for x in extra)], schema=schema)
+def beside(c: ta.Chunk, rows: pa.RecordBatch) -> list[bytes]:
+    """The row and a 128-bit hash of each line of a chunk, and the carried columns."""
+    lines = Lines(c)
+    rest = pa.record_batch(rows.columns[2:], names=rows.schema.names[2:]) if rows.num_columns > 2 else None
+    sink = pa.BufferOutputStream()
+    if rest is not None:
+        with pa.ipc.new_stream(sink, rest.schema) as w:
+            w.write_batch(rest)
+    hashes = [c.span_hashes(lines.begin, lines.end, lane).tobytes() for lane in (0, 1)]
+    return [lines.row.astype(np.int32).tobytes(), *hashes, sink.getvalue().to_pybytes()]
 
 
 def line_arrays(r: dict):
@@ -128,7 +126,9 @@ def suffix_ranks(lines: DataFrame, min_lines: int) -> DataFrame:
         both = store.materialize(both, "doubling")
         keys = ["rank", "next", "t", "s"]
         better = ranked(both.groupBy(*keys).agg(F.count("*").alias("n")), keys, "ranks")
+        old = ranks
         ranks = store.materialize(both.join(better, keys).select("cid", "l", "left", "doc", F.col("place").alias("rank"), "n", "interval"), "suffixes")
+        store.drop(old.sparkSession, old, both, better)
         width *= 2
 
 
@@ -214,12 +214,16 @@ def cut_lines(min_lines: int):
                 left = b"".join(parts)
                 texts.append((left[:-1] if at == end and len(parts) > 1 and left.endswith(b"\n") and not raw[:end].endswith(b"\n") else left).decode("utf-8", "replace"))
             per = [np.diff(lines.bounds), *(np.add.reduceat(np.append(x, 0).astype(np.int64), lines.bounds[:-1]) * (np.diff(lines.bounds) > 0) for x in (gone, opens)), longest]
-            yield pa.record_batch([pa.array(ids, mask=~known), *(pa.array(x) for x in per), pa.array(texts, pa.string())], schema=TEXTS)
+            out = pa.record_batch([pa.array(ids, mask=~known), *(pa.array(x) for x in per), pa.array(texts, pa.string())], schema=TEXTS)
+            if r["rest"]:
+                rest = pa.ipc.open_stream(r["rest"]).read_next_batch()
+                out = pa.RecordBatch.from_arrays([*out.columns, *rest.columns], [*out.schema.names, *rest.schema.names])
+            yield out
 
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Deletes later copies of runs of min_lines (a power of two) or more equal lines.
 
     The first copy is the one with the smallest (id, line).  Lines without a word are no
@@ -227,12 +231,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     loses lines.  Rows of one id are in the order in which they are read.
 
     Returns doc_id, n_lines (with a word), n_removed, n_runs (stretches removed),
-    longest_run (longest run shared with the neighbour in the suffix array) and kept_text.
+    longest_run (longest run shared with the neighbour in the suffix array), kept_text, and
+    the columns named in carry as __name.
     """
     if min_lines & (min_lines - 1) or min_lines < 1:
         raise ValueError("min_lines must be a power of two")
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    table = store.materialize(rows.mapInArrow(pack, f"{ct.SCHEMA}, {LINES}"), "chunks", "none")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"__{c}") for c in carry))
+    packed = ct.pack(beside, ("rows", "a", "b", "rest"))
+    table = store.materialize(rows.mapInArrow(packed, f"{ct.SCHEMA}, {LINES}"), "chunks", "none")
     narrow = table.select("cid", "ids", "known", "rows", "a", "b")
     n = blobs.number_for(store.total_bytes(table), 64 << 20)
     shared = store.materialize(ct.gathered(narrow.mapInArrow(send_lines(n), blobs.ROW), answer_shared), "shared")
@@ -245,7 +251,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = later.groupBy("cid").agg(F.collect_list("l").alias("later"))
     runs = lcp.groupBy("cid").agg(F.collect_list(F.struct("l", "lcp")).alias("lcps"))
     marked = store.materialize(marks.join(runs, "cid", "full"), "marks")
-    return table.drop("rows", "a", "b").join(marked, "cid", "left").mapInArrow(cut_lines(min_lines), OUT)
+    return table.drop("rows", "a", "b").join(marked, "cid", "left").mapInArrow(cut_lines(min_lines), ", ".join([OUT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

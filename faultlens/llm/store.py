@@ -29,8 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Tables and folders made in this process that nothing has deleted yet.
+_made: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/faultlens/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/faultlens/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    _made.discard(path)
+
+
+def sweep(spark: SparkSession, docs: DataFrame) -> None:
+    """Deletes all that earlier steps left, but for what docs reads.
+
+    Only for a chain of steps whose results are written one by one.
+    """
+    used = " ".join(docs.inputFiles())
+    for path in [p for p in _made if p.rsplit("/", 1)[1] not in used]:
+        delete(spark, path)
+    release(spark)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -51,13 +74,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table that materialize() wrote and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and nothing reads any more."""
+    for df in frames:
+        read = " ".join(df.inputFiles())
+        for path in [p for p in _made if p.rsplit("/", 1)[1] in read]:
+            delete(spark, path)
 
 
 def total_bytes(df: DataFrame) -> int:
