@@ -1 +1 @@
-"""."""
+"""Column functions: signatures, text and JSON pieces."""

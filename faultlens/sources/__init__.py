@@ -1 +1 @@
-"""."""
+"""Readers and writers of corpora, documents and reports."""

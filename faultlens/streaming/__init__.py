@@ -1 +1 @@
-"""."""
+"""Incremental triage over file streams."""
