@@ -62,7 +62,7 @@ def each(batches):
 def with_replies(table: DataFrame, **replies: DataFrame) -> DataFrame:
     """Each chunk with its replies: one array of (bucket, bits) per named set."""
     for name, r in replies.items():
-        table = table.join(r.withColumnRenamed("replies", name), "cid", "left")
+        table = table.join(r.withColumnRenamed("replies", name).hint("merge"), "cid", "left")
     return table
 
 

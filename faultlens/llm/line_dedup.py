@@ -108,7 +108,7 @@ def ranked(counted: DataFrame, keys: list[str], name: str) -> DataFrame:
 def suffix_ranks(lines: DataFrame, min_lines: int) -> DataFrame:
     """Prefix doubling: cid, l, left, doc, rank, and interval, the rank of the first min_lines lines."""
     first = ranked(lines.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "ranks")
-    ranks = lines.join(first, ["a", "b"]).select("cid", "l", "left", "doc", F.col("place").alias("rank"), "n", F.lit(None).cast("long").alias("interval"))
+    ranks = lines.join(first.hint("merge"), ["a", "b"]).select("cid", "l", "left", "doc", F.col("place").alias("rank"), "n", F.lit(None).cast("long").alias("interval"))
     ranks = store.materialize(ranks, "suffixes")
     width = 1
     while True:
@@ -120,14 +120,14 @@ def suffix_ranks(lines: DataFrame, min_lines: int) -> DataFrame:
         onward = ranks.select("cid", (F.col("l") - width).alias("l"), F.col("rank").alias("next"))
         inside = F.col("left") > width
         alone = inside & F.col("next").isNull()
-        both = ranks.drop("n").join(onward, ["cid", "l"], "left")
+        both = ranks.drop("n").join(onward.hint("merge"), ["cid", "l"], "left")
         both = both.withColumn("t", F.when(alone, F.col("cid")).otherwise(0)).withColumn("s", F.when(alone, F.col("l") + width).otherwise(0))
         both = both.withColumn("next", F.when(inside, F.coalesce("next", F.lit(-2))).otherwise(-1).cast("long"))
         both = store.materialize(both, "doubling")
         keys = ["rank", "next", "t", "s"]
         better = ranked(both.groupBy(*keys).agg(F.count("*").alias("n")), keys, "ranks")
         old = ranks
-        ranks = store.materialize(both.join(better, keys).select("cid", "l", "left", "doc", F.col("place").alias("rank"), "n", "interval"), "suffixes")
+        ranks = store.materialize(both.join(better.hint("merge"), keys).select("cid", "l", "left", "doc", F.col("place").alias("rank"), "n", "interval"), "suffixes")
         store.drop(old.sparkSession, old, both, better)
         width *= 2
 
@@ -138,17 +138,17 @@ def common_prefixes(ranks: DataFrame, table: DataFrame) -> DataFrame:
     array = ranked(ranks.select("rank", "doc", "cid", "l", F.lit(1).cast("long").alias("n")), order, "array")
     array = store.materialize(array.select("cid", "l", F.col("place").alias("g")), "array")
     before = array.select((F.col("g") + 1).alias("g"), F.col("cid").alias("cid0"), F.col("l").alias("l0"))
-    pairs = store.materialize(array.join(before, "g").select("cid", "l", "cid0", "l0"), "neighbours")
+    pairs = store.materialize(array.join(before.hint("merge"), "g").select("cid", "l", "cid0", "l0"), "neighbours")
     above = pairs.select("cid", (F.col("l") + 1).alias("l"), F.col("cid0").alias("cid1"), (F.col("l0") + 1).alias("l1"))
     told = (F.col("cid0") == F.col("cid1")) & (F.col("l0") == F.col("l1"))
-    joined = pairs.join(above, ["cid", "l"], "left").withColumn("told", F.coalesce(told, F.lit(False)))
+    joined = pairs.join(above.hint("merge"), ["cid", "l"], "left").withColumn("told", F.coalesce(told, F.lit(False)))
     arrays = table.select("cid", "rows", "a", "b")
     starts = joined.where("NOT told")
-    mine = starts.groupBy("cid").agg(F.collect_list(F.struct("l", "cid0", "l0")).alias("want")).join(arrays, "cid").mapInArrow(tails(True), "cid long, l int, cid0 long, l0 int, tail binary")
+    mine = starts.groupBy("cid").agg(F.collect_list(F.struct("l", "cid0", "l0")).alias("want")).hint("merge").join(arrays, "cid").mapInArrow(tails(True), "cid long, l int, cid0 long, l0 int, tail binary")
     asked = starts.groupBy("cid0").agg(F.collect_list(F.struct(F.col("l0").alias("l"), F.col("cid").alias("cid0"), F.col("l").alias("l0"))).alias("want"))
-    theirs = asked.withColumnRenamed("cid0", "cid").join(arrays, "cid").mapInArrow(tails(False), "cid0 long, l0 int, cid long, l int, tail0 binary")
-    counted = mine.join(theirs, ["cid", "l", "cid0", "l0"]).select("cid", "l", "tail", "tail0").mapInArrow(shared_lines, "cid long, l int, lcp int")
-    known = joined.select("cid", "l").join(counted, ["cid", "l"], "left")
+    theirs = asked.withColumnRenamed("cid0", "cid").hint("merge").join(arrays, "cid").mapInArrow(tails(False), "cid0 long, l0 int, cid long, l int, tail0 binary")
+    counted = mine.hint("merge").join(theirs, ["cid", "l", "cid0", "l0"]).select("cid", "l", "tail", "tail0").mapInArrow(shared_lines, "cid long, l int, lcp int")
+    known = joined.select("cid", "l").join(counted.hint("merge"), ["cid", "l"], "left")
     start = F.last(F.when(F.col("lcp").isNotNull(), F.struct("l", "lcp")), True).over(Window.partitionBy("cid").orderBy("l"))
     return known.select("cid", "l", F.greatest(F.lit(0), start["lcp"] - (F.col("l") - start["l"])).alias("lcp"))
 
@@ -247,11 +247,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lcp = store.materialize(common_prefixes(ranks, table).where(F.col("lcp") >= min_lines), "lcp")
     inside = ranks.where("interval IS NOT NULL")
     heads = inside.groupBy("interval").agg(F.min(F.struct("doc", "cid", "l")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    later = inside.join(heads, "interval").where((F.col("cid") != F.col("head.cid")) | (F.col("l") != F.col("head.l")))
+    later = inside.join(heads.hint("merge"), "interval").where((F.col("cid") != F.col("head.cid")) | (F.col("l") != F.col("head.l")))
     marks = later.groupBy("cid").agg(F.collect_list("l").alias("later"))
     runs = lcp.groupBy("cid").agg(F.collect_list(F.struct("l", "lcp")).alias("lcps"))
-    marked = store.materialize(marks.join(runs, "cid", "full"), "marks")
-    return table.drop("rows", "a", "b").join(marked, "cid", "left").mapInArrow(cut_lines(min_lines), ", ".join([OUT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])]))
+    marked = store.materialize(marks.hint("merge").join(runs, "cid", "full"), "marks")
+    return table.drop("rows", "a", "b").join(marked.hint("merge"), "cid", "left").mapInArrow(cut_lines(min_lines), ", ".join([OUT, *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
