@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatchcase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,19 +14,46 @@ from faultlens.functions.text import basename
 SKIPPED = "README.txt"
 
 
-def corpus(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None, content: bool = True) -> DataFrame:
+def corpus(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None, content: bool = True, empty: bool = True) -> DataFrame:
     """path, file, size, modified and content of the files of a directory, without README.txt.
 
     With content=False the bytes are pruned from the scan.  Names that start with _ or .
-    are hidden from Spark's readers.
+    are hidden from Spark's readers.  Spark also leaves out empty files; they are added
+    from a listing by the driver, which empty=False saves for very many files.
     """
+    filesystem(spark, path)[0].setVerifyChecksum(False)  # a checksum file's name can't have a colon, local corpora do
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     rows = reader.load(path).withColumn("file", basename(F.col("path"))).where(F.col("file") != SKIPPED)
     if not recursive:
         rows = rows.where(F.substring_index("path", "/", -2) == F.concat(F.lit(path.rstrip("/").rsplit("/", 1)[-1] + "/"), F.col("file")))
-    return rows.select("path", "file", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+    rows = rows.select("path", "file", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+    if not empty or not (found := empty_files(spark, path, recursive, glob)):
+        return rows
+    more = spark.createDataFrame(found, "path string, file string, size long, millis long")
+    bytes_ = [F.lit(b"").alias("content")] if content else []
+    return rows.unionByName(more.select("path", "file", "size", F.timestamp_millis("millis").alias("modified"), *bytes_))
+
+
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def empty_files(spark: SparkSession, path: str, recursive: bool, glob: str | None) -> list[tuple]:
+    """(path, name, 0, modified) of files without a byte."""
+    fs, first = filesystem(spark, path)
+    folders, out = [first], []
+    while folders:
+        for f in fs.listStatus(folders.pop()):
+            name = f.getPath().getName()
+            if f.isDirectory():
+                folders += [f.getPath()] if recursive else []
+            elif f.getLen() == 0 and name != SKIPPED and name[0] not in "_." and (glob is None or fnmatchcase(name, glob)):
+                out.append((f.getPath().toString(), name, 0, f.getModificationTime()))
+    return out
 
 
 def latest(files: DataFrame) -> DataFrame:
