@@ -151,7 +151,7 @@ class Model:
 
 
 def predictor(model: Model):
-    """Adds lang_pred and score to all columns but the first, the text to judge."""
+    """Adds __lang_pred and __score to all columns but the first, the text to judge."""
 
     def run(batches):
         weights = [np.ascontiguousarray(model.weights[:, k]) for k in range(len(model.pairs))]
@@ -172,7 +172,7 @@ def predictor(model: Model):
                     names, score = [UNKNOWN] * c.n, np.zeros(c.n)
                 score = np.where(good, score, 0.0) if model.langs else score
                 rest = [x.slice(c.first, c.n) for x in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[1:], "__lang_pred", "__score"])
 
     return run
 
@@ -212,20 +212,20 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     model = learn(docs, id_col, text_col, lang_col, bound)
     out = judged(docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id")), model)
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def judged(rows: DataFrame, model: Model) -> DataFrame:
-    """rows without their first column, the text, with lang_pred and score."""
+    """rows without their first column, the text, with __lang_pred and __score."""
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
-    return rows.mapInArrow(predictor(model), f"{plain}, lang_pred string, score double")
+    return rows.mapInArrow(predictor(model), f"{plain}, __lang_pred string, __score double")
 
 
 def known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 2000) -> DataFrame:
     """The rows of docs whose text is in a language, with docs' columns; a null language is filled in."""
     model = learn(docs, id_col, text_col, lang_col, bound)
-    out = judged(docs.select(F.col(text_col).cast("string").alias("__text"), "*"), model).where(F.col("lang_pred") != UNKNOWN)
-    return out.withColumn(lang_col, F.coalesce(lang_col, "lang_pred")).select(*docs.columns)
+    out = judged(docs.select(F.col(text_col).cast("string").alias("__text"), "*"), model).where(F.col("__lang_pred") != UNKNOWN)
+    return out.withColumn(lang_col, F.coalesce(lang_col, "__lang_pred")).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
