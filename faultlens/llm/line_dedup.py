@@ -247,6 +247,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lcp = store.materialize(common_prefixes(ranks, table).where(F.col("lcp") >= min_lines), "lcp")
     inside = ranks.where("interval IS NOT NULL")
     heads = inside.groupBy("interval").agg(F.min(F.struct("doc", "cid", "l")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    heads = store.materialize(heads, "heads")  # then both sides of the join are plain exchanges, which can be split
     later = inside.join(heads.hint("merge"), "interval").where((F.col("cid") != F.col("head.cid")) | (F.col("l") != F.col("head.l")))
     marks = later.groupBy("cid").agg(F.collect_list("l").alias("later"))
     runs = lcp.groupBy("cid").agg(F.collect_list(F.struct("l", "lcp")).alias("lcps"))

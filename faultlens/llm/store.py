@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,8 +69,16 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Seconds between two clean-ups at least, and when the last one was.
+PAUSE = 4.0
+_last = [0.0]
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that are gone."""
+    """Lets Spark's cleaner drop the shuffle files of frames that are gone, now and then."""
+    if time.monotonic() - _last[0] < PAUSE:
+        return
+    _last[0] = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
