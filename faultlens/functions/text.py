@@ -70,3 +70,23 @@ def hex_escapes(c: Column) -> Column:
 
 def title(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def first_index(c: Column, needle: str) -> Column:
+    """Place of the first needle from 0, -1 if there is none."""
+    return F.locate(needle, c) - 1
+
+
+def last_index(c: Column, needle: str) -> Column:
+    """Place of the last needle from 0, -1 if there is none."""
+    back = F.locate(needle[::-1], F.reverse(c))
+    return F.when(back == 0, -1).otherwise(F.length(c) - back - len(needle) + 1)
+
+
+def seconds(c: Column) -> Column:
+    """Rounded to hundredths, halves to even."""
+    return F.bround(c, 2)
+
+
+def with_extension(c: Column, old: str, new: str) -> Column:
+    return F.regexp_replace(c, rf"\{old}$", new)

@@ -60,3 +60,16 @@ def reduction(rows: DataFrame, column: str) -> DataFrame:
     per = rows.groupBy(column).agg(F.count("*").alias("n"))
     out = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"), F.count("*").alias("after"))
     return out.select("before", "after", (F.col("before") - F.col("after")).alias("dropped"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """Each metrics row as one JSON object, nulls left out."""
+    return rows.select("target_id", F.to_json(F.struct(*(c for c in rows.columns if c != "target_id"))).alias("json"))
+
+
+def score_lines(scores: DataFrame, key: str) -> DataFrame:
+    """The printed summary of each binary as ordered rows: key, part, place, line."""
+    part = lambda name, items: F.transform(items, lambda x, i: F.struct(F.lit(name).alias("part"), i.cast("long").alias("place"), x.alias("line")))
+    one = lambda c: F.array(F.col(c).cast("string"))
+    parts = (part("level", one("protection_level")), part("difficulty", one("exploit_difficulty")), part("required", F.col("required_techniques")), part("vulnerable", F.col("vulnerable_areas")))
+    return scores.select(key, F.inline(F.concat(*parts)))

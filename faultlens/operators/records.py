@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,20 @@ def extract(responses: DataFrame, key: str = "id", text: str = "response", schem
     return out.select(key, "json", F.from_json("json", schema).alias("record"), error.alias("error"), F.when(error.isNotNull(), F.col(text)).alias("raw_response"))
 
 
+def classify(rows: DataFrame, answer: Callable[[list[str]], list[str]], key: str = "id", text: str = "context") -> DataFrame:
+    """key and response of a caller's own model for each prompt, batch by batch.
+
+    The one place where Python sees rows; answer takes and returns as many texts.
+    """
+
+    def run(batches):
+        for b in batches:
+            yield b[[key]].assign(response=answer(b[text].tolist()))
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, response string")
+
+
 def valid_label(c: Column, labels: tuple[str, ...] = LABELS) -> Column:
     return F.when(c.isin(*labels), c).otherwise("unknown")
 
@@ -69,8 +85,8 @@ def prompt(groups: DataFrame, sources: DataFrame | None = None, scores: DataFram
     return out.select(*groups.columns, F.concat_ws("\n\n", *parts).alias("context"))
 
 
-def metadata(records: DataFrame) -> DataFrame:
-    """A descriptive record of each classification: name, type, basename, confidence, severity."""
+def metadata(records: DataFrame, *keys: str) -> DataFrame:
+    """A descriptive record of each classification: name, type, basename, confidence, severity, after keys."""
     base = F.element_at(F.split("binary_path", "/"), -1)
     kind = get(F.col("vulnerability_type"), "unknown")
-    return records.select(F.concat_ws("_", kind, base).alias("name"), kind.alias("vulnerability_type"), base.alias("target"), get(F.col("confidence"), 0.0).alias("confidence"), get(F.col("severity"), "Unknown").alias("severity"))
+    return records.select(*keys, F.concat_ws("_", kind, base).alias("name"), kind.alias("vulnerability_type"), base.alias("target"), get(F.col("confidence"), 0.0).alias("confidence"), get(F.col("severity"), "Unknown").alias("severity"))

@@ -363,3 +363,58 @@ def existing_artifacts(t: Tables) -> DataFrame:
     wanted = t.nation.where("n_nationkey < 5").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name"))
     have = t.documents.select(F.col("source").alias("name")).distinct()
     return have.join(wanted, "name", "left_semi").select("name", F.octet_length("name").cast("long").alias("size"))
+
+
+@query(f"""WITH f AS ({FLAGS_SQL}), s AS (SELECT *, {_N} AS n FROM f), l AS (SELECT p_partkey, n, {_labels(True)} AS t, {_labels(False)} AS v FROM s),
+a AS (SELECT p_partkey, 'level' AS part, [CASE WHEN n >= 4 THEN 'High' WHEN n >= 2 THEN 'Medium' ELSE 'Low' END] AS x FROM l UNION ALL SELECT p_partkey, 'difficulty', [CASE WHEN n >= 4 THEN 'Hard' WHEN n >= 2 THEN 'Medium' ELSE 'Easy' END] FROM l
+  UNION ALL SELECT p_partkey, 'required', t FROM l UNION ALL SELECT p_partkey, 'vulnerable', v FROM l)
+SELECT p_partkey, part, CAST(unnest(range(0, len(x))) AS BIGINT) AS place, unnest(x) AS line FROM a""")
+def score_summary_lines(t: Tables) -> DataFrame:
+    return metrics.score_lines(hardening.score(t.sql(FLAGS)), "p_partkey")
+
+
+@query("SELECT doc_id, CAST(instr(text, 'e') - 1 AS BIGINT) AS first, CAST(CASE WHEN contains(text, 'e') THEN length(text) - instr(reverse(text), 'e') ELSE -1 END AS BIGINT) AS last FROM documents")
+def index_functions(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", tx.first_index(F.col("text"), "e").cast("long").alias("first"), tx.last_index(F.col("text"), "e").cast("long").alias("last"))
+
+
+@query("SELECT o_orderkey, round_even(o_totalprice / 7, 2) AS seconds FROM orders")
+def rounded_seconds(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", tx.seconds(F.col("o_totalprice") / 7).alias("seconds"))
+
+
+@query("SELECT p_partkey, concat(replace(p_type, ' ', '_'), '_', p_brand) AS name, replace(p_type, ' ', '_') AS vulnerability_type, p_brand AS target, 0.0::DOUBLE AS confidence, 'Unknown' AS severity FROM part")
+def record_metadata(t: Tables) -> DataFrame:
+    rows = t.part.select("p_partkey", F.replace("p_type", F.lit(" "), F.lit("_")).alias("vulnerability_type"), F.concat(F.lit("/bin/"), "p_brand").alias("binary_path"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("severity"))
+    return records.metadata(rows, "p_partkey")
+
+
+@query("SELECT s_suppkey, CASE WHEN contains(s_name, '1') THEN 'x86_64' WHEN contains(s_name, '2') OR contains(s_name, '3') THEN 'i386' ELSE 'unknown' END AS architecture, NOT contains(s_name, '4') AS stripped FROM supplier")
+def file_facts(t: Tables) -> DataFrame:
+    kind = F.when(F.col("s_name").contains("1"), "x86-64").when(F.col("s_name").contains("2"), "i386").when(F.col("s_name").contains("3"), "80386").otherwise("MIPS")
+    text = F.concat(F.lit("ELF, "), kind, F.when(F.col("s_name").contains("4"), ", not stripped").otherwise(", stripped"))
+    info = hardening.file_info(text)
+    return t.supplier.select("s_suppkey", info["architecture"].alias("architecture"), info["stripped"].alias("stripped"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '__memcpy_chk,__strcpy_chk' WHEN p_size % 3 = 1 THEN '__printf_chk' ELSE '' END AS fortified, p_size % 3 < 2 AS enabled FROM part")
+def fortify_facts(t: Tables) -> DataFrame:
+    text = F.when(F.col("p_size") % 3 == 0, "x __strcpy_chk y __memcpy_chk __strcpy_chk").when(F.col("p_size") % 3 == 1, "a __printf_chk@b").otherwise("none _chk")
+    found = hardening.fortify(text)
+    return t.part.select("p_partkey", F.array_join(found["fortified_functions"], ",").alias("fortified"), found["enabled"].alias("enabled"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'strcpy,gets' ELSE '' END AS dangerous, CAST(CASE WHEN p_size % 2 = 0 THEN 3 ELSE 1 END AS BIGINT) AS imported FROM part")
+def symbol_facts(t: Tables) -> DataFrame:
+    text = F.when(F.col("p_size") % 2 == 0, "   U strcpy@GLIBC_2\n  U puts\n0001 U gets\n0002 T main").otherwise("  U exit\n\n")
+    found = hardening.symbols(text)
+    return t.part.select("p_partkey", F.array_join(found["dangerous_functions_found"], ",").alias("dangerous"), found["total_imported_functions"].alias("imported"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 1 AS nx, p_size % 2 = 0 AS pie, CAST(p_size % 4 AS BIGINT) AS libraries, CASE WHEN p_size % 5 = 0 THEN '__stack_chk_fail' ELSE '' END AS canary FROM part")
+def tool_facts(t: Tables) -> DataFrame:
+    stack = F.when(F.col("p_size") % 3 == 0, "  GNU_STACK\n  0x0 RWE 0x10").when(F.col("p_size") % 3 == 1, " GNU_STACK\n 0x0 RW  0x10").otherwise("LOAD RW")
+    kind = F.when(F.col("p_size") % 2 == 0, "ELF Header\n  Type: DYN (x)").otherwise("  Type: EXEC\n  Type: DYN")
+    libs = F.concat(F.repeat(F.lit("\tlibx.so => /lib/x\n"), (F.col("p_size") % 4).cast("int")), F.lit("\tstatic"))
+    symbols = F.when(F.col("p_size") % 5 == 0, "x __stack_chk_fail y").otherwise("main")
+    return t.part.select("p_partkey", hardening.nx(stack)["enabled"].alias("nx"), hardening.pie(kind)["enabled"].alias("pie"), hardening.libraries(libs)["count"].alias("libraries"), F.array_join(hardening.canaries(symbols, F.lit(""))["symbols_found"], ",").alias("canary"))

@@ -106,3 +106,12 @@ def test_streaming_counts_go_on_from_the_checkpoint(spark, tmp_path):
     assert run() == {"SIGABRT (abort signal)": 1, "UNKNOWN_CRASH": 1}
     (tmp_path / "in" / "2.json").write_text('{"file":"c","stdout":"got SIGABRT"}\n')
     assert run() == {"SIGABRT (abort signal)": 2, "UNKNOWN_CRASH": 1}
+
+
+def test_a_callers_model_and_json_rows(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "yy")], "id long, context string")
+    got = records.classify(df, lambda texts: [f'{{"n": {len(t)}}}' for t in texts]).collect()
+    assert {r["id"]: r["response"] for r in got} == {1: '{"n": 1}', 2: '{"n": 2}'}
+    rows = spark.createDataFrame([(1, 5, None)], "target_id long, total_crashes long, severity string")
+    assert metrics.as_json(rows).first()["json"] == '{"total_crashes":5}'
+    assert tuple(df.select(tx.first_index(F.lit("a{b{"), "{"), tx.last_index(F.lit("a{b{c"), "{"), tx.last_index(F.lit("abc"), "{"), tx.last_index(F.lit("xabcabcx"), "abc"), tx.with_extension(F.lit("r.json"), ".json", ".md")).first()) == (1, 3, -1, 4, "r.md")
