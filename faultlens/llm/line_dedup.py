@@ -96,10 +96,11 @@ def number(batches):
 
 def ranked(counted: DataFrame, keys: list[str], name: str) -> DataFrame:
     """keys and n of distinct keys -> with place: rows of smaller keys."""
-    counted = counted.select(*keys, "n")
+    counted = store.materialize(counted.select(*keys, "n"), f"{name}-keys")  # sampled for the ranges, then read
     ordered = counted.repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema)
     rows = store.materialize(ordered.mapInArrow(number, f"{schema}, part int, before long"), name)
+    store.drop(counted.sparkSession, counted)
     parts = rows.groupBy("part").agg(F.sum("n").alias("size"))
     offset = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("offset"))
     return rows.join(offset, "part").select(*keys, "n", (F.col("offset") + F.col("before")).alias("place"))
