@@ -84,11 +84,14 @@ def vectors(batches):
 
 
 def svm(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by accelerated full gradients; classes weigh the same."""
+    """Linear SVM with squared hinge loss by accelerated full gradients; classes weigh the same.
+
+    y is 1, -1, or 0 for rows of neither class, which have no weight.
+    """
     w, b = np.zeros(x.shape[1], np.float32), 0.0
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    weight = ((y > 0) * (0.5 / max(1, (y > 0).sum())) + (y < 0) * (0.5 / max(1, (y < 0).sum()))).astype(np.float32)
     v, c = w.copy(), b
-    step = 1.0 / (2 * float((weight * ((x * x).sum(1) + 1)).sum()) + penalty)
+    step = 1.0 / (2 * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + penalty)
     for t in range(steps):
         slack = (np.maximum(0, 1 - y * (x @ v + c)) * weight * y).astype(np.float32)
         w2, b2 = v - np.float32(step) * (np.float32(penalty) * v - 2 * (slack @ x)), c + step * 2 * float(slack.sum())
@@ -108,12 +111,12 @@ class Model:
         self.members = {f: [v for v in self.langs if family_of(v) == f] for f in self.families}
         self.center = x.mean(0)
         self.scale = 1.0 / (x.std(0) + np.float32(1e-3))
-        z = (x - self.center) * (self.scale / np.float32(np.sqrt(x.shape[1])))
+        x -= self.center  # in place: the sample is the largest thing the driver holds
+        x *= self.scale / np.float32(np.sqrt(x.shape[1]))
         self.pairs, columns, self.bias = [], [], []
         for group, labels in [(None, of), *((f, y) for f in self.families)]:
             for a, b in combinations(self.families if group is None else self.members[group], 2):
-                pick = (labels == a) | (labels == b)
-                w, c = svm(z[pick], np.where(labels[pick] == a, 1.0, -1.0))
+                w, c = svm(x, (labels == a) * np.float32(1) - (labels == b) * np.float32(1))
                 w = w * self.scale / np.sqrt(x.shape[1])
                 self.pairs.append((group, a, b))
                 columns.append(w)
@@ -187,7 +190,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bound: int
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("l")).count().collect()}
     if not counts:
-        return Model([], np.zeros((1, SIZE)), np.array([], object))
+        return Model([], np.zeros((1, SIZE), np.float32), np.array([], object))
     each = max(1, bound // len(counts))
     share = F.lit(0.0)
     for lang, n in counts.items():
@@ -195,9 +198,11 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bound: int
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30) < share
     rows = labelled.where(draw).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(vectors, "lang string, shares binary").where("shares IS NOT NULL").collect()
     rows.sort()
-    x = np.array([np.frombuffer(r[1], np.float16) for r in rows], np.float32).reshape(len(rows), SIZE)
-    y = np.array([r[0] for r in rows], object)
-    return Model(sorted(set(y)), x, y) if len(rows) else Model([], np.zeros((1, SIZE)), np.array([], object))
+    x, y = np.zeros((len(rows), SIZE), np.float32), np.array([r[0] for r in rows], object)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r[1], np.float16)
+    rows.clear()
+    return Model(sorted(set(y)), x, y) if len(x) else Model([], np.zeros((1, SIZE), np.float32), y)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 2000) -> DataFrame:

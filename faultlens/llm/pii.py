@@ -31,10 +31,13 @@ LABELS = ("outside", *KINDS)
 #: Fixed patterns of the base spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Finds what IP finds: a run of digits that doesn't begin a match has none in it, so only
+#: its start is tried, once.
+IP_ONCE = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Nodes: words with a digit or an @.
-NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+NODE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*")
 NODE_START = re.compile(r"[0-9@]")
 EDGE = ".,;:!?\"'()[]{}<>|"
 ROUNDS, SURE = 12, 0.9
@@ -66,7 +69,7 @@ def emails(text: str):
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns."""
     out = [(m.start(), 0, m.end()) for m in emails(text)]
-    for m in IP.finditer(text):
+    for m in IP_ONCE.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import time
 import uuid
@@ -26,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.faultlens.shared.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="faultlens-")
+        atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.faultlens.shared.dir", base)
     return base.rstrip("/")
 

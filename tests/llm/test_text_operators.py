@@ -86,6 +86,19 @@ def test_base_spans_follow_the_patterns():
     for _ in range(20_000):
         t = "".join(r.choice("ab1.@-%+_ é") for _ in range(r.randint(1, 18)))
         assert [m.span() for m in pii.EMAIL.finditer(t)] == [m.span() for m in pii.emails(t)]
+        t = "".join(r.choice("0123.. a") for _ in range(r.randint(1, 24)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in pii.IP_ONCE.finditer(t)]
+        assert [m.group() for m in pii.NODE.finditer(t)] == [w for w in words(t) if any(c.isdigit() or c == "@" for c in w)]
+
+
+@pytest.mark.parametrize("text", ["1" * 400_000, "x" * 400_000 + " 1", "a@" * 100_000, "1." * 100_000, "+1" * 100_000, "1 " * 100_000, "a.b-" * 100_000 + "@"])
+def test_long_odd_texts_take_linear_time(text):
+    import time
+
+    start = time.process_time()
+    spans = pii.base_spans(text)
+    pii.Field(text, spans)
+    assert time.process_time() - start < 10
 
 
 def test_the_field_adds_what_repeats_an_observed_word(spark):
