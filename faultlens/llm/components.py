@@ -24,12 +24,13 @@ def components(links: DataFrame) -> DataFrame:
     before = print_of(edges)
     while True:
         either = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = either.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = either.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # written, so that both sides of the join are plain exchanges and a hub's can be split
+        least = store.materialize(either.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = either.where("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(down.select("a", F.col("m").alias("b"))).distinct()
         new = store.materialize(small, "links")
-        store.drop(edges.sparkSession, edges)
+        store.drop(edges.sparkSession, edges, least)
         edges, now = new, print_of(new)
         if now == before:
             break

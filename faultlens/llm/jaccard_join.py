@@ -10,7 +10,7 @@ is counted exactly.
 
 A chunk of documents meets each signature once: its own classes with equal signatures
 are linked to one of them there, and only that one travels.  Groups over ALL classes are
-linked as stars.  When the links are known, classes that large groups connect and that
+linked as stars (those of up to ALL classes pair by pair).  When the links are known, classes that large groups connect and that
 ended in different components are compared in blocks, a pair of blocks a task: a bound
 from small histograms of the sets rules most pairs out, the rest are counted exactly, and
 a task returns only links that join components.  So no pair is lost and none is emitted
