@@ -10,10 +10,12 @@ is counted exactly.
 
 A chunk of documents meets each signature once: its own classes with equal signatures
 are linked to one of them there, and only that one travels.  Groups over ALL classes are
-linked as stars (those of up to ALL classes pair by pair).  When the links are known, classes that large groups connect and that
-ended in different components are compared in blocks, a pair of blocks a task: a bound
-from small histograms of the sets rules most pairs out, the rest are counted exactly, and
-a task returns only links that join components.  So no pair is lost and none is emitted
+linked as stars (those of up to ALL classes pair by pair); they, and groups where a class
+speaks for others of its chunk, also tie their classes together.  When the links are
+known, classes that ties connect and that ended in different components are compared in
+blocks, a pair of blocks a task: a bound from small histograms of the sets rules most
+pairs out, the rest are counted exactly, and a task returns only links that join
+components.  So no pair is lost and none is emitted
 but as a candidate star ray or a link.
 """
 
@@ -159,12 +161,14 @@ def similar_sizes(a: np.ndarray, b: np.ndarray, ratio: Fraction) -> np.ndarray:
     return np.minimum(a, b) * ratio.denominator >= np.maximum(a, b) * ratio.numerator
 
 
-def link_groups(sig: np.ndarray, who: np.ndarray, names: np.ndarray, size: np.ndarray, ratio: Fraction, local: bool):
-    """Candidate pairs and members of the groups of equal signatures.
+def link_groups(sig: np.ndarray, who: np.ndarray, names: np.ndarray, size: np.ndarray, ratio: Fraction, local: bool, speaks: np.ndarray | None = None):
+    """Candidate pairs and ties of the groups of equal signatures.
 
     sig sorted, who: index into names (n x 2) and size; a group has no class twice.
-    Returns pairs to compare, ties of members of large groups to their group's first one
-    (both rows of two indices), and which entries lead a group.
+    speaks: which entries stand for more classes of their chunk.  Returns pairs to compare
+    and ties of a group's members to its first one, where it is large or one speaks for
+    others (both rows of two indices), which entries lead a group, and which of those
+    have one of several.
     """
     new = np.ones(len(sig), bool)
     new[1:] = sig[1:] != sig[:-1]
@@ -183,12 +187,13 @@ def link_groups(sig: np.ndarray, who: np.ndarray, names: np.ndarray, size: np.nd
                 a.append(who[base + i])
                 b.append(who[base + j])
     a, b = np.concatenate(a), np.concatenate(b)
+    tie = star if speaks is None else many & ~new & (big | np.logical_or.reduceat(speaks, at)[group]) if len(at) else star
     swap = (names[a, 0] > names[b, 0]) | ((names[a, 0] == names[b, 0]) & (names[a, 1] > names[b, 1]))
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     fit = similar_sizes(size[a], size[b], ratio)
     pairs = np.unique(np.stack([a[fit], b[fit]], axis=1), axis=0)
-    ties = np.unique(np.stack([who[lead[star]], who[star]], axis=1), axis=0)
-    return pairs, ties, new
+    ties = np.unique(np.stack([who[lead[tie]], who[tie]], axis=1), axis=0)
+    return pairs, ties, new, many[new]
 
 
 def found_rows(out: blobs.Rows, pairs, ties, names, size):
@@ -220,7 +225,7 @@ def send_signatures(n: int, n_buckets: int, num: int, den: int):
                 twice = np.zeros(len(sig), bool)
                 twice[1:] = (sig[1:] == sig[:-1]) & (who[1:] == who[:-1])
                 sig, who = sig[~twice], who[~twice]
-                pairs, ties, lead = link_groups(sig, who, names, size, bands.ratio, True)
+                pairs, ties, lead, several = link_groups(sig, who, names, size, bands.ratio, True)
                 if len(pairs) or len(ties):
                     head = np.array([len(names), len(pairs), len(ties)], np.int64)
                     rest = b"".join(x.astype(np.int64 if x is not names else np.uint64).tobytes() for x in (names, size, pairs, ties))
@@ -230,7 +235,7 @@ def send_signatures(n: int, n_buckets: int, num: int, den: int):
                 for k in some:
                     w, place = np.unique(who[bounds[k] : bounds[k + 1]], return_inverse=True)
                     head = np.int64(len(w)).tobytes() + names[w].tobytes() + size[w].astype(np.int64).tobytes()
-                    out.add(0, int(k), sig[bounds[k] : bounds[k + 1]].tobytes(), head + place.astype(np.uint16 if len(w) < 65536 else np.uint32).tobytes())
+                    out.add(0, int(k), sig[bounds[k] : bounds[k + 1]].tobytes(), head + place.astype(np.uint16 if len(w) < 65536 else np.uint32).tobytes() + several[bounds[k] : bounds[k + 1]].tobytes())
                 yield from out.ready()
         yield out.flush()
 
@@ -256,34 +261,35 @@ def match(num: int, den: int, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() >= n_buckets:
             return local_found(table.column("extra"))
-        sigs, names, sizes, who, base = [], [], [], [], 0
+        sigs, names, sizes, who, speaks, base = [], [], [], [], [], 0
         for k, e in zip(table.column("keys"), table.column("extra"), strict=True):
             s, e = np.frombuffer(k.as_py(), np.uint64), e.as_py()
             n = int(np.frombuffer(e, np.int64, 1)[0])
             names.append(np.frombuffer(e, np.uint64, 2 * n, 8).reshape(n, 2))
             sizes.append(np.frombuffer(e, np.int64, n, 8 + 16 * n))
             who.append(np.frombuffer(e, np.uint16 if n < 65536 else np.uint32, len(s), 8 + 24 * n).astype(np.int64) + base)
+            speaks.append(np.frombuffer(e, bool, len(s), len(e) - len(s)))
             sigs.append(s)
             base += n
-        sig, who, names, size = np.concatenate(sigs), np.concatenate(who), np.concatenate(names), np.concatenate(sizes)
+        sig, who, speaks, names, size = (np.concatenate(x) for x in (sigs, who, speaks, names, sizes))
         order = np.argsort(sig)
-        sig, who = sig[order], who[order]
+        sig, who, speaks = sig[order], who[order], speaks[order]
         same = sig[1:] == sig[:-1]
         shared = np.zeros(len(sig), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        sig, who = sig[shared], who[shared]
+        sig, who, speaks = sig[shared], who[shared], speaks[shared]
         used = np.unique(who)
         kinds, number = np.unique(names[used], axis=0, return_inverse=True)
         sized = np.zeros(len(kinds), np.int64)
         sized[number.ravel()] = size[used]
         who = number.ravel()[np.searchsorted(used, who)]
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
+        order = np.lexsort((~speaks, who, sig))
+        sig, who, speaks = sig[order], who[order], speaks[order]
         twice = np.zeros(len(sig), bool)
         twice[1:] = (sig[1:] == sig[:-1]) & (who[1:] == who[:-1])
         out = blobs.Rows(FOUND_ARROW)
-        pairs, ties, _ = link_groups(sig[~twice], who[~twice], kinds, sized, Fraction(num, den), False)
+        pairs, ties, _, _ = link_groups(sig[~twice], who[~twice], kinds, sized, Fraction(num, den), False, speaks[~twice])
         found_rows(out, pairs, ties, kinds, sized)
         return pa.Table.from_batches([out.flush()])
 

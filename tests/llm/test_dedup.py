@@ -98,3 +98,20 @@ def test_one_of_each_keeps_one_row_of_a_group(spark):
 @pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, line_dedup.line_dedup, jaccard_join.jaccard_join, jaccard_join.one_of_each])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_link_is_lost_between_chunks(spark, seed):
+    """Small groups of near copies dealt over many chunks, where those met in a chunk needn't be similar."""
+    r, rows = random.Random(100 + seed), []
+    for g in range(25):
+        base = passage(1000 * seed + g, 60).split()
+        for _ in range(r.randint(2, 7)):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(60)] = r.choice(["zz", "yy", "xx"])
+            rows.append((len(rows), " ".join(w), None, None, None))
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    got = collected(jaccard_join.jaccard_join(docs), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(link_groups(rows), key=repr)
