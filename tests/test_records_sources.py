@@ -115,3 +115,19 @@ def test_a_callers_model_and_json_rows(spark):
     rows = spark.createDataFrame([(1, 5, None)], "target_id long, total_crashes long, severity string")
     assert metrics.as_json(rows).first()["json"] == '{"total_crashes":5}'
     assert tuple(df.select(tx.first_index(F.lit("a{b{"), "{"), tx.last_index(F.lit("a{b{c"), "{"), tx.last_index(F.lit("abc"), "{"), tx.last_index(F.lit("xabcabcx"), "abc"), tx.with_extension(F.lit("r.json"), ".json", ".md")).first()) == (1, 3, -1, 4, "r.md")
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = "ts timestamp, stdout string"
+
+    def run():
+        counts = incremental.windowed_counts(incremental.crash_stream(spark, f"{tmp_path}/in", schema), "ts")
+        incremental.start(counts, f"{tmp_path}/ck", f"{tmp_path}/out", "append").awaitTermination()
+        return sorted((r["start"].minute, r["frame"], r["cnt"]) for r in spark.read.schema("start timestamp, frame string, cnt long").parquet(f"{tmp_path}/out").collect())
+
+    rows = [("10:01", "fine"), ("10:02", "got SIGABRT"), ("10:03", "fine"), ("11:30", "fine")]
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps({"ts": f"2024-01-01T{t}:00.000Z", "stdout": s}) for t, s in rows))
+    run()
+    (tmp_path / "in" / "2.json").write_text(json.dumps({"ts": "2024-01-01T10:04:00.000Z", "stdout": "fine"}))  # too late
+    assert run() == [(0, "SIGABRT (abort signal)", 1), (0, "UNKNOWN_CRASH", 2)]
