@@ -153,8 +153,8 @@ class Model:
         return lang, score
 
 
-def predictor(model: Model):
-    """Adds __lang_pred and __score to all columns but the first, the text to judge."""
+def predictor(model: Model, skip: int):
+    """Adds __lang_pred and __score to the columns from number skip on; the first is the text to judge."""
 
     def run(batches):
         weights = [np.ascontiguousarray(model.weights[:, k]) for k in range(len(model.pairs))]
@@ -174,8 +174,8 @@ def predictor(model: Model):
                 else:
                     names, score = [UNKNOWN] * c.n, np.zeros(c.n)
                 score = np.where(good, score, 0.0) if model.langs else score
-                rest = [x.slice(c.first, c.n) for x in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[1:], "__lang_pred", "__score"])
+                rest = [x.slice(c.first, c.n) for x in batch.columns[skip:]]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[skip:], "__lang_pred", "__score"])
 
     return run
 
@@ -216,20 +216,20 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns doc_id, held_out, lang_pred, score for every row.
     """
     model = learn(docs, id_col, text_col, lang_col, bound)
-    out = judged(docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id")), model)
+    out = judged(docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id")), model, 1)
     return out.select("doc_id", held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def judged(rows: DataFrame, model: Model) -> DataFrame:
-    """rows without their first column, the text, with __lang_pred and __score."""
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
-    return rows.mapInArrow(predictor(model), f"{plain}, __lang_pred string, __score double")
+def judged(rows: DataFrame, model: Model, skip: int) -> DataFrame:
+    """rows from column number skip on, with __lang_pred and __score; the first column is the text."""
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[skip:])
+    return rows.mapInArrow(predictor(model, skip), f"{plain}, __lang_pred string, __score double")
 
 
 def known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 2000) -> DataFrame:
     """The rows of docs whose text is in a language, with docs' columns; a null language is filled in."""
     model = learn(docs, id_col, text_col, lang_col, bound)
-    out = judged(docs.select(F.col(text_col).cast("string").alias("__text"), "*"), model).where(F.col("__lang_pred") != UNKNOWN)
+    out = judged(docs.select(text_col, *(c for c in docs.columns if c != text_col)), model, 0).where(F.col("__lang_pred") != UNKNOWN)
     return out.withColumn(lang_col, F.coalesce(lang_col, "__lang_pred")).select(*docs.columns)
 
 
