@@ -5,41 +5,61 @@ Every stage works on what its predecessor kept, written as Parquet and read agai
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.llm import jaccard_join, language_id, line_dedup, mixing, packing, store
 
+#: What the latest call of each stage has left in the shared folder.
+_left: dict[int, set[str]] = {}
+
+
+def stage(number: int):
+    """A stage that first deletes what the one before it left: its result has been written."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            store.clear(spark, _left.pop(number - 1, set()), docs)
+            with store.recording(_left.setdefault(number, set())):
+                return f(spark, docs, sf_dir)
+
+        return run_stage
+
+    return wrap
+
 
+@stage(1)
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language stay."""
-    store.sweep(spark, docs)
     return language_id.known_languages(docs)
 
 
+@stage(2)
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines are deleted; a document without a word left goes."""
-    store.sweep(spark, docs)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = line_dedup.line_dedup(docs, carry=rest).where(F.col("n_removed") < F.col("n_lines"))
     return out.select("doc_id", F.col("kept_text").alias("text"), *(F.col(f"__{c}").alias(c) for c in rest), F.length("kept_text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
+@stage(3)
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle similarity, the one with the smallest id stays."""
-    store.sweep(spark, docs)
     return jaccard_join.one_of_each(docs)
 
 
+@stage(4)
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    store.sweep(spark, docs)
     return mixing.mix(docs)
 
 
+@stage(5)
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    store.sweep(spark, docs)
     return packing.pack(docs)
 
 
@@ -58,6 +78,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents, in order."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = store.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, f in STAGES[:-1]:
+        docs = store.materialize(f(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -49,15 +50,21 @@ def delete(spark: SparkSession, path: str) -> None:
     _made.discard(path)
 
 
-def sweep(spark: SparkSession, docs: DataFrame) -> None:
-    """Deletes all that earlier steps left, but for what docs reads.
+@contextlib.contextmanager
+def recording(into: set[str]):
+    """Adds to a set what is made meanwhile and not deleted again."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        into |= _made - before
 
-    Only for a chain of steps whose results are written one by one.
-    """
+
+def clear(spark: SparkSession, paths: set[str], docs: DataFrame) -> None:
+    """Deletes recorded tables and folders that docs doesn't read."""
     used = " ".join(docs.inputFiles())
-    for path in [p for p in _made if p.rsplit("/", 1)[1] not in used]:
+    for path in [p for p in paths if p.rsplit("/", 1)[1] not in used]:
         delete(spark, path)
-    release(spark)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
