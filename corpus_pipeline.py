@@ -33,13 +33,16 @@ def stage(number: int):
 
 @stage(1)
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language stay."""
+    """Documents whose text has a letter stay; a null language is filled in."""
     return language_id.known_languages(docs)
 
 
 @stage(2)
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines are deleted; a document without a word left goes."""
+    """Later copies of runs of two or more lines are deleted; a document without a word left goes.
+
+    n_chars is the length of what is left.
+    """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = line_dedup.line_dedup(docs, carry=rest).where(F.col("n_removed") < F.col("n_lines"))
     return out.select("doc_id", F.col("kept_text").alias("text"), *(F.col(f"__{c}").alias(c) for c in rest), F.length("kept_text").cast("long").alias("n_chars")).select(*docs.columns)
@@ -47,19 +50,22 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 @stage(3)
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingle similarity, the one with the smallest id stays."""
+    """Of documents linked by shingle similarity, the one with the smallest id stays.
+
+    Repeated rows stay once; a document without an id stays if none in its group has one.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 @stage(4)
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: not at all, once or twice."""
     return mixing.mix(docs)
 
 
 @stage(5)
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a document taken twice has its pieces twice."""
     return packing.pack(docs)
 
 

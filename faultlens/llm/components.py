@@ -42,4 +42,5 @@ def components(links: DataFrame) -> DataFrame:
 def print_of(edges: DataFrame) -> tuple:
     """A fingerprint of a set of links, from one pass that only sends sums."""
     h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h % (1 << 31)), F.sum(F.shiftright(h, 32))).first())
+    parts = (F.sum(F.shiftrightunsigned(h, k) % (1 << 16)) for k in (0, 16, 32, 48))  # can't overflow
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), *parts).first())

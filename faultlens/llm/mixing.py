@@ -83,7 +83,10 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with docs' columns."""
+    """The rows of docs, each as often as the mix takes it, with docs' columns.
+
+    Cases are those of mix_report; a text without words may be taken too, and adds nothing.
+    """
     rates = plan(sized(docs, id_col, text_col, source_col), **how)
     names = docs.columns
     rates = rates.select(*(F.col(c).alias(f"__mix_{c}") for c in ("of", "copies", "fraction", "draw")))
