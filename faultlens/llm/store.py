@@ -62,11 +62,22 @@ def recording(into: set[str]):
 
 def clear(spark: SparkSession, paths: set[str], docs: DataFrame) -> None:
     """Deletes recorded tables and folders that docs doesn't read."""
-    used = " ".join(docs.inputFiles())
+    used = folders(docs)
     for path in [p for p in paths if p.rsplit("/", 1)[1] not in used]:
         delete(spark, path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all that operators made in this process; only when no result of theirs is read any more."""
+    for path in list(_made):
+        delete(spark, path)
+
+
+def folders(df: DataFrame) -> set[str]:
+    """Last names of the folders whose files df reads."""
+    return {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here.
 
@@ -96,7 +107,7 @@ def release(spark: SparkSession) -> None:
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes tables that materialize() wrote and nothing reads any more."""
     for df in frames:
-        read = " ".join(df.inputFiles())
+        read = folders(df)
         for path in [p for p in _made if p.rsplit("/", 1)[1] in read]:
             delete(spark, path)
 
