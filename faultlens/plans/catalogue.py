@@ -335,11 +335,11 @@ SELECT u.target_id, coalesce(total, 0) AS total_crashes, coalesce(uniq, 0) AS un
   CASE WHEN n >= 4 THEN 'Hard' WHEN n >= 2 THEN 'Medium' WHEN n IS NULL THEN 'Unknown' ELSE 'Easy' END AS exploit_difficulty, coalesce(quality = 1, false) AS poc_generated, false AS strategy_available
 FROM (SELECT CAST(p_partkey AS BIGINT) AS target_id FROM part WHERE p_partkey <= 60) u LEFT JOIN a USING (target_id) LEFT JOIN h ON p_partkey = u.target_id LEFT JOIN d USING (target_id)""")
 def metrics_row(t: Tables) -> DataFrame:
-    targets = t.part.where("p_partkey <= 60").select(F.col("p_partkey").alias("target_id"))
+    targets = t.part.select(F.col("p_partkey").alias("target_id"))
     crashes = triage.with_frame(t.sql(CRASHES)).withColumn("target_id", F.substring_index("file", ":", -1).cast("long") % 50)
     per = crashes.groupBy("target_id", "frame").agg(F.count("*").alias("n")).groupBy("target_id").agg(F.sum("n").alias("total_crashes"), F.count("*").alias("unique_crash_frames"))
-    scores = hardening.score(t.sql(FLAGS).where("p_partkey <= 40")).select(F.col("p_partkey").alias("target_id"), "protection_level", "exploit_difficulty")
-    found = t.documents.where("doc_id < 50").join(t.labels, "doc_id").select(
+    scores = hardening.score(t.sql(FLAGS)).select(F.col("p_partkey").alias("target_id"), "protection_level", "exploit_difficulty")
+    found = t.documents.join(t.labels, "doc_id").select(
         F.col("doc_id").alias("target_id"), F.col("source").alias("vulnerability_type"), F.when(F.col("quality") == 1, "High").alias("severity"),
         (F.col("quality") * F.lit(0.955)).alias("confidence"), (F.col("quality") == 1).alias("generated"), F.lit(None).cast("boolean").alias("has_strategy"),
     )
@@ -360,7 +360,7 @@ def prompt_context(t: Tables) -> DataFrame:
 
 @query("SELECT file AS name, octet_length(encode(content)) AS size FROM (SELECT DISTINCT source AS file, source AS content FROM documents) WHERE file IN (SELECT 'src' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey < 5)")
 def existing_artifacts(t: Tables) -> DataFrame:
-    wanted = t.nation.where("n_nationkey < 5").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name"))
+    wanted = t.nation.select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name"))
     have = t.documents.select(F.col("source").alias("name")).distinct()
     return have.join(wanted, "name", "left_semi").select("name", F.octet_length("name").cast("long").alias("size"))
 

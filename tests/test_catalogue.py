@@ -30,3 +30,17 @@ def test_query_equals_its_sql(spark, con, name):
 def test_every_query_has_sql_and_the_entry_runs(spark):
     assert set(catalogue.QUERIES) == set(catalogue.SQL) and set(catalogue.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(("name", "cuts"), [("metrics_row", (" WHERE p_partkey <= 60", " WHERE p_partkey <= 40", " WHERE doc_id < 50")), ("existing_artifacts", (" WHERE n_nationkey < 5",))])
+def test_no_subset_of_ids(spark, con, name, cuts):
+    """The query's SQL without its filters on ids: every part, document and nation."""
+    sql = catalogue.SQL[name]
+    for cut in cuts:
+        sql = sql.replace(cut, "")
+    want = con.sql(sql)
+    names = sorted(want.columns)
+    got = sorted(map(repr, map(tuple, catalogue.QUERIES[name](spark, SF).select(*names).collect())))
+    assert got == sorted(map(repr, want.select(*(f'"{n}"' for n in names)).fetchall()))
+    if name == "metrics_row":
+        assert len(got) == con.sql("SELECT count(*) FROM part").fetchall()[0][0]
