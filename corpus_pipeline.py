@@ -39,12 +39,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage(2)
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines are deleted; a document without a word left goes.
+    """Later copies of runs of lines, of one line too, are deleted; a document without a word left goes.
 
     n_chars is the length of what is left.
     """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = line_dedup.line_dedup(docs, carry=rest).where(F.col("n_removed") < F.col("n_lines"))
+    out = line_dedup.line_dedup(docs, min_lines=1, carry=rest).where(F.col("n_removed") < F.col("n_lines"))
     return out.select("doc_id", F.col("kept_text").alias("text"), *(F.col(f"__{c}").alias(c) for c in rest), F.length("kept_text").cast("long").alias("n_chars")).select(*docs.columns)
 
 

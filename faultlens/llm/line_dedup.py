@@ -256,7 +256,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = line_dedup(store.table(spark, sf_dir, "documents"))
+    out = line_dedup(store.table(spark, sf_dir, "documents"), min_lines=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -3,10 +3,11 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from faultlens.llm import jaccard_join, line_dedup, substring_dedup
 from faultlens.llm import textarrays as ta
 
-from .helpers import SCHEMA, cut_lines, cut_windows, edge_docs, edge_rows, link_groups, passage
+from .helpers import SCHEMA, cut_lines, cut_windows, edge_docs, edge_rows, link_groups, passage, sha
 
 
 def collected(df, *names):
@@ -61,6 +62,19 @@ def test_longest_run_is_the_longest_common_prefix_of_neighbours(spark):
     assert [g[:3] for g in got] == [(1, 0, 0), (2, 6, 1)] and max(g[3] for g in got) == 6
 
 
+def test_op1_and_the_stage_delete_runs_of_one_line(spark, tmp_path):
+    """Copies of one-line documents, and a long line between other neighbours."""
+    p, q = passage(1, 60), passage(2, 60)
+    rows = [(1, p, None, "s", None), (2, p, None, "s", None), (3, f"a b\n{q}\nc d", None, "s", None), (4, f"e f\n{q}\ng h", None, "s", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = cut_lines(rows, 1)
+    got = collected(line_dedup.query(spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert got == sorted((d, n, gone, sha(k)) for d, n, gone, k in want)
+    stage = collected(corpus_pipeline.without_repeated_lines(spark, docs, str(tmp_path)), "doc_id", "text")
+    assert stage == sorted((d, k) for d, n, gone, k in want if gone < n) and [d for d, _ in stage] == [1, 3, 4]
+
+
 def test_line_dedup_wants_a_power_of_two(spark):
     with pytest.raises(ValueError):
         line_dedup.line_dedup(edge_docs(spark), min_lines=3)
