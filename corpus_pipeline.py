@@ -50,11 +50,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 @stage(3)
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingle similarity, the one with the smallest id stays.
+    """Of documents linked by a similarity of 0.8 in five-word shingles, the one with the smallest id stays.
 
     Repeated rows stay once; a document without an id stays if none in its group has one.
     """
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, n=5, num=80, den=100)
 
 
 @stage(4)

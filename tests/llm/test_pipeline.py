@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from faultlens.llm import language_id, mixing
 
-from .helpers import cut_lines, edge_rows, link_groups, words
+from .helpers import cut_lines, edge_rows, link_groups, passage, shingles, words
 from .test_packing_mixing import brute_pieces, check_places
 
 
@@ -47,6 +47,16 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in ran) == pieces
 
 
+def test_near_copies_by_five_words_are_linked(spark):
+    """Pairs at 0.8 or more of five words and under 0.9 of three words, and one under both."""
+    p, q = passage(1, 300).split(), passage(2, 300).split()
+    rows = [(1, " ".join(p)), (2, " ".join([*p[:100], "zz", *p[101:200], "yy", *p[201:], *passage(3, 30).split()])), (3, " ".join(q)), (4, " ".join([*q[:200], *passage(4, 100).split()]))]
+    near = lambda x, y, n: len(shingles(x, n) & shingles(y, n)) / len(shingles(x, n) | shingles(y, n))
+    assert near(rows[0][1], rows[1][1], 5) >= 0.8 and near(rows[0][1], rows[1][1], 3) < 0.9 and near(rows[2][1], rows[3][1], 5) < 0.8
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [1, 3, 4]
+
+
 def test_clean_documents_pass_the_filter(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert language_id.known_languages(docs).count() == docs.count()
