@@ -128,6 +128,21 @@ def test_messages_carry_observations_over_skip_edges():
     assert f.backed()[1, 4] and not f.backed()[2].any()
 
 
+def test_an_observed_number_reaches_all_its_repeats():
+    import numpy as np
+
+    k = len(pii.LABELS)
+    weights = np.zeros((pii.SHAPES, k))
+    weights[pii.number_of("bias"), 0] = 1.0
+    skip = 9 * np.eye(k)
+    skip[0, 0] = 0
+    text = "call +1 (736) 555-2678 " + "or so 555-2678 " * 60
+    base = pii.base_spans(text)
+    f = pii.Field(text, base)
+    spans = pii.added_spans(f, pii.Model(weights, np.zeros((k, k)), skip).marginals(f), base)
+    assert [text[s:e] for s, _, e in spans] == ["555-2678"] * 60 and {kind for _, kind, _ in spans} == {3}
+
+
 def test_media_round_trip(spark, tmp_path):
     index, folder = media.store_media(edge_docs(spark), folder=f"file://{tmp_path}/media")
     rows = media.media_features(media.media_metadata(index, folder), folder).collect()
