@@ -8,9 +8,10 @@ counted before they travel, so a line that fills a third of the corpus is one ke
 
 In the finished array a suffix and the one before it share their longest common prefix.
 Its length is counted where it can't be told from the line above (there it is one less),
-so about once per repeated run.  Suffixes that share min_lines lines form an interval;
-its first position in (id, line) order keeps its lines, and the lines that others share
-with it, the whole maximal run, are deleted.
+so about once per repeated run; it gives longest_run and decides no deletion.  Suffixes
+of one rank at min_lines lines form an interval; its first position in (id, line) order
+keeps its lines, and those min_lines lines of the others are deleted.  Windows that overlap
+make up the maximal run.
 """
 
 from __future__ import annotations
