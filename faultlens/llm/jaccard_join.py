@@ -361,7 +361,11 @@ def compare_blocks(num: int, den: int):
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, carry: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Profiles (doc_id, carried columns, n_shingles, class) of all rows, and links (a, b) between classes."""
+    """Profiles (doc_id, carried columns, n_shingles, class) of all rows, and links (a, b) that connect classes.
+
+    The links give the components; they are not all pairs of the join, as pairs inside a
+    component are skipped, so links of a document can't be counted from them.
+    """
     ids, text = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     rows = docs.select(text, ids, *carry)
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
