@@ -172,7 +172,7 @@ def predictor(model: Model, skip: int):
                     best, score = model.predict(margins)
                     names = [model.langs[b] if g else UNKNOWN for b, g in zip(best, good, strict=True)]
                 else:
-                    names, score = [UNKNOWN] * c.n, np.zeros(c.n)
+                    names, score = [None if g else UNKNOWN for g in good], np.zeros(c.n)
                 score = np.where(good, score, 0.0) if model.langs else score
                 rest = [x.slice(c.first, c.n) for x in batch.columns[skip:]]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[skip:], "__lang_pred", "__score"])
@@ -217,11 +217,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     model = learn(docs, id_col, text_col, lang_col, bound)
     out = judged(docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id")), model, 1)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    return out.select("doc_id", held_out().alias("held_out"), F.coalesce("__lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def judged(rows: DataFrame, model: Model, skip: int) -> DataFrame:
-    """rows from column number skip on, with __lang_pred and __score; the first column is the text."""
+    """rows from column number skip on, with __lang_pred (null for letters when nothing was learned) and __score; the first column is the text."""
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[skip:])
     return rows.mapInArrow(predictor(model, skip), f"{plain}, __lang_pred string, __score double")
 
@@ -229,7 +229,7 @@ def judged(rows: DataFrame, model: Model, skip: int) -> DataFrame:
 def known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 2000) -> DataFrame:
     """The rows of docs whose text is in a language, with docs' columns; a null language is filled in."""
     model = learn(docs, id_col, text_col, lang_col, bound)
-    out = judged(docs.select(text_col, *(c for c in docs.columns if c != text_col)), model, 0).where(F.col("__lang_pred") != UNKNOWN)
+    out = judged(docs.select(text_col, *(c for c in docs.columns if c != text_col)), model, 0).where(~F.col("__lang_pred").eqNullSafe(UNKNOWN))
     return out.withColumn(lang_col, F.coalesce(lang_col, "__lang_pred")).select(*docs.columns)
 
 

@@ -62,6 +62,12 @@ def test_clean_documents_pass_the_filter(spark):
     assert language_id.known_languages(docs).count() == docs.count()
 
 
+def test_texts_with_letters_stay_when_nothing_could_be_learned(spark):
+    docs = spark.createDataFrame([(1, "clean words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in language_id.known_languages(docs).collect()] == [(1, "clean words", None)]
+    assert {r["lang_pred"] for r in language_id.language_id(docs).collect()} == {"und"}
+
+
 def test_the_entry_lists_every_operator():
     names = entry.queries()
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
