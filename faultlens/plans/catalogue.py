@@ -253,7 +253,8 @@ def first_brace_last_brace(t: Tables) -> DataFrame:
 @query(r"SELECT conv_id, turn, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS code FROM conversations WHERE NOT contains(text, '```')")
 def fenced_block(t: Tables) -> DataFrame:
     text = F.concat(F.lit("Here:\n```python\n"), "text", F.lit("\n```\nand\n```\nrest\n```"))
-    return t.conversations.where(~F.col("text").contains("```")).select("conv_id", "turn", js.fenced(text).alias("code"))
+    own = F.col("text").contains("```")
+    return t.conversations.select("conv_id", "turn", js.fenced(F.when(own, F.col("text")).otherwise(text)).alias("code"))
 
 
 @query("SELECT o_orderkey, round_even(o_totalprice / 1000000 * 100, 0) AS confidence FROM orders")

@@ -44,3 +44,10 @@ def test_no_subset_of_ids(spark, con, name, cuts):
     assert got == sorted(map(repr, want.select(*(f'"{n}"' for n in names)).fetchall()))
     if name == "metrics_row":
         assert len(got) == con.sql("SELECT count(*) FROM part").fetchall()[0][0]
+
+
+def test_fenced_block_reads_the_fences_of_turns(spark, tmp_path):
+    rows = [(1, 0, "see\n```python\nx = 1\n```\nend"), (1, 1, " plain "), (2, 0, "```\nls\n```\n```python\ny\n```")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, catalogue.QUERIES["fenced_block"](spark, str(tmp_path)).select("conv_id", "turn", "code").collect()))
+    assert got == [(1, 0, "x = 1"), (1, 1, "plain"), (2, 0, "y")]
