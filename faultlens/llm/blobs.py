@@ -19,10 +19,25 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def split(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys: the buckets that occur and their bounds."""
-    bounds = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
-    return np.flatnonzero(np.diff(bounds)), bounds
+class Split:
+    """Sorted keys by bucket: the buckets that occur, and where each one's keys begin and end."""
+
+    def __init__(self, keys: np.ndarray, n: int):
+        self.buckets, begin = np.unique(bucket_of(keys, n), return_index=True)
+        self.edges = np.append(begin, len(keys))
+
+    def __iter__(self):
+        """(bucket, slice of its keys)."""
+        return ((int(b), slice(i, j)) for b, i, j in zip(self.buckets, self.edges[:-1], self.edges[1:], strict=True))
+
+    def unpack(self, replies) -> np.ndarray:
+        """A chunk's answer bits in the order of its sorted keys; replies: (bucket, bits) pairs."""
+        out = np.zeros(self.edges[-1], bool)
+        for r in replies or ():
+            k = np.searchsorted(self.buckets, r["bucket"])
+            lo, hi = self.edges[k], self.edges[k + 1]
+            out[lo:hi] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=hi - lo).astype(bool)
+        return out
 
 
 def number_for(n_bytes: int, per_bucket: int) -> int:
@@ -54,12 +69,3 @@ class Rows:
 KEYS = pa.schema([("cid", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 BITS = pa.schema([("cid", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
 
-
-def unpack_bits(replies, bounds: np.ndarray) -> np.ndarray:
-    """A chunk's answer bits in the order of its sorted keys; replies: (bucket, bits) pairs."""
-    out = np.zeros(bounds[-1], bool)
-    for r in replies or ():
-        b = r["bucket"]
-        lo, hi = bounds[b], bounds[b + 1]
-        out[lo:hi] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=hi - lo).astype(bool)
-    return out

@@ -43,7 +43,7 @@ FOUND_ARROW = pa.schema([("pair", pa.bool_()), ("a", pa.binary()), ("na", pa.int
 
 def shingle_sets(chunk: ta.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles of every text, sorted, and each text's first (n + 1 values)."""
-    h = chunk.word_hashes(lower=True)
+    h, _ = chunk.word_names(lower=True)
     first = chunk.words()[2]
     count = np.diff(first)
     keep = ta.window_ok(first, n, len(h))
@@ -51,7 +51,7 @@ def shingle_sets(chunk: ta.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     row = ta.rows_of(first)[: len(keep)][keep]
     few = np.flatnonzero((count > 0) & (count < n))
     if len(few):
-        whole = [ta.windows(h[first[k] : first[k + 1]], int(count[k]), 1)[0] ^ U(count[k]) for k in few]
+        whole = [ta.windows(h[first[k] : first[k + 1]], int(count[k]), 1)[0] for k in few]
         row = np.concatenate([row, few])
         sets = np.concatenate([sets, np.array(whole, np.uint64)])
         order = np.argsort(row, kind="stable")
@@ -231,11 +231,10 @@ def send_signatures(n: int, n_buckets: int, num: int, den: int):
                     rest = b"".join(x.astype(np.int64 if x is not names else np.uint64).tobytes() for x in (names, size, pairs, ties))
                     out.add(0, n_buckets + int(names[0, 0] % U(n_buckets)), b"", head.tobytes() + rest)
                 sig, who = sig[lead], who[lead]
-                some, bounds = blobs.split(sig, n_buckets)
-                for k in some:
-                    w, place = np.unique(who[bounds[k] : bounds[k + 1]], return_inverse=True)
+                for k, cut in blobs.Split(sig, n_buckets):
+                    w, place = np.unique(who[cut], return_inverse=True)
                     head = np.int64(len(w)).tobytes() + names[w].tobytes() + size[w].astype(np.int64).tobytes()
-                    out.add(0, int(k), sig[bounds[k] : bounds[k + 1]].tobytes(), head + place.astype(np.uint16 if len(w) < 65536 else np.uint32).tobytes() + several[bounds[k] : bounds[k + 1]].tobytes())
+                    out.add(0, k, sig[cut].tobytes(), head + place.astype(np.uint16 if len(w) < 65536 else np.uint32).tobytes() + several[cut].tobytes())
                 yield from out.ready()
         yield out.flush()
 

@@ -6,11 +6,13 @@ Names are hashes of what they stand for, so equal strings get equal names in eve
 document of the corpus without a naming shuffle.  With each symbol goes the stretch of
 words that decides it; wherever that stretch occurs, so does the symbol.
 
-A window of `window` words is anchored at the least symbol that it decides alone (if it
-decides none, the window is its own anchor).  Equal windows have equal anchors, so a
-window can only be shared if its anchor, with the words that decide it, is.  Shared
-anchors reveal the candidate windows; these alone are then compared exactly, by 96-bit
-fingerprints of all their words, and the smallest document of each wins.
+There are as many rounds as a window of `window` words can be halved and still decide a
+symbol alone as a rule (log2 of it, less one).  A window is anchored at the least symbol of
+the highest round that it decides alone (if it decides none, it is its own anchor).  Equal windows have equal anchors, so a window can only be shared if its
+anchor, with the words that decide it, is.  Shared anchors reveal the candidate windows;
+these alone are then verified by names of 96 bits, which are built like the symbols, pair by
+pair, over words whose own names are exact up to 15 bytes and BLAKE2b beyond; the smallest
+document of each name wins.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from . import chunktable as ct
 from . import textarrays as ta
 
 U = np.uint64
-ROUNDS = 2
 OUT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
@@ -76,52 +77,49 @@ class Symbols:
         return Symbols(name, self.start[at], np.where(pair, self.end[nxt], self.end[at]), low, high, row, self.first)
 
 
-def recompress(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> Symbols:
-    """The parse of all texts after some rounds; first: each text's first word (n + 1 values)."""
+def rounds(hashes: np.ndarray, first: np.ndarray, n: int):
+    """The parses of all texts after each of n rounds; first: each text's first word (one value more)."""
     at = np.arange(len(hashes))
     s = Symbols(hashes, at, at + 1, at, at + 1, ta.rows_of(first), first)
-    for k in range(rounds):
-        if len(s.name):
-            s = s.runs().pairs(2 * k + 1)
-    return s
+    for k in range(n):
+        s = s.runs().pairs(2 * k + 1)
+        yield s
 
 
-def anchors(hashes: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS):
-    """For every window inside a text: (its first word, the key of its anchor)."""
-    ok = ta.window_ok(first, window, len(hashes))
-    at = np.flatnonzero(ok)
-    if not len(at):
-        return at, np.zeros(0, np.uint64)
-    s = recompress(hashes, first, rounds)
-    a = np.searchsorted(s.low, at, "left")
-    b = np.searchsorted(s.high, at + window, "right")
-    rank = (ta.mix(s.name ^ ta.ODD[1]) & U(0xFFFFFFFF00000000)) | np.arange(len(s.name)).astype(np.uint64)
-    size, best, level, k = b - a, np.zeros(len(at), np.int64), rank, 0
-    while True:
+def stretches(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Names of stretches of words: of the two largest powers of two that cover one, and its length."""
+    size = high - low
+    out, level, k = np.zeros(len(low), np.uint64), hashes, 0
+    while len(low):
         here = np.flatnonzero((size >= 1 << k) & (size < 2 << k))
-        if len(here):
-            least = np.minimum(level[a[here]], level[b[here] - (1 << k)])
-            best[here] = (least & U(0xFFFFFFFF)).astype(np.int64)
-        k += 1
-        if not (size >= 1 << k).any():
+        out[here] = ta.combine(level[low[here]], level[high[here] - (1 << k)]) + size[here].astype(np.uint64)
+        if not (size >= 2 << k).any():
             break
-        level = np.minimum(level[: len(level) - (1 << (k - 1))], level[1 << (k - 1) :])
-    ahead, back = ta.powers(len(hashes), 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * ahead[: len(hashes)], out=sums[1:])
-    key = np.zeros(len(at), np.uint64)
-    has = size > 0
-    used = np.zeros(len(s.name), bool)
-    used[best[has]] = True
-    u = np.flatnonzero(used)
-    low, high = s.low[u], s.high[u]
-    named = np.zeros(len(s.name), np.uint64)
-    named[u] = ta.mix((sums[high] - sums[low]) * back[low] + (high - low).astype(np.uint64))
-    key[has] = named[best[has]]
-    if not has.all():
-        alone = at[~has]
-        key[~has] = ta.mix((sums[alone + window] - sums[alone]) * back[alone] + ta.ODD[0])
-    return at, key
+        level, k = ta.combine(level[: -(1 << k)], level[1 << k :]), k + 1
+    return ta.mix(out)
+
+
+def anchors(hashes: np.ndarray, first: np.ndarray, window: int):
+    """For every window inside a text: (its first word, the key of its anchor)."""
+    at = np.flatnonzero(ta.window_ok(first, window, len(hashes)))
+    low, high = at.copy(), at + window
+    parses = list(rounds(hashes, first, max(1, window.bit_length() - 2))) if len(at) else []
+    todo = np.arange(len(at))
+    for s in reversed(parses):
+        a = np.searchsorted(s.low, at[todo], "left")
+        size = np.searchsorted(s.high, at[todo] + window, "right") - a
+        level, k = (ta.mix(s.name ^ ta.ODD[1]) & U(0xFFFFFFFF00000000)) | np.arange(len(s.name)).astype(np.uint64), 0
+        while (size >= 1 << k).any():
+            here = np.flatnonzero((size >= 1 << k) & (size < 2 << k))
+            best = (np.minimum(level[a[here]], level[a[here] + size[here] - (1 << k)]) & U(0xFFFFFFFF)).astype(np.int64)
+            low[todo[here]], high[todo[here]] = s.low[best], s.high[best]
+            if not (size >= 2 << k).any():
+                break
+            level, k = np.minimum(level[: len(level) - (1 << k)], level[1 << k :]), k + 1
+        todo = todo[size <= 0]
+    new = np.ones(len(at), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return at, stretches(hashes, low[new], high[new])[np.cumsum(new) - 1] if len(at) else np.zeros(0, np.uint64)
 
 
 class Parsed:
@@ -130,7 +128,7 @@ class Parsed:
     def __init__(self, ids: np.ndarray, known: np.ndarray, chunk: ta.Chunk, window: int):
         self.chunk, self.window = chunk, window
         self.first = chunk.words()[2]
-        self.hashes = chunk.word_hashes()
+        self.hashes, self.other = chunk.word_names()
         at, key = anchors(self.hashes, self.first, window)
         row = ta.rows_of(self.first)[at]
         fit = known[row]
@@ -150,11 +148,10 @@ class Parsed:
 
     def candidates(self, replies, n_buckets: int):
         """Distinct fingerprints of the windows with a shared anchor: lanes, smallest id, and each window's."""
-        _, bounds = blobs.split(self.keys, n_buckets)
-        shared = self.here() | blobs.unpack_bits(replies, bounds)
+        shared = self.here() | blobs.Split(self.keys, n_buckets).unpack(replies)
         mine = np.flatnonzero(shared[self.which]) if len(self.keys) else np.zeros(0, np.int64)
         a = ta.windows(self.hashes, self.window, 0)[self.at[mine]]
-        b = ta.windows(ta.mix(self.hashes + U(7)), self.window, 1)[self.at[mine]] >> U(32)
+        b = ta.windows(self.other, self.window, 1)[self.at[mine]] >> U(32)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)
@@ -171,9 +168,8 @@ def send_anchors(window: int, n_buckets: int):
         out = blobs.Rows(blobs.KEYS)
         for r in ct.each(batches):
             p = Parsed(*ct.unpack(r), window)
-            some, bounds = blobs.split(p.keys, n_buckets)
-            for b in some:
-                out.add(r["cid"], int(b), p.keys[bounds[b] : bounds[b + 1]].tobytes(), b"")
+            for b, cut in blobs.Split(p.keys, n_buckets):
+                out.add(r["cid"], b, p.keys[cut].tobytes(), b"")
             yield from out.ready()
         yield out.flush()
 
@@ -204,12 +200,10 @@ def send_windows(window: int, n_anchor: int, n_buckets: int):
         for r in ct.each(batches):
             p = Parsed(*ct.unpack(r), window)
             _, a, b, least, _ = p.candidates(r["shared"], n_anchor)
-            some, bounds = blobs.split(a, n_buckets)
-            for k in some:
-                cut = slice(bounds[k], bounds[k + 1])
+            for k, cut in blobs.Split(a, n_buckets):
                 ids, place = np.unique(least[cut], return_inverse=True)
                 extra = np.int32(len(ids)).tobytes() + ids.tobytes() + b[cut].tobytes() + place.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes()
-                out.add(r["cid"], int(k), a[cut].tobytes(), extra)
+                out.add(r["cid"], k, a[cut].tobytes(), extra)
             yield from out.ready()
         yield out.flush()
 
@@ -246,8 +240,7 @@ def cut_words(window: int, n_anchor: int, n_windows: int):
             ids, known, chunk = ct.unpack(r)
             p = Parsed(ids, known, chunk, window)
             mine, a, _, least, which = p.candidates(r["shared"], n_anchor)
-            _, bounds = blobs.split(a, n_windows)
-            earlier = blobs.unpack_bits(r["earlier"], bounds)
+            earlier = blobs.Split(a, n_windows).unpack(r["earlier"])
             gone = earlier[which] | (least[which] < p.ids[mine]) if len(mine) else np.zeros(0, bool)
             edge = np.zeros(len(p.hashes) + 1, np.int64)
             starts = p.at[mine[gone]]

@@ -6,6 +6,8 @@ chunk of its own), so memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -38,22 +40,44 @@ def process_memo() -> dict:
     return sys.modules.setdefault("_faultlens_memo", types.ModuleType("_faultlens_memo")).__dict__
 
 
-def powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
-    """ODD**j and its inverse modulo 2**64, for j up to n."""
-    memo = process_memo()
-    have = memo.get(("powers", lane))
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, CHUNK + 1)
-        base, inverse = int(ODD[lane]), pow(int(ODD[lane]), -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = tuple(out)
-        if size <= 8 * CHUNK:
-            memo[("powers", lane)] = have
-    return have
+def scramble(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bijective scrambling of 128-bit values, each given as two halves."""
+    a = a + mix(b ^ ODD[0])
+    b = b ^ mix(a + ODD[1])
+    a = a + mix(b + ODD[0])
+    b = b ^ mix(a ^ ODD[1])
+    return a, b
+
+
+def combine(x: np.ndarray, y: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Names of ordered pairs of names."""
+    return mix(x * ODD[lane] + mix(y ^ ODD[1 - lane]))
+
+
+#: Spans up to so many bytes are named by a bijection of their bytes and length.
+SHORT = 15
+
+
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names of byte spans, as two halves: equal spans have equal names.
+
+    A span of up to SHORT bytes is its own name, scrambled, so two of them never collide.
+    A longer one is named by 120 bits of BLAKE2b.
+    """
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    word = np.ndarray(len(data) + 9, "<u8", padded.tobytes(), 0, (1,))
+    ones = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    a = word[starts] & ones[np.minimum(size, 8)]
+    b = word[np.minimum(starts + 8, len(data))] & ones[np.clip(size - 8, 0, 7)]
+    b |= np.minimum(size, SHORT).astype(np.uint64) << U(56)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw = memoryview(padded)
+        digests = b"".join(blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        a[long], b[long] = both[:, 0], both[:, 1] | U(0xFF << 56)
+    return scramble(a, b)
 
 
 class Chunk:
@@ -61,7 +85,7 @@ class Chunk:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int):
         self.data, self.offsets, self.first, self.n = data, offsets, first, len(offsets) - 1
-        self._words = None
+        self._words, self._names = None, {}
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of words, and for each text the index of its first word (n + 1 values)."""
@@ -86,23 +110,22 @@ class Chunk:
                 self._words = (starts, ends, np.searchsorted(starts, off))
         return self._words
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0, data: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of byte spans: equal spans, equal values. Two lanes are independent."""
-        data = self.data if data is None else data
-        ahead, back = powers(len(data), lane)
-        value = mix(np.arange(1, 257, dtype=np.uint64) * ODD[1 - lane])
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(value[data] * ahead[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-
-    def word_hashes(self, lane: int = 0, lower: bool = False) -> np.ndarray:
-        starts, ends, _ = self.words()
-        data = self.data
-        if lower:
-            table = np.arange(256, dtype=np.uint8)
-            table[65:91] += 32
-            data = table[data]
-        return self.span_hashes(starts, ends, lane, data)
+    def span_names(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return span_names(self.data, starts, ends)
+
+    def word_names(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit names of the words, as two halves; lower: of the words with A-Z lower-cased."""
+        if lower not in self._names:
+            starts, ends, _ = self.words()
+            self._names[lower] = span_names(lowered(self.data) if lower else self.data, starts, ends)
+        return self._names[lower]
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table[data]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,17 +159,24 @@ def rows_of(counts_from: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts_from) - 1), np.diff(counts_from))
 
 
-def windows(hashes: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
-    """Hashes of every k consecutive values; window i covers values i to i + k - 1."""
-    n = len(hashes) - k + 1
+def windows(names: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """Names of every k consecutive values; window i covers values i to i + k - 1.
+
+    Names of 1, 2, 4, ... values are pairs of names; a window is made of those that k's bits say.
+    """
+    n = len(names) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = hashes[:n].copy()
-    step = ODD[lane] | U(1)
-    for j in range(1, k):
-        out *= step
-        out += hashes[j : j + n]
-    return mix(out)
+    out, at, level, width = None, 0, names, 1
+    while at < k:
+        if k & width:
+            part = level[at : at + n]
+            out = part if out is None else combine(out, part, lane)
+            at += width
+        if at < k:
+            level = combine(level[:-width], level[width:], lane)
+            width *= 2
+    return combine(out, np.full(n, k, np.uint64), lane)
 
 
 def window_ok(first: np.ndarray, k: int, total: int) -> np.ndarray:
@@ -158,10 +188,14 @@ def window_ok(first: np.ndarray, k: int, total: int) -> np.ndarray:
     return row[:n] == row[k - 1 :]
 
 
-def join_words(chunk: Chunk, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept words of each text joined by one space, as bytes and offsets."""
+def join_words(chunk: Chunk, keep: np.ndarray, row: np.ndarray | None = None, n: int | None = None, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Kept words of each text joined by one space, as bytes and offsets; one more space follows each text.
+
+    row and n: of another division of the words into n rows; data: other bytes at the same places.
+    """
     starts, ends, first = chunk.words()
-    row = rows_of(first)[keep]
+    row = (rows_of(first) if row is None else row)[keep]
+    data = chunk.data if data is None else data
     s, e = starts[keep], ends[keep]
     size = e - s + 1
     put = np.zeros(len(s) + 1, np.int64)
@@ -171,6 +205,6 @@ def join_words(chunk: Chunk, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(put[-1]) - np.repeat(put[:-1] - s, size)
         last = np.zeros(put[-1], bool)
         last[put[1:] - 1] = True
-        out[~last] = chunk.data[at[~last]]
-    firsts = np.searchsorted(row, np.arange(chunk.n + 1))
+        out[~last] = data[at[~last]]
+    firsts = np.searchsorted(row, np.arange((chunk.n if n is None else n) + 1))
     return out, put[firsts]

@@ -1,13 +1,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultlens.llm import jaccard_join, line_dedup, substring_dedup
+from faultlens.llm import jaccard_join, line_dedup, quality_rules, substring_dedup
 from faultlens.llm import textarrays as ta
 
-from .helpers import SCHEMA, cut_lines, cut_windows, edge_docs, edge_rows, link_groups, passage, sha
+from .helpers import SCHEMA, cut_lines, cut_windows, edge_docs, edge_rows, link_groups, passage, sha, words
 
 
 def collected(df, *names):
@@ -47,7 +49,7 @@ def test_line_dedup_matches_brute_force(spark):
     assert got == sorted(cut_lines(rows), key=repr)
 
 
-@pytest.mark.parametrize("k", [1, 2, 4])
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
 def test_line_dedup_on_few_distinct_lines(spark, k):
     r = random.Random(k)
     rows = [(d, "\n".join(r.choice(["a", "b", "c c", "", "d", "  "]) for _ in range(r.randint(0, 40))), None, None, None) for d in range(30)]
@@ -75,9 +77,44 @@ def test_op1_and_the_stage_delete_runs_of_one_line(spark, tmp_path):
     assert stage == sorted((d, k) for d, n, gone, k in want if gone < n) and [d for d, _ in stage] == [1, 3, 4]
 
 
-def test_line_dedup_wants_a_power_of_two(spark):
+def brute_runs(rows, k):
+    """op1's n_runs and longest_run by brute force: stretches of removed lines, and the longest shared run."""
+    seqs = [[x for x in (t or "").split("\n") if words(x)] if d is not None else [] for d, t, *_ in rows]
+    places = [(i, j) for i, s in enumerate(seqs) for j in range(len(s))]
+    longest = [0] * len(rows)
+    for i, j in places:
+        for x, y in places:
+            if (i, j) != (x, y):
+                n = 0
+                while j + n < len(seqs[i]) and y + n < len(seqs[x]) and seqs[i][j + n] == seqs[x][y + n]:
+                    n += 1
+                longest[i] = max(longest[i], n if n >= k else 0)
+    return longest
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_longest_run_matches_brute_force(spark, k):
+    r = random.Random(40 + k)
+    copied = [f"line {x}" for x in range(45)]
+    rows = [(d, "\n".join(r.choice(["a", "b", "c c", "", "d", f"u{r.random()}"]) for _ in range(r.randint(0, 14))), None, None, None) for d in range(16)]
+    rows += [(20, "\n".join(copied), None, None, None), (21, "\n".join(["q", *copied[:33], "r", *copied[20:], "a"]), None, None, None), (22, "\n".join(["a"] * 30), None, None, None)]
+    got = {x["doc_id"]: x for x in line_dedup.line_dedup(edge_docs(spark, rows), min_lines=k).collect()}
+    assert [got[d]["longest_run"] for d, *_ in rows] == brute_runs(rows, k)
+    cut = {d: (n, gone, kept) for d, n, gone, kept in cut_lines(rows, k)}
+    assert all((x["n_lines"], x["n_removed"], x["kept_text"]) == cut[d] for d, x in got.items())
+
+
+def test_common_prefixes_decide_what_is_deleted(spark, monkeypatch):
+    """Without the prefixes no interval is left, so nothing is deleted."""
+    real = line_dedup.common_prefixes
+    monkeypatch.setattr(line_dedup, "common_prefixes", lambda array, table: real(array, table).withColumn("lcp", F.lit(0)))
+    rows = [(1, "a\nb\nc", None, None, None), (2, "a\nb\nc", None, None, None)]
+    assert [r["n_removed"] for r in line_dedup.line_dedup(edge_docs(spark, rows)).collect()] == [0, 0]
+
+
+def test_line_dedup_wants_a_positive_length(spark):
     with pytest.raises(ValueError):
-        line_dedup.line_dedup(edge_docs(spark), min_lines=3)
+        line_dedup.line_dedup(edge_docs(spark), min_lines=0)
 
 
 def test_jaccard_join_matches_brute_force(spark):
@@ -129,3 +166,37 @@ def test_no_link_is_lost_between_chunks(spark, seed):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
     got = collected(jaccard_join.jaccard_join(docs), "doc_id", "n_shingles", "component_id")
     assert got == sorted(link_groups(rows), key=repr)
+
+
+def twins(n):
+    """Two complementary words of n letters whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096, 65536])
+def test_complementary_texts_are_different(spark, n):
+    """As words, as lines, and as sequences of words, in all operators that compare names."""
+    a, b = twins(n)
+    spread = lambda t: " ".join(t[:4096])
+    tail = " ".join(f"w{k}" for k in range(12))
+    texts = [f"{a}\nsame line", f"{b}\nsame line", f"{a} {tail}", f"{b} {tail}", f"{a} x", f"{b} x", f"{a}\n{b}", spread(a), spread(b), f"{spread(a)}\n{spread(b)}\n{spread(a)}"]
+    rows = [(d, t, None, None, None) for d, t in enumerate(texts)]
+    docs = edge_docs(spark, rows)
+    assert collected(line_dedup.line_dedup(docs, min_lines=1), "doc_id", "n_lines", "n_removed", "kept_text") == sorted(cut_lines(rows, 1), key=repr)
+    assert collected(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_text") == sorted(cut_windows(rows), key=repr)
+    assert collected(jaccard_join.jaccard_join(docs), "doc_id", "n_shingles", "component_id") == sorted(link_groups(rows), key=repr)
+    assert collected(quality_rules.quality_rules(docs), "doc_id", "n_dup_lines") == [(d, len(t.split("\n")) - len(set(t.split("\n")))) for d, t in enumerate(texts)]
+
+
+def test_names_are_exact_up_to_fifteen_bytes_and_see_every_byte():
+    words = [x * n for n in (1, 7, 8, 9, 15, 16, 17, 40) for x in "ab"] + ["a\0", "a\0\0", "\0", "\0\0", "a" * 15 + "\0", "a" * 14 + "\0", "b" + "a" * 39, "a" * 39 + "b"]
+    chunk = next(ta.chunks(pa.array([" ".join(words)])))
+    assert len(set(zip(*(x.tolist() for x in chunk.word_names()), strict=True))) == len(set(words))
+    a = np.arange(1000, dtype=np.uint64)
+    assert len(set(zip(*(x.tolist() for x in ta.scramble(a, a[::-1].copy())), strict=True))) == 1000
+    for k in range(1, 9):
+        got = {}
+        for i, h in enumerate(ta.windows(a[[0, 1, 0, 1, 1, 0, 0, 1, 0, 1, 0, 1, 1, 0, 0, 1]], k).tolist()):
+            got.setdefault(h, set()).add("0101100101011001"[i : i + k])
+        assert all(len(v) == 1 for v in got.values()) and len(got) == len({"0101100101011001"[i : i + k] for i in range(17 - k)})
