@@ -1,9 +1,10 @@
 """Best-fit packing by exact-complement hashing.
 
 Only piece lengths decide a packing, and there are at most `limit` of them, so the whole
-corpus is planned from one histogram.  For the longest length left, the lengths (one, two
-or three) that fill its gap exactly are looked up and used as often as all of them last;
-what has no exact complement is placed best-fit.  A plan is a short list of patterns with
+corpus is planned from one histogram.  An index holds, for every sum of one, two or three
+available lengths, one way to make it.  For the longest length left, the lengths that fill
+its gap exactly are looked up there and used as often as all of them last; what has no
+exact complement is placed best-fit.  A plan is a short list of patterns with
 counts.  Every piece gets its number among pieces of its length from two levels of
 counts (inside its task, then over tasks), and that number says which sequence it is in.
 """
@@ -23,6 +24,8 @@ from . import textarrays as ta
 END = 2
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
+#: White space in a row that the rank encoder is not given; it fails at about a million.
+BLANKS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
 
 
@@ -31,9 +34,12 @@ def encoder(path: str):
 
     The tokenizer's file gives the byte strings of its ids, in the order of its merges;
     a rank encoder merges by the same order over the same splits and is several times
-    faster.  A text with the special string goes to the tokenizer itself.
+    faster.  A text with the special string goes to the tokenizer itself, and so does one
+    with so long a run of white space that the splits of the rank encoder can't step back
+    over it.
     """
     import json
+    import re
 
     import tiktoken
     from tokenizers import Tokenizer
@@ -49,9 +55,10 @@ def encoder(path: str):
         fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         memo["bpe", path] = (Tokenizer.from_file(path), fast)
     tokenizer, fast = memo["bpe", path]
+    blank = re.compile(r"\s{%d}" % BLANKS)
 
     def encode(text: str) -> bytes:
-        if SPECIAL in text:
+        if SPECIAL in text or (len(text) > BLANKS and blank.search(text)):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
@@ -85,60 +92,92 @@ def cut(path: str, limit: int):
     return run
 
 
-def exact(have: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
-    """Up to `most` (3) available lengths that fill a gap exactly, longest first."""
-    if have[gap] > 0:
-        return (gap,)
-    if most < 2:
-        return None
+class Sums:
+    """Single, pair and triple sums of available lengths; availability may only fall.
 
-    def two(total: int, longest: int) -> tuple[int, int] | None:
+    pair[s] and triple[s] are the longest parts of a way to make s, 0 if there is none.  An
+    entry whose lengths have run out is looked for again when it is asked for.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have, n = have, len(have)
+        self.pair = [self.find_pair(s, s) for s in range(n)]
+        self.triple = [-1] * n  # -1: not looked for yet
+
+    def find_pair(self, total: int, longest: int) -> int:
+        """The longest length of up to `longest` that another one of at most its size completes."""
         a = np.arange(min(longest, total - 1), (total + 1) // 2 - 1, -1)
-        ok = (have[a] > 0) & (have[total - a] > 0) & ((a != total - a) | (have[a] > 1))
-        return (int(a[ok.argmax()]), int(total - a[ok.argmax()])) if ok.any() else None
+        ok = (self.have[a] > 0) & (self.have[total - a] > 0) & ((a != total - a) | (self.have[a] > 1))
+        return int(a[ok.argmax()]) if ok.any() else 0
+
+    def pair_of(self, total: int) -> tuple[int, int] | None:
+        a = self.pair[total]
+        if a and not self.good(a, total - a):
+            a = self.pair[total] = self.find_pair(total, a)
+        return (a, total - a) if a else None
+
+    def good(self, *lengths: int) -> bool:
+        return all(self.have[x] >= lengths.count(x) for x in lengths)
+
+    def triple_of(self, total: int) -> tuple[int, int, int] | None:
+        c = self.triple[total]
+        c = total - 2 if c < 0 else c
+        while c >= (total + 2) // 3 and c > 0:
+            if self.have[c] > 0:
+                rest = total - c
+                a = self.pair[rest]
+                if a and not (a <= c and self.good(c, a, rest - a)):
+                    a = self.below(rest, c)
+                if a:
+                    self.triple[total] = c
+                    return (c, a, rest - a)
+            c -= 1
+        self.triple[total] = 0
+        return None
 
-    if pair := two(gap, gap):
-        return pair
-    for c in range(gap - 2 if most > 2 else 0, (gap + 2) // 3 - 1, -1):
-        if have[c] > 0:
-            have[c] -= 1
-            pair = two(gap - c, min(c, gap - c - 1))
-            have[c] += 1
-            if pair:
-                return (c, *pair)
-    return None
+    def below(self, total: int, c: int) -> int:
+        """As find_pair, with no length over c, one of which is taken."""
+        self.have[c] -= 1
+        a = self.find_pair(total, min(c, total - 1))
+        self.have[c] += 1
+        return a
 
+    def exact(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """Up to `most` available lengths that fill a gap exactly, longest first."""
+        if self.have[gap] > 0:
+            return (gap,)
+        return (self.pair_of(gap) if most > 1 else None) or (self.triple_of(gap) if most > 2 else None)
 
-def plan(count: np.ndarray, limit: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """The shortest of the plans with complements of at most three, two or one length."""
-    return min((fill_up(count, limit, most) for most in (3, 2, 1)), key=lambda p: sum(times for times, _ in p))
+
+def exact(have: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
+    """Up to `most` (3) available lengths that fill a gap exactly, longest first."""
+    return Sums(have).exact(gap, most)
 
 
-def fill_up(count: np.ndarray, limit: int, most: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def plan(count: np.ndarray, limit: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns (how often, [(length, how many)]) that use every piece once.
 
-    A sequence starts with the longest length left.  If up to `most` lengths fill its
-    gap exactly, they do; else the longest piece that fits goes in, and the smaller gap is
+    A sequence starts with the longest length left.  If up to three lengths fill its gap
+    exactly, they do; else the longest piece that fits goes in, and the smaller gap is
     looked up again.  The content found is used as often as its lengths last, so the list
     is short whatever the counts are.
     """
-    count = count.copy()
-    out = []
+    left = count.copy()
+    sums, out = Sums(left), []
     for length in range(limit, 0, -1):
-        while count[length] > 0:
-            have, content, gap = count.copy(), [length], limit - length
-            have[length] -= 1
-            while gap and have[1 : gap + 1].any():
-                fill = exact(have, gap, most) or (int(np.flatnonzero(have[: gap + 1])[-1]),)
+        while left[length] > 0:
+            content, gap = [length], limit - length
+            left[length] -= 1
+            while gap and left[1 : gap + 1].any():
+                fill = sums.exact(gap) or (int(np.flatnonzero(left[: gap + 1])[-1]),)
                 content += fill
-                for x in fill:
-                    have[x] -= 1
+                np.subtract.at(left, list(fill), 1)
                 gap -= sum(fill)
             need = np.bincount(content, minlength=limit + 1)
             used = np.flatnonzero(need)
-            times = int((count[used] // need[used]).min())
-            count -= times * need
-            out.append((times, [(x, content.count(x)) for x in dict.fromkeys(content)]))
+            more = int((left[used] // need[used]).min())
+            left -= more * need
+            out.append((1 + more, [(x, content.count(x)) for x in dict.fromkeys(content)]))
     return out
 
 
@@ -192,7 +231,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     A row is its text's ids and an end token (null text: that token alone).  Longer rows
     are cut so that all pieces but the first are full.  One row per piece: doc_id, piece,
     start, length, ids_crc32, sequence_id, offset.  Rows without an id and repeated rows
-    are packed like others.
+    are packed like others.  A very long text is encoded whole by one task, in time that
+    grows with its length alone; long runs of one kind of character are no special case.
+
+    Pieces are dealt to the counts of their task by a shuffle join; nothing that grows with
+    the number of tasks is broadcast.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = store.materialize(rows.mapInArrow(cut(tokenizer or default_tokenizer(), limit), PIECES), "pieces")
@@ -203,7 +246,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     for r in starts.groupBy("length").agg(F.sum("n")).collect():
         count[r[0]] = r[1]
     places = Places(plan(count, limit), limit)
-    numbered = pieces.join(starts.drop("n"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("number"))
+    numbered = pieces.hint("shuffle_hash").join(starts.drop("n").hint("shuffle_hash"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("number"))
     return numbered.mapInArrow(place(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
