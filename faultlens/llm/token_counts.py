@@ -3,9 +3,8 @@
 A vocabulary with scores is read from a public tokenizer's file; the tokenizer is the
 unigram model over it: white space marks begin pieces, the best-scoring segmentation of a
 stretch wins, a character that no piece covers costs the least score less ten and counts
-its bytes.  Stretches between marks are independent, and so are those between characters
-outside the vocabulary, so each distinct stretch is segmented once: an Aho-Corasick
-automaton lists the pieces that end at each place, longest first, and only the best score
+its bytes.  Stretches between marks are independent, so each distinct short one is
+segmented once: an Aho-Corasick automaton lists the pieces that end at each place, longest first, and only the best score
 and its piece count are carried on.  On equal scores the longest piece stays, as it does
 in the tokenizer, which meets earlier starts first.
 """
@@ -21,8 +20,8 @@ from . import textarrays as ta
 
 MARK = "▁"
 PENALTY = 10.0
-#: Distinct stretches that a worker remembers.
-MEMO = 400_000
+#: What a worker remembers: stretches up to LONG characters, MEMO characters of them in all.
+LONG, MEMO = 64, 4_000_000
 
 
 def load_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -45,33 +44,52 @@ class Counter(dict):
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest, self.held = max(len(piece) for piece, _ in vocabulary), 0
         self.unknown = min(score for _, score in vocabulary) - PENALTY
         letters = set().union(*(piece for piece, _ in vocabulary))
         self.line_end = None if "\n" in letters else complex(self.unknown, 1)
 
     def __missing__(self, stretch: str) -> complex:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[stretch] = self.best(stretch)
+        value = self.best(stretch)
+        if len(stretch) <= LONG:
+            self.held += len(stretch)
+            if self.held > MEMO:
+                self.clear()
+                self.held = len(stretch)
+            self[stretch] = value
         return value
 
     def best(self, text: str) -> complex:
-        n = len(text)
-        score, pieces = [0.0] * (n + 1), [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(text):
-            ends[end].append(match)
-        for end, matches in enumerate(ends):
+        """Only as many places as the longest piece has characters are kept, whatever the stretch."""
+        size = self.longest + 1
+        score, pieces = [0.0] * size, [0] * size
+        done = 0
+
+        def close(end: int, matches: list[tuple[int, float]]) -> None:
             top, count, single = None, 0, False
             for length, value in matches:
-                start = end + 1 - length
+                start = (end + 1 - length) % size
                 single = length == 1 or single
                 if top is None or score[start] + value > top:
                     top, count = score[start] + value, pieces[start] + 1
-            if not single and (top is None or score[end] + self.unknown > top):
-                top, count = score[end] + self.unknown, pieces[end] + len(text[end].encode())
-            score[end + 1], pieces[end + 1] = top, count
-        return complex(score[n], pieces[n])
+            last = end % size
+            if not single and (top is None or score[last] + self.unknown > top):
+                top, count = score[last] + self.unknown, pieces[last] + len(text[end].encode())
+            score[(end + 1) % size], pieces[(end + 1) % size] = top, count
+
+        matches: list[tuple[int, float]] = []
+        for end, match in self.automaton.iter(text):
+            if end > done and matches:
+                close(done, matches)
+                done, matches = done + 1, []
+            while done < end:
+                close(done, matches)
+                done += 1
+            matches.append(match)
+        while done < len(text):
+            close(done, matches)
+            done, matches = done + 1, []
+        return complex(score[len(text) % size], pieces[len(text) % size])
 
     def count(self, text: str) -> complex:
         if not text:
@@ -116,7 +134,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_tokens and score (of the best segmentation) of every row.
 
     vocabulary: a sentencepiece file.  Null and empty text: no tokens, score 0.  Rows
-    without an id and repeated rows are counted like others.
+    without an id and repeated rows are counted like others; a stretch without white space,
+    however long, takes time by its length and the memory of one longest piece.
     """
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return rows.mapInArrow(count_rows(vocabulary or default_vocabulary()), "doc_id long, n_tokens long, score double")

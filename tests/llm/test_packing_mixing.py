@@ -1,8 +1,10 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from faultlens.llm import mixing, packing, token_counts
@@ -154,3 +156,59 @@ def test_token_scores_are_the_best_of_all_segmentations():
     for text in ("a", "b", "ab", "aba", "abab", "bbaa", "ababab"):
         got = c.count(text)
         assert got.real == max(s for s, _ in every("▁" + text)) and int(got.imag) == len(t.encode(text).ids)
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", " \r\n", "　"])
+def test_two_million_blanks_have_the_tokenizers_ids(blank):
+    t, encode = Tokenizer.from_file(packing.default_tokenizer()), packing.encoder(packing.default_tokenizer())
+    for text in (blank * (2_000_000 // len(blank)), f"a{blank * (packing.BLANKS // len(blank) - 1)}b", f"a {blank * packing.BLANKS}b"):
+        assert np.array_equal(np.frombuffer(encode(text), "<u4"), t.encode(text, add_special_tokens=False).ids)
+
+
+def test_packing_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = packing.pack(docs).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(brute_pieces([tuple(r) for r in docs.collect()]))
+    tokens = sum(r["length"] for r in got)
+    assert -(-tokens // 1024) <= check_places(got) <= 1.01 * tokens / 1024
+
+
+def test_the_index_of_sums_finds_what_brute_force_finds():
+    r = random.Random(11)
+    for _ in range(30):
+        have = np.zeros(65, np.int64)
+        for _ in range(r.randint(1, 12)):
+            have[r.randint(1, 64)] += r.randint(1, 2)
+        sums = packing.Sums(have)
+        while have.any():
+            for gap in range(1, 65):
+                pool = [x for x in range(1, 65) for _ in range(min(3, have[x]))]
+                ways = [w for k in (1, 2, 3) for w in combinations(pool, k) if sum(w) == gap]
+                fill = sums.exact(gap)
+                assert (fill is not None) == bool(ways) and (not fill or (sum(fill) == gap and tuple(sorted(fill)) in ways and len(fill) == min(map(len, ways))))
+            have[r.choice(np.flatnonzero(have).tolist())] -= 1
+
+
+def test_token_counts_of_a_whole_table(spark):
+    t = Tokenizer(models.Unigram(token_counts.load_vocabulary(token_counts.default_vocabulary()), unk_id=0, byte_fallback=True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs).collect()}
+    assert got == {d: len(t.encode(x or "").ids) for d, x in docs.collect()}
+
+
+def test_long_stretches_are_counted_in_bounded_memory():
+    """A stretch of a million letters, with characters of no piece in it, against the tokenizer."""
+    import tracemalloc
+
+    vocabulary = token_counts.load_vocabulary(token_counts.default_vocabulary())
+    t = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace()
+    r = random.Random(2)
+    text = "".join(r.choice("abcdefgh𝔘") for _ in range(300_000))
+    c = token_counts.Counter(vocabulary)
+    tracemalloc.start()
+    n = c.count(text).imag
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(t.encode(text).ids) and peak < 20e6
