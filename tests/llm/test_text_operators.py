@@ -81,8 +81,8 @@ def test_base_spans_follow_the_patterns():
     text = "a@b.co x.y@z.example.org. 1.2.3.4 1.2.3.999 10.0.0.1.5 4111 1111 1111 1111 4111-1111-1111-1112 +1 (736) 555-2678 +12 34 é@x.fr @b.c a@b 0000.1.1.1"
     found = [(pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)]
     assert found == [
-        ("email", "a@b.co"), ("email", "x.y@z.example.org"), ("ip", "1.2.3.4"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (736) 555-2678"), ("ip", "0000.1.1.1"),
-    ] or found[:2] == [("email", "a@b.co"), ("email", "x.y@z.example.org")]
+        ("email", "a@b.co"), ("email", "x.y@z.example.org"), ("ip", "1.2.3.4"), ("ip", "10.0.0.1"), ("phone", "+1 (736) 555-2678"), ("ip", "0000.1.1.1"),
+    ]
     r = random.Random(1)
     for _ in range(20_000):
         t = "".join(r.choice("ab1.@-%+_ é") for _ in range(r.randint(1, 18)))
@@ -92,14 +92,91 @@ def test_base_spans_follow_the_patterns():
         assert [m.group() for m in pii.NODE.finditer(t)] == [w for w in words(t) if any(c.isdigit() or c == "@" for c in w)]
 
 
-@pytest.mark.parametrize("text", ["1" * 400_000, "x" * 400_000 + " 1", "a@" * 100_000, "1." * 100_000, "+1" * 100_000, "1 " * 100_000, "a.b-" * 100_000 + "@"])
+def brute_spans(text):
+    """Base spans by the contract's patterns alone."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    out = []
+    for k, (kind, pattern) in enumerate(plain.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            luhn = sum(d if j % 2 == 0 else (2 * d) // 10 + (2 * d) % 10 for j, d in enumerate(reversed(digits))) % 10 == 0
+            good = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else None, "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+def test_base_spans_of_a_whole_table_match_brute_force(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    r = random.Random(8)
+    odd = [(10**6 + k, "".join(r.choice("0123456789 -.+()@ax") for _ in range(60)), None, None, None) for k in range(400)]
+    odd += [(2 * 10**6 + k, f"x {r.choice(['4111 1111 1111 1111', '4111-1111-1111-1112', '1.2.3.4.5', '+49 (30) 1234.5678', '+1-2', '300.1.1.1', '0000004.1.1.1'])}{r.choice(['', '.', '1', ' 2'])}", None, None, None) for k in range(100)]
+    rows = [*docs.select("doc_id", "text").collect(), *odd, (None, None, None, None, None)]
+    spark.createDataFrame([(x[0], x[1], None, None, None) for x in rows], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.query(spark, str(tmp_path)).collect()
+    want = []
+    for d, t, *_ in rows:
+        spans = brute_spans(t)
+        want.append((d, *(sum(x.startswith(k) for x in spans) for k in pii.KINDS), hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    assert ordered(tuple(x)[:6] for x in got) == ordered(want)
+    by = {x["doc_id"]: x["spans"].split(",") for x in got}
+    assert all(set(brute_spans(t)) <= set(by[d]) for d, t, *_ in rows if t and d is not None and brute_spans(t))
+
+
+def test_planted_repeats_of_observed_words_are_found(spark):
+    """Local numbers that repeat a whole phone number, and numbers that the base patterns lose in longer runs of digits; what else is added.
+
+    Names without an @ look so unlike addresses that their repeats stay outside; at most they are labelled as what they repeat.
+    """
+    r, rows, planted = random.Random(12), [], {}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(150).collect()
+    for d in range(150):
+        words_, local, name = (docs[d][0] or "").split(" ")[:200], f"{r.randint(200, 999)}-{r.randint(1000, 9999)}", f"jo.{r.choice('abcdef')}{r.randint(10, 99)}"
+        full = [f"+1 ({r.randint(200, 999)}) {local}", f"{name}@mail{r.randint(1, 9)}.example.com"]
+        head, text = " ".join(words_), ""
+        text = f"{head} call {full[0]} or write {full[1]} now. "
+        if d % 2:
+            planted[d] = []
+            for w in (local, name):
+                text += " ".join(r.choice(words_ or ["x"]) for _ in range(30)) + " "
+                planted[d].append((len(text), len(text) + len(w)))
+                text += w + " "
+        rows.append((d, text, None, None, None))
+    got = {x["doc_id"]: {tuple(map(int, s.split(":")[1:])) for s in x["spans"].split(",") if s} - {tuple(map(int, s.split(":")[1:])) for s in x["base"].split(",") if s} for x in pii.personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    numbers, names = (sum(ps[k] in got[d] for d, ps in planted.items()) for k in (0, 1))
+    assert numbers >= 0.9 * len(planted)
+    assert sum(len(v) for d, v in got.items()) - numbers - names <= 0.05 * len(rows)
+
+
+def test_no_document_changes_what_another_one_gets():
+    import numpy as np
+
+    r = random.Random(3)
+    k = len(pii.LABELS)
+    rng = np.random.default_rng(3)
+    model = pii.Model(rng.normal(size=(pii.SHAPES, k)), *(lambda x: (x[0] + x[0].T, x[1] + x[1].T))(rng.normal(size=(2, k, k))))
+    texts = [" ".join(r.choice(["+1 (736) 555-2678", "555-2678", "12", "a@b.co", "a", "w", "7365552678"]) for _ in range(r.randint(0, 60))) for _ in range(40)]
+    fields = [pii.Field(t, pii.base_spans(t)) for t in texts]
+    for f, p in zip(fields, model.all_marginals(fields), strict=True):
+        assert np.array_equal(p, model.marginals(f))
+
+
+@pytest.mark.parametrize("text", ["1" * 400_000, "x" * 400_000 + " 1", "a@" * 100_000, "1." * 100_000, "+1" * 100_000, "1 " * 100_000, "a.b-" * 100_000 + "@", "call +1 (736) 555-2678 or 555-2678 " * 10_000])
 def test_long_odd_texts_take_linear_time(text):
     import time
 
+    import numpy as np
+
     start = time.process_time()
     spans = pii.base_spans(text)
-    pii.Field(text, spans)
-    assert time.process_time() - start < 10
+    field = pii.Field(text, spans)
+    k = len(pii.LABELS)
+    model = pii.Model(np.zeros((pii.SHAPES, k)), np.eye(k), 2 * np.eye(k))
+    pii.added_spans(field, model.marginals(field), spans)
+    assert time.process_time() - start < 20
 
 
 def test_the_field_adds_what_repeats_an_observed_word(spark):
@@ -126,7 +203,6 @@ def test_messages_carry_observations_over_skip_edges():
     p = model.marginals(f)
     exact = 0.1 * np.exp(4) / (0.1 * np.exp(4) + 0.9)  # one edge: messages are exact
     assert abs(p[1, 4] - exact) < 1e-3 and p[2].argmax() == 0
-    assert f.backed()[1, 4] and not f.backed()[2].any()
 
 
 def test_an_observed_number_reaches_all_its_repeats():
