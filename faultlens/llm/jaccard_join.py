@@ -12,11 +12,11 @@ A chunk of documents meets each signature once: its own classes with equal signa
 are linked to one of them there, and only that one travels.  Groups over ALL classes are
 linked as stars (those of up to ALL classes pair by pair); they, and groups where a class
 speaks for others of its chunk, also tie their classes together.  When the links are
-known, classes that ties connect and that ended in different components are compared in
-blocks, a pair of blocks a task: a bound from small histograms of the sets rules most
-pairs out, the rest are counted exactly, and a task returns only links that join
-components.  So no pair is lost and none is emitted
-but as a candidate star ray or a link.
+known, classes that ties connect and that ended outside the largest component of their
+cluster and size band are compared with the rest of it, a pair of blocks a task: a bound
+from small histograms of the sets rules most pairs out, the rest are counted exactly, and a
+task returns only links that join components.  So no pair is lost and none is emitted but
+as a candidate star ray or a link.
 """
 
 from __future__ import annotations
@@ -326,22 +326,21 @@ def verify(num: int, den: int):
 
 
 def compare_blocks(num: int, den: int):
-    """Links that join components between two blocks of a cluster, or inside one."""
+    """Links that join components between a block's classes and a block of guests."""
 
     def run(table: pa.Table) -> pa.Table:
         names = table.column("class").to_pylist()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("items")]
         size = np.array([len(s) for s in sets])
-        own = table.column("own").to_numpy()
+        guest, upper, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("guest", "upper", "main"))
         root, label = table.column("root").to_pylist(), {}
         group = np.array([label.setdefault(r, len(label)) for r in root])
+        rank = np.argsort(np.argsort(np.array(names, object), kind="stable"), kind="stable")
         hist = np.stack([np.minimum(np.bincount((s >> U(20)).astype(np.int64) % BINS, minlength=BINS), 255) for s in sets]).astype(np.int16)
-        inside = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         links = []
-        for x in np.argsort(size):
-            other = (group != group[x]) & similar_sizes(size, size[x], Fraction(num, den))
-            if not inside:
-                other &= own > own[x]
+        for x in np.flatnonzero(guest):
+            # two classes that can both be guests meet as such once
+            other = ~guest & (group != group[x]) & (main | (rank < rank[x])) & ~(upper & upper[x]) & similar_sizes(size, size[x], Fraction(num, den))
             y = np.flatnonzero(other)
             if not len(y):
                 continue
@@ -388,17 +387,33 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def block_links(ties: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components among classes that ties connect, found in pairs of blocks."""
+    """Links between components among classes that ties connect, found block by block.
+
+    A cluster is cut into the size bands that its similar pairs share.  In a band, the
+    classes outside its largest component are guests, in blocks of their own; every block of
+    the band meets every block of guests.  So work follows the guests times the band, and
+    classes of the largest component never meet one another.
+    """
     cluster = components(ties).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     label = components(links)
-    placed = cluster.join(label, cluster["class"] == label["node"], "left").select("class", "cluster", F.coalesce("root", "class").alias("root"))
+    sized = sets.select("class", (F.octet_length("items") / 8).cast("long").alias("size"))
+    placed = cluster.join(label, cluster["class"] == label["node"], "left").select("class", "cluster", F.coalesce("root", "class").alias("root")).join(sized, "class")
     placed = store.materialize(placed, "placed")
-    whole = placed.join(sets.select("class", (F.octet_length("items") / 8).alias("size")), "class").groupBy("cluster")
-    split = whole.agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("cluster", "blocks")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    rows = placed.join(split, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "root").join(sets, "class")
-    return store.materialize(rows.groupBy("cluster", "i", "j").applyInArrow(compare_blocks(num, den), "a binary, b binary"), "linked")
+    largest = placed.agg(F.max("size")).first()[0] or 1
+    own = F.size(F.filter(F.array(*(F.lit(int(x)) for x in Bands(num, den).upto(largest))), lambda x: x <= F.col("size")))
+    bands = F.inline(F.array(F.struct(own.alias("band"), F.lit(False).alias("upper")), F.struct((own - 1).alias("band"), F.lit(True).alias("upper"))))
+    banded = placed.select("class", "cluster", "root", "size", bands)
+    per = banded.groupBy("cluster", "band", "root").agg(F.sum("size").alias("s"))
+    per = per.groupBy("cluster", "band").agg(F.max_by("root", F.struct("s", "root")).alias("first"), F.sum("s").alias("all"), F.max("s").alias("most"), F.count("*").alias("n")).where("n > 1")
+    blocks = lambda size: F.ceil(size / BLOCK).cast("int")
+    per = per.select("cluster", "band", "first", blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("most")).alias("guests"))
+    rows = banded.join(per, ["cluster", "band"]).withColumn("main", F.col("root") == F.col("first"))
+    of = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = rows.select("cluster", "band", "upper", "main", "class", "root", F.lit(False).alias("guest"), of("blocks", 0).alias("i"), all_("guests").alias("j"))
+    away = rows.where("NOT main").select("cluster", "band", "upper", "main", "class", "root", F.lit(True).alias("guest"), all_("blocks").alias("i"), of("guests", 1).alias("j"))
+    met = home.unionAll(away).join(sets, "class")
+    return store.materialize(met.groupBy("cluster", "band", "i", "j").applyInArrow(compare_blocks(num, den), "a binary, b binary"), "linked")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, carry: tuple[Column, ...] = ()) -> DataFrame:
@@ -425,11 +440,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row without an id stays if no row with an id is in its group.
     """
-    key = store.key_of(id_col, text_col).alias("__key")
+    name = store.unused(docs, "key")
+    key = store.key_of(id_col, text_col).alias(name)
     groups = jaccard_join(docs, id_col, text_col, carry=(key,), **how)
-    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__key").distinct()
-    kept = docs.withColumn("__key", store.key_of(id_col, text_col)).join(leads.hint("merge"), "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name).distinct()
+    kept = docs.withColumn(name, store.key_of(id_col, text_col)).join(leads.hint("merge"), name, "left_semi")
+    return kept.dropDuplicates([name]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -153,8 +153,8 @@ class Model:
         return lang, score
 
 
-def predictor(model: Model, skip: int):
-    """Adds __lang_pred and __score to the columns from number skip on; the first is the text to judge."""
+def predictor(model: Model, skip: int, called: tuple[str, str]):
+    """Adds a language and a score, named as called, to the columns from number skip on; the first is the text to judge."""
 
     def run(batches):
         weights = [np.ascontiguousarray(model.weights[:, k]) for k in range(len(model.pairs))]
@@ -175,7 +175,7 @@ def predictor(model: Model, skip: int):
                     names, score = [None if g else UNKNOWN for g in good], np.zeros(c.n)
                 score = np.where(good, score, 0.0) if model.langs else score
                 rest = [x.slice(c.first, c.n) for x in batch.columns[skip:]]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[skip:], "__lang_pred", "__score"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[skip:], *called])
 
     return run
 
@@ -211,26 +211,35 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Learns from rows whose crc32 of the id is not 2 modulo 4 and whose language is known,
     about `bound` of them, the same number of each language; the bound keeps what the
     driver holds under 16 kB a row.  The text alone decides a prediction.  Text that is
-    null or has no letter is `und` with score 0; so is everything if nothing is labelled.
+    null or has no letter is `und` with score 0; so is everything if nothing is labelled.  A
+    very long text is judged whole, by one task, in arrays of a few dozen bytes a byte.
 
     Returns doc_id, held_out, lang_pred, score for every row.
     """
     model = learn(docs, id_col, text_col, lang_col, bound)
-    out = judged(docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id")), model, 1)
-    return out.select("doc_id", held_out().alias("held_out"), F.coalesce("__lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.col("__score").alias("score"))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    out = judged(rows, model, 1, ("lang_pred", "score"))
+    return out.select("doc_id", held_out().alias("held_out"), F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), "score")
 
 
-def judged(rows: DataFrame, model: Model, skip: int) -> DataFrame:
-    """rows from column number skip on, with __lang_pred (null for letters when nothing was learned) and __score; the first column is the text."""
+def judged(rows: DataFrame, model: Model, skip: int, called: tuple[str, str]) -> DataFrame:
+    """rows from column number skip on, with a language (null for letters when nothing was learned) and its score; the first column is the text."""
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[skip:])
-    return rows.mapInArrow(predictor(model, skip), f"{plain}, __lang_pred string, __score double")
+    return rows.mapInArrow(predictor(model, skip, called), f"{plain}, `{called[0]}` string, `{called[1]}` double")
 
 
-def known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 2000) -> DataFrame:
-    """The rows of docs whose text is in a language, with docs' columns; a null language is filled in."""
+def known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 2000, low: float = 0.35, contrary: float = 0.75) -> DataFrame:
+    """The rows of docs whose text is in the language that it is said to be in, with docs' columns; a null language is filled in.
+
+    A row goes if its text has no letter, if the predicted language has a score under `low`,
+    or if it has one of `contrary` or more and is not the row's own language.
+    """
     model = learn(docs, id_col, text_col, lang_col, bound)
-    out = judged(docs.select(text_col, *(c for c in docs.columns if c != text_col)), model, 0).where(~F.col("__lang_pred").eqNullSafe(UNKNOWN))
-    return out.withColumn(lang_col, F.coalesce(lang_col, "__lang_pred")).select(*docs.columns)
+    pred, score = store.unused(docs, "lang_pred"), store.unused(docs, "score")
+    out = judged(docs.select(text_col, *(c for c in docs.columns if c != text_col)), model, 0, (pred, score))
+    lettered, learned = ~F.col(pred).eqNullSafe(UNKNOWN), F.col(pred).isNotNull()
+    gone = learned & ((F.col(score) < low) | ((F.col(score) >= contrary) & F.coalesce(F.col(lang_col) != F.col(pred), F.lit(False))))
+    return out.where(lettered & ~gone).withColumn(lang_col, F.coalesce(lang_col, pred)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Media columns: payloads in tar shards, addressed by content.
 
 A payload becomes an 8-bit grey PNG, 192 samples wide.  Each task appends its images to
-tar shards in the shared folder, every distinct one once; a row carries the image's
+tar shards in the shared folder, every distinct one once a shard; a row carries the image's
 digest, shard, offset and length.  Two operators work on such rows: one reads only the
 first bytes of each image and fills metadata columns, the other reads whole images.
 
@@ -25,6 +25,8 @@ from . import store
 
 WIDTH = 192
 SHARD = 256 << 20
+#: Index rows that a task holds before it closes its shard and lets them go.
+HELD = 200_000
 #: PNG's signature and the length of what comes before its data.
 SIGNATURE, HEADER = b"\x89PNG\r\n\x1a\n", 33
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -67,7 +69,7 @@ def open_folder(folder: str):
 
 
 class Shards:
-    """Appends members to tar files of about SHARD bytes, each payload once."""
+    """Appends members to tar files of about SHARD bytes, each payload once in a file."""
 
     def __init__(self, folder: str, name: str):
         self.fs, self.root = open_folder(folder)
@@ -90,7 +92,9 @@ class Shards:
             self.places[key] = (digest, self.shard, self.at + len(head), len(image))
             self.at += len(head) + len(image) + -len(image) % 512
             if self.at >= SHARD:
+                place = self.places[key]
                 self.close()
+                return place
         return self.places[key]
 
     def close(self) -> None:
@@ -98,6 +102,7 @@ class Shards:
             self.stream.write(bytes(1024))
             self.stream.close()
             self.stream, self.number = None, self.number + 1
+            self.places.clear()
 
 
 def save(folder: str):
@@ -114,7 +119,12 @@ def save(folder: str):
                 for c, v in zip(columns, (doc_id.as_py(), n, *shards.add(payload)), strict=True):
                     c.append(v)
             held.append(pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, INDEX, strict=True)], schema=INDEX))
-        shards.close()  # rows leave only when all their shards are whole
+            if sum(b.num_rows for b in held) >= HELD:
+                shards.close()
+            if shards.stream is None:  # rows leave only when all their shards are whole
+                yield from held
+                held = []
+        shards.close()
         yield from held
 
     return run
@@ -123,8 +133,9 @@ def save(folder: str):
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[DataFrame, str]:
     """Stores the payload of every row; (doc_id, n_bytes, digest, shard, offset, length), and the folder.
 
-    Null text is an empty payload, one row of spaces.  Equal payloads of a task share one
-    member.  Rows without an id and repeated rows are stored like others.
+    Null text is an empty payload, one row of spaces.  Equal payloads of a shard share one
+    member.  Rows without an id and repeated rows are stored like others.  A very long text
+    is one image, which one task holds with its payload.
     """
     folder = folder or store.new_path(docs.sparkSession, "media")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

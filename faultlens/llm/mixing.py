@@ -30,7 +30,10 @@ def draws(id_col: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size, target) of each source; sizes has source and size."""
+    """(source, source_size, target) of each source; sizes has source and size.
+
+    The windows over all sources run in one task, on one row per source.
+    """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank - 1) % len(weights) + 1)
@@ -89,10 +92,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     rates = plan(sized(docs, id_col, text_col, source_col), **how)
     names = docs.columns
-    rates = rates.select(*(F.col(c).alias(f"__mix_{c}") for c in ("of", "copies", "fraction", "draw")))
-    n = F.col("__mix_copies") + F.when(draws(id_col)[F.col("__mix_draw")] < F.col("__mix_fraction"), 1).otherwise(0)
-    joined = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("__mix_of")))
-    return joined.where(n > 0).select(*names, F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("__mix_n")).select(*names)
+    of, times, fraction, draw = own = [store.unused(docs, f"mix_{c}") for c in ("of", "copies", "fraction", "draw")]
+    rates = rates.select(*(F.col(c).alias(name) for c, name in zip(("of", "copies", "fraction", "draw"), own, strict=True)))
+    n = F.col(times) + F.when(draws(id_col)[F.col(draw)] < F.col(fraction), 1).otherwise(0)
+    joined = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col(of)))
+    return joined.where(n > 0).select(*names, F.explode(F.sequence(F.lit(1), n.cast("int"))).alias(times)).select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import contextlib
 import gc
 import shutil
 import tempfile
+import threading
 import time
 import uuid
 
@@ -24,40 +25,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Where the session names none, the folder given to setCheckpointDir; in local mode alone
+    a temporary one is made, as on a cluster its machines would each have their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.faultlens.shared.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.faultlens.shared.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="faultlens-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.faultlens.shared.dir", base)
     return base.rstrip("/")
 
 
-#: Tables and folders made in this process that nothing has deleted yet.
-_made: set[str] = set()
+#: Tables and folders made in this process that nothing has deleted yet, and the threads that made them.
+_made: dict[str, int] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/faultlens/{name}-{uuid.uuid4().hex}"
-    _made.add(path)
+    _made[path] = threading.get_ident()
     return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-    _made.discard(path)
+    _made.pop(path, None)
 
 
 @contextlib.contextmanager
 def recording(into: set[str]):
-    """Adds to a set what is made meanwhile and not deleted again."""
+    """Adds to a set what this thread makes meanwhile and doesn't delete again."""
     before = set(_made)
     try:
         yield
     finally:
-        into |= _made - before
+        into |= {path for path, thread in _made.items() if path not in before and thread == threading.get_ident()}
 
 
 def clear(spark: SparkSession, paths: set[str], docs: DataFrame) -> None:
@@ -108,7 +112,7 @@ def drop(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes tables that materialize() wrote and nothing reads any more."""
     for df in frames:
         read = folders(df)
-        for path in [p for p in _made if p.rsplit("/", 1)[1] in read]:
+        for path in [p for p in list(_made) if p.rsplit("/", 1)[1] in read]:
             delete(spark, path)
 
 
@@ -123,6 +127,14 @@ def total_bytes(df: DataFrame) -> int:
     return total
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def key_of(*cols: str):
     """A 128-bit key of the named columns; nulls differ from every value."""
     parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols]

@@ -43,7 +43,7 @@ def edge_docs(spark, rows=None):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(edge_rows() if rows is None else rows, SCHEMA).repartition(3)
-    extra = ("cid", "class", "size", "copies", "target", "l", "a", "lang_pred", "score", "uid", "id", "of", "n_words", "bucket")
+    extra = ("cid", "class", "size", "copies", "target", "l", "a", "lang_pred", "score", "uid", "id", "of", "n_words", "bucket", "__key", "key", "mix_copies", "__mix_of", "__lang_pred", "__score", "__text", "__lang")
     return docs.withColumns({c: F.lit("clash") for c in extra})
 
 
@@ -90,9 +90,9 @@ def shingles(text, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def link_groups(rows, num=90, den=100):
+def link_groups(rows, num=90, den=100, n=3):
     """op10 by brute force: (doc_id, n_shingles, component_id)."""
-    sets = [shingles(r[1]) for r in rows]
+    sets = [shingles(r[1], n) for r in rows]
     group = list(range(len(rows)))
 
     def top(i):

@@ -1,5 +1,6 @@
 """The pipeline against brute force, stage by stage on the same rows."""
 
+import random
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
@@ -11,12 +12,11 @@ from .test_packing_mixing import brute_pieces, check_places
 
 
 def brute_until_mixing(rows):
-    """Language ID (rows without a letter go), line dedup, one document of each group."""
-    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
-    kept = {(d, i): k for i, (d, n, gone, k) in enumerate(cut_lines(rows)) if gone < n}
+    """From the rows that language ID keeps: line dedup, one document of each group."""
+    kept = {(d, i): k for i, (d, n, gone, k) in enumerate(cut_lines(rows, 1)) if gone < n}
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     rows = [(rows[i][0], kept[rows[i][0], k], rows[i][2], rows[i][3], len(kept[rows[i][0], k])) for k, i in enumerate(order) if (rows[i][0], k) in kept]
-    lead = [r for r, (d, _, c) in zip(rows, link_groups(rows), strict=True) if d == c]
+    lead = [r for r, (d, _, c) in zip(rows, link_groups(rows, 80, 100, 5), strict=True) if d == c]
     return list({(r[0], r[1]): r for r in lead}.values())
 
 
@@ -26,7 +26,7 @@ def write(spark, rows, path):
 
 
 def test_stages_match_brute_force(spark, tmp_path):
-    rows = edge_rows()
+    rows = [*edge_rows(), *((60 + k, f"a long text {c * 1_200_000} {passage(k, 30)}", "en", "s0", None) for k, c in enumerate(" \t\n"))]
     sf_dir = write(spark, rows, tmp_path)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = []
@@ -35,7 +35,8 @@ def test_stages_match_brute_force(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         out.append(docs.collect())
     assert all(set(r[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"} for r in out[:4])
-    want = brute_until_mixing(rows)
+    assert not {(r["doc_id"], r["text"]) for r in out[0]} - {(r[0], r[1]) for r in rows if any(c.isalpha() for c in r[1] or "")}
+    want = brute_until_mixing([tuple(r) for r in out[0]])
     assert Counter((r["doc_id"], r["text"], r["source"], r["n_chars"]) for r in out[2]) == Counter((r[0], r[1], r[3], r[4]) for r in want)
     took = Counter((r["doc_id"], r["text"]) for r in out[3])
     report = {(r["doc_id"], r["size"]): r for r in mixing.mix_report(spark.read.parquet(f"{tmp_path}/2")).collect()}
@@ -47,6 +48,20 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in ran) == pieces
 
 
+def test_the_pipeline_takes_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, write(spark, [], tmp_path)).collect() == []
+
+
+def test_language_id_rejects_what_is_in_another_language(spark):
+    r, words_of = random.Random(4), {"de": "der und die nicht ein schön wird auch", "en": "the and with that from this which"}
+    text = lambda v: " ".join(r.choice(words_of[v].split()) for _ in range(40))
+    rows = [(d, text("de" if d % 2 else "en"), "de" if d % 2 else "en", f"own{d}") for d in range(200)] + [(300, text("de"), "en", "x"), (301, text("en"), None, "x"), (302, "12 34", "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `__lang_pred` string")
+    kept = language_id.known_languages(docs).collect()
+    assert sorted(x["doc_id"] for x in kept) == [*range(200), 301] and {x["doc_id"]: x["lang"] for x in kept}[301] == "en"
+    assert all(x["__lang_pred"] == f"own{x['doc_id']}" for x in kept if x["doc_id"] < 200)
+
+
 def test_near_copies_by_five_words_are_linked(spark):
     """Pairs at 0.8 or more of five words and under 0.9 of three words, and one under both."""
     p, q = passage(1, 300).split(), passage(2, 300).split()
