@@ -6,24 +6,29 @@ Every stage works on what its predecessor kept, written as Parquet and read agai
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.llm import jaccard_join, language_id, line_dedup, mixing, packing, store
 
-#: What the latest call of each stage has left in the shared folder.
-_left: dict[int, set[str]] = {}
+#: What the latest call of each stage has left in the shared folder, by thread, input and stage.
+_left: dict[tuple[int, str, int], set[str]] = {}
 
 
 def stage(number: int):
-    """A stage that first deletes what the one before it left: its result has been written."""
+    """A stage that, called by itself, first deletes what the one before it left: its result has been written.
+
+    What it deletes was made by the same thread for the same input; run() keeps its own account.
+    """
 
     def wrap(f):
         @functools.wraps(f)
         def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            store.clear(spark, _left.pop(number - 1, set()), docs)
-            with store.recording(_left.setdefault(number, set())):
+            mine = threading.get_ident(), sf_dir
+            store.clear(spark, _left.pop((*mine, number - 1), set()), docs)
+            with store.recording(_left.setdefault((*mine, number), set())):
                 return f(spark, docs, sf_dir)
 
         return run_stage
@@ -33,7 +38,11 @@ def stage(number: int):
 
 @stage(1)
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a letter stay; a null language is filled in."""
+    """Documents in the language they are said to be in stay; a null language is filled in.
+
+    A document goes if its text has no letter, looks like no language that was learned, or is
+    surely in another one than its own.
+    """
     return language_id.known_languages(docs)
 
 
@@ -85,5 +94,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents, in order."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, f in STAGES[:-1]:
-        docs = store.materialize(f(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        left: set[str] = set()
+        with store.recording(left):
+            docs = store.materialize(f.__wrapped__(spark, docs, sf_dir), name.replace(" ", "-"))
+        store.clear(spark, left, docs)
+    return STAGES[-1][1].__wrapped__(spark, docs, sf_dir)
