@@ -55,7 +55,7 @@ def test_the_pipeline_takes_an_empty_table(spark, tmp_path):
 def test_language_id_rejects_what_is_in_another_language(spark):
     r, words_of = random.Random(4), {"de": "der und die nicht ein schön wird auch", "en": "the and with that from this which"}
     text = lambda v: " ".join(r.choice(words_of[v].split()) for _ in range(40))
-    rows = [(d, text("de" if d % 2 else "en"), "de" if d % 2 else "en", f"own{d}") for d in range(200)] + [(300, text("de"), "en", "x"), (301, text("en"), None, "x"), (302, "12 34", "en", "x")]
+    rows = [(d, text("de" if d % 2 else "en"), "de" if d % 2 else "en", f"own{d}") for d in range(200)] + [(303, text("de"), "en", "x"), (301, text("en"), None, "x"), (302, "12 34", "en", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `__lang_pred` string")
     kept = language_id.known_languages(docs).collect()
     assert sorted(x["doc_id"] for x in kept) == [*range(200), 301] and {x["doc_id"]: x["lang"] for x in kept}[301] == "en"
