@@ -135,15 +135,18 @@ def score(rows: DataFrame) -> DataFrame:
     return out.select("*", level("High", "Medium", "Low").alias("protection_level"), level("Hard", "Medium", "Easy").alias("exploit_difficulty"), techniques.alias("required_techniques"), areas.alias("vulnerable_areas"), approach.alias("recommended_approach"))
 
 
+# Name of a protection, its column, its impact when it is on and when it is off.
+PROTECTION_TABLE = (
+    ("ASLR", "aslr", "Mitigated", "High risk - fixed addresses"),
+    ("NX Bit", "nx", "ROP required", "High risk - shellcode execution"),
+    ("Stack Canaries", "canary", "Leak required", "High risk - direct overflow"),
+    ("PIE", "pie", "Code leak required", "Medium risk - fixed code base"),
+)
+
+
 def protection_rows(rows: DataFrame, key: str) -> DataFrame:
     """Five rows per binary: protection, status and impact."""
-    table = (
-        ("ASLR", "aslr", "Mitigated", "High risk - fixed addresses"),
-        ("NX Bit", "nx", "ROP required", "High risk - shellcode execution"),
-        ("Stack Canaries", "canary", "Leak required", "High risk - direct overflow"),
-        ("PIE", "pie", "Code leak required", "Medium risk - fixed code base"),
-    )
     entry = lambda n, s, i: F.struct(F.lit(n).alias("protection"), s.alias("status"), i.alias("impact"))
-    items = [entry(n, F.when(get(F.col(c), False), "Enabled").otherwise("Disabled"), F.when(get(F.col(c), False), on).otherwise(off)) for n, c, on, off in table]
+    items = [entry(n, F.when(get(F.col(c), False), "Enabled").otherwise("Disabled"), F.when(get(F.col(c), False), on).otherwise(off)) for n, c, on, off in PROTECTION_TABLE]
     items.append(entry("RELRO", get(F.col("relro"), "Unknown"), F.when(get(F.col("relro"), "").contains("No RELRO"), "GOT overwrite possible").otherwise("GOT protected")))
     return rows.select(key, F.inline(F.array(*items)))

@@ -26,6 +26,11 @@ def metrics(targets: DataFrame, triage: DataFrame, hardening: DataFrame, records
     )
 
 
+def stamped(rows: DataFrame) -> DataFrame:
+    """Metrics rows with the time of the analysis, as text; it differs from run to run."""
+    return rows.withColumn("analysis_timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+
+
 def series(rows: DataFrame) -> DataFrame:
     """Three chart values per metrics row; the third is constant."""
     return rows.select("target_id", F.expr(f"stack(3, 'Crashes Analyzed', total_crashes, 'Unique Frames', unique_frames, 'Protection Checks', CAST({CHECKS_SHOWN} AS BIGINT)) AS (label, value)"))

@@ -27,6 +27,9 @@ OTHER_DELIVERY = "file_based"
 STRATEGY = {"Low": "direct_shellcode", "Medium": "rop_chain"}
 OTHER_STRATEGY, NO_STRATEGY = "advanced_bypass", "direct_exploitation"
 
+#: Protections of the prompt, in its order, and their columns.
+PROTECTIONS = {"ASLR": "aslr", "NX": "nx", "PIE": "pie", "Stack Canaries": "canary"}
+
 CLASSIFICATION = T.StructType(
     [T.StructField(n, T.DoubleType() if n == "confidence" else T.StringType()) for n in ("vulnerability_type", "confidence", "reasoning", "severity", "attack_vector", "impact", "technical_details")]
 )
@@ -73,15 +76,20 @@ def strategy(level: Column) -> Column:
 
 
 def prompt(groups: DataFrame, sources: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
-    """The context text of each group: its facts, and source and protections where there are any."""
+    """The context text of each group: its facts, and source and protections where there are any.
+
+    sources: target_id, source_code.  scores: target_id and what hardening.score returns.
+    """
     head = F.concat(F.lit("CRASH ANALYSIS DATA:\n- Crash Frame: "), "frame", F.lit("\n- Number of crashes: "), F.col("cnt").cast("string"), F.lit("\n- Sample crash file size: "), F.col("size").cast("string"), F.lit(" bytes"))
     out, parts = groups, [head]
     if sources is not None:
         out = out.join(sources.select("target_id", "source_code"), "target_id", "left")
         parts.append(F.when(F.col("source_code").isNotNull(), F.concat(F.lit("SOURCE CODE:\n"), "source_code")))
     if scores is not None:
-        out = out.join(scores.select("target_id", "protection_level"), "target_id", "left")
-        parts.append(F.when(F.col("protection_level").isNotNull(), F.concat(F.lit("BINARY PROTECTIONS:\n- Protection Level: "), "protection_level")))
+        have = scores.select("target_id", F.lit(True).alias("scored"), "protection_level", *PROTECTIONS.values())
+        out = out.join(have, "target_id", "left")
+        states = [F.concat(F.lit(f"\n- {name}: "), F.when(get(F.col(c), False), "Enabled").otherwise("Disabled")) for name, c in PROTECTIONS.items()]
+        parts.append(F.when(F.col("scored"), F.concat(F.lit("BINARY PROTECTIONS:\n- Protection Level: "), get(F.col("protection_level"), "Unknown"), *states)))
     return out.select(*groups.columns, F.concat_ws("\n\n", *parts).alias("context"))
 
 

@@ -1,8 +1,9 @@
 """Crash triage: signatures, groups, ranks and representatives.
 
 Input has one row per crash: file, path, size and the debugger's text in stdout.  Groups
-are one row per frame; their members stay rows and are never gathered into one value, so
-a frame that most crashes share costs no task more than others.
+are one row per frame; their members stay rows and are never gathered into one value.
+Places, of members in a frame and of groups of one count, are numbered in pieces, so a
+frame that most crashes share, or a count that most frames have, is no single task's.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.signature import frames, signature, stable_signature
+from faultlens.operators.ranking import placed
 
 
 def with_frame(crashes: DataFrame, stable: bool = False) -> DataFrame:
@@ -28,13 +30,13 @@ def ranked(grouped: DataFrame) -> DataFrame:
     """Adds rnk: by cnt from the largest, then by frame.
 
     Two levels: how many groups have a larger cnt (one row per distinct cnt), and the place
-    among groups of the same cnt.  No window spans all groups.
+    among groups of the same cnt, numbered in pieces.  No window spans all groups.
     """
     sizes = grouped.groupBy("cnt").agg(F.count("*").alias("same"))
     above = F.coalesce(F.sum("same").over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("cnt").orderBy("frame"))
-    joined = grouped.join(sizes.select("cnt", above.alias("above")), "cnt")
-    return joined.withColumn("rnk", (F.col("above") + within).cast("long")).drop("above")
+    within = placed(grouped, "cnt", ["frame"], "within")
+    joined = within.join(sizes.select("cnt", above.alias("above")), "cnt")
+    return joined.withColumn("rnk", (F.col("above") + F.col("within")).cast("long")).drop("above", "within")
 
 
 def summary(crashes: DataFrame) -> DataFrame:
@@ -51,8 +53,7 @@ def top(crashes: DataFrame, n: int = 5) -> DataFrame:
 
 def members(crashes: DataFrame) -> DataFrame:
     """Every crash with its frame and its place in the group by size, then name."""
-    w = Window.partitionBy("frame").orderBy("size", "file")
-    return with_frame(crashes).select("frame", "file", "size", F.row_number().over(w).cast("long").alias("place"))
+    return placed(with_frame(crashes).select("frame", "file", "size"), "frame", ["size", "file"])
 
 
 def status(crashes: DataFrame) -> DataFrame:

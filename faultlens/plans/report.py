@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.text import get, percent_text
 from faultlens.operators import hardening, metrics
 
+# Lines of the vulnerability details, their columns and what stands for a missing one.
+DETAILS = (
+    ("Type", "vulnerability_type", "Unknown"), ("Severity", "severity", "Unknown"), ("Attack Vector", "attack_vector", "Unknown"),
+    ("Impact", "impact", "Unknown"), ("Technical Details", "technical_details", "Not available"),
+)
+
 
 def section(number: int, rows: DataFrame, key: str, *lines: Column) -> DataFrame:
     """Lines of each row as rows; null lines are left out."""
@@ -22,8 +28,9 @@ def report(summary: DataFrame, groups: DataFrame, scores: DataFrame, records: Da
 
     summary: target_id, total_crashes, unique_crash_frames.  groups: target_id, rnk, frame,
     cnt, file, size.  scores: output of hardening.score with target_id.  records: target_id,
-    vulnerability_type, severity, confidence, likelihood.  files: target_id, file,
-    description, status.
+    vulnerability_type, severity, confidence, likelihood, attack_vector, impact,
+    technical_details.  files: target_id, file, description, status.  Lines of files are by
+    name; one target's files are a short list.
     """
     c, text = F.col, lambda s: F.lit(s)
     bold = lambda name, value: F.concat(F.lit(f"**{name}:** "), value)
@@ -34,8 +41,9 @@ def report(summary: DataFrame, groups: DataFrame, scores: DataFrame, records: Da
         section(2, records, "target_id", text("## Executive Summary"), bold("Critical Finding", F.concat(get(c("vulnerability_type"), "Unknown"), F.lit(" vulnerability detected"))), bold("Risk Level", get(c("severity"), "Unknown")), bold("Exploitability", F.concat(percent_text(get(c("confidence"), 0.0)), F.lit(" confidence")))),
         section(3, scores, "target_id", bold("Defense Level", c("protection_level")), bold("Exploit Difficulty", c("exploit_difficulty"))),
         section(4, risk, "target_id", text("### Risk Assessment"), F.concat(F.lit("- "), F.replace(c("risk"), F.lit("\n"), F.lit("\n- ")))),
+        section(8, records, "target_id", text("### Vulnerability Classification"), *(bold(name, get(c(column), default)) for name, column, default in DETAILS)),
         table.select("target_id", F.lit(5).alias("section"), F.when(c("protection") == "ASLR", 0).when(c("protection") == "NX Bit", 1).when(c("protection") == "Stack Canaries", 2).when(c("protection") == "PIE", 3).otherwise(4).cast("long").alias("line_no"), F.concat_ws(" | ", "protection", "status", "impact").alias("line")),
         groups.select("target_id", F.lit(6).alias("section"), c("rnk").cast("long").alias("line_no"), F.concat(F.lit("### Crash Group "), c("rnk").cast("string"), F.lit(": "), c("frame"), F.lit(" ("), c("cnt").cast("string"), F.lit(" crashes, "), c("file"), F.lit(")")).alias("line")),
-        files.select("target_id", F.lit(7).alias("section"), F.xxhash64("file").alias("line_no"), F.concat_ws(" | ", "file", "description", "status").alias("line")),
+        files.select("target_id", F.lit(7).alias("section"), F.row_number().over(Window.partitionBy("target_id").orderBy("file", "description")).cast("long").alias("line_no"), F.concat_ws(" | ", "file", "description", "status").alias("line")),
     ]
     return reduce(DataFrame.unionByName, parts)

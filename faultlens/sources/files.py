@@ -14,15 +14,16 @@ from faultlens.functions.text import basename
 SKIPPED = "README.txt"
 
 
-def corpus(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None, content: bool = True, empty: bool = True) -> DataFrame:
+def corpus(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None, content: bool = True, empty: bool = False) -> DataFrame:
     """path, file, size, modified and content of the files of a directory, without README.txt.
 
     With content=False the bytes are pruned from the scan.  Names that start with _ or .
-    are hidden from Spark's readers.  Spark also leaves out empty files; they are added
-    from a listing by the driver, which empty=False saves for very many files.
+    are hidden from Spark's readers and so from this table.  Spark also leaves out empty
+    files; empty=True adds them from a listing by the driver, for corpora that it can list.
     """
-    filesystem(spark, path)[0].setVerifyChecksum(False)  # a checksum file's name can't have a colon, local corpora do
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    # a checksum file's name can't have a colon, local corpora do: this read alone goes without them
+    reader = reader.option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     rows = reader.load(path).withColumn("file", basename(F.col("path"))).where(F.col("file") != SKIPPED)
@@ -61,12 +62,12 @@ def latest(files: DataFrame) -> DataFrame:
     return files.orderBy(F.desc("path")).limit(1)
 
 
-def first_directory(spark: SparkSession, paths: list[str], glob: str = "id*") -> DataFrame:
+def first_directory(spark: SparkSession, paths: list[str], glob: str = "id*", empty: bool = False) -> DataFrame:
     """The last file by name of the first directory that has one."""
     found = None
     for k, path in enumerate(paths):
         try:
-            part = corpus(spark, path, glob=glob, content=False).withColumn("priority", F.lit(k))
+            part = corpus(spark, path, glob=glob, content=False, empty=empty).withColumn("priority", F.lit(k))
         except Exception as e:  # a directory that isn't there yields nothing
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -99,8 +100,15 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """An ordered text file of (section, line_no, line); a report is one file."""
-    lines.repartitionByRange(1, "section", "line_no").sortWithinPartitions("section", "line_no").select("line").write.mode("overwrite").text(path)
+    """An ordered text file of (section, line_no, line); a report is one file.
+
+    With a target_id, a folder of each target has its report.
+    """
+    order = ["section", "line_no"]
+    if "target_id" in lines.columns:
+        lines.repartition("target_id").sortWithinPartitions("target_id", *order).select("target_id", "line").write.mode("overwrite").partitionBy("target_id").text(path)
+    else:
+        lines.repartitionByRange(1, *order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
 def setting(spark: SparkSession, name: str, default: str) -> str:

@@ -27,9 +27,21 @@ def windowed_counts(crashes: DataFrame, time: str, width: str = "10 minutes", la
 
 
 def start(counts: DataFrame, checkpoint: str, sink: str, mode: str = "complete") -> StreamingQuery:
-    """Runs to the end of what is there; a restart goes on from the checkpoint."""
+    """Runs to the end of what is there; a restart goes on from the checkpoint.
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(sink)
+    Every micro-batch has a folder of its own in the sink, so a batch that is run again
+    replaces itself, and one that fails leaves the earlier ones.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return counts.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def current(spark: SparkSession, sink: str, mode: str = "complete") -> DataFrame:
+    """What the sink holds: the latest batch of complete counts, or all batches of appended ones."""
+    rows = spark.read.parquet(sink)
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")

@@ -62,10 +62,11 @@ def test_corpus_and_documents(spark, tmp_path):
     for name, data in {"id:000000,sig:11": b"AAAA", "id:000001": b"", "README.txt": b"no", "seed1": b"TEST\n", "sub/id:9": b"x"}.items():
         (tmp_path / "in" / name).write_bytes(data)
     path = f"{tmp_path}/in"
-    assert {(r["file"], r["size"]) for r in files.corpus(spark, path, content=False).collect()} == {("id:000000,sig:11", 4), ("id:000001", 0), ("seed1", 5)}
-    assert files.corpus(spark, path, recursive=True).count() == 4
-    assert files.latest(files.corpus(spark, path, glob="id*")).first()["file"] == "id:000001"
-    assert files.first_directory(spark, [f"{tmp_path}/absent", path]).first()["file"] == "id:000001"
+    assert {(r["file"], r["size"]) for r in files.corpus(spark, path, content=False, empty=True).collect()} == {("id:000000,sig:11", 4), ("id:000001", 0), ("seed1", 5)}
+    assert files.corpus(spark, path, recursive=True, empty=True).count() == 4
+    assert {r["file"] for r in files.corpus(spark, path).collect()} == {"id:000000,sig:11", "seed1"}
+    assert files.latest(files.corpus(spark, path, glob="id*", empty=True)).first()["file"] == "id:000001"
+    assert files.first_directory(spark, [f"{tmp_path}/absent", path], empty=True).first()["file"] == "id:000001"
     assert files.first_directory(spark, [f"{tmp_path}/absent"]).count() == 0
     (tmp_path / "d.json").write_text('{"confidence": 0.5,\n "severity": "High"}')
     (tmp_path / "bad.json").write_text("{'x': 1}")
@@ -80,7 +81,7 @@ def test_report_lines_and_metrics(spark, tmp_path):
     groups = triage.ranked(triage.groups(crashes)).withColumn("target_id", F.lit(1))
     summary = triage.summary(crashes).withColumn("target_id", F.lit(1))
     scores = hardening.score(spark.createDataFrame([(1, True, False, False, False, "No RELRO")], "target_id int, aslr boolean, nx boolean, canary boolean, pie boolean, relro string"))
-    found = spark.createDataFrame([(1, "format_string", "High", 0.95, None)], "target_id int, vulnerability_type string, severity string, confidence double, likelihood string")
+    found = spark.createDataFrame([(1, "format_string", "High", 0.95, None)], "target_id int, vulnerability_type string, severity string, confidence double, likelihood string").withColumns({"attack_vector": F.lit("file"), "impact": F.lit(None).cast("string"), "technical_details": F.lit(None).cast("string")})
     made = metrics.artifact_status(spark.createDataFrame([(1, "x.json", "Crash triage results")], "target_id int, file string, description string"), spark.createDataFrame([("x.json",)], "file string"), "file")
     lines = report.report(summary, groups, scores, found, made)
     files.write_lines(lines.select("section", "line_no", "line"), f"{tmp_path}/r")
@@ -88,9 +89,14 @@ def test_report_lines_and_metrics(spark, tmp_path):
     text = part.read_text().split("\n")
     assert text[:3] == ["# Security Report", "**Total Crashes:** 3", "**Unique Crash Frames:** 2"]
     assert "**Exploitability:** 95% confidence" in text and "### Crash Group 1: SIGABRT (abort signal) (2 crashes, b)" in text and "x.json | Crash triage results | Generated" in text
+    assert [x for x in text if x.startswith("**Attack Vector") or x.startswith("**Impact") or x.startswith("**Technical")] == ["**Attack Vector:** file", "**Impact:** Unknown", "**Technical Details:** Not available"]
+    two = lines.unionByName(lines.withColumn("target_id", F.lit(2)))
+    files.write_lines(two, f"{tmp_path}/two")
+    assert all((next((tmp_path / "two" / f"target_id={k}").glob("part-*"))).read_text().split("\n") == text for k in (1, 2))
     assert report.report(summary, groups, scores, found.limit(0), made).where("section = 2").count() == 0
     row = metrics.metrics(summary.select("target_id"), summary, scores, found.withColumns({"generated": F.lit(None).cast("boolean"), "has_strategy": F.lit(True)})).first()
     assert (row["confidence"], row["protection_level"], row["poc_generated"], row["strategy_available"]) == (95.0, "Low", False, True)
+    assert len(metrics.stamped(summary.select("target_id")).first()["analysis_timestamp"]) == 19
     assert [r["value"] for r in metrics.series(spark.createDataFrame([row])).collect()] == [3, 2, 5]
 
 
@@ -101,13 +107,22 @@ def test_streaming_counts_go_on_from_the_checkpoint(spark, tmp_path):
     def run():
         counts = incremental.running_counts(incremental.crash_stream(spark, f"{tmp_path}/in", "file string, stdout string"))
         incremental.start(counts, f"{tmp_path}/ck", f"{tmp_path}/out").awaitTermination()
-        return {r["frame"]: r["cnt"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        return {r["frame"]: r["cnt"] for r in incremental.current(spark, f"{tmp_path}/out").collect()}
 
     assert run() == {"SIGABRT (abort signal)": 1, "UNKNOWN_CRASH": 1}
     (tmp_path / "in" / "2.json").write_text('{"file":"c","stdout":"got SIGABRT"}\n')
     assert run() == {"SIGABRT (abort signal)": 2, "UNKNOWN_CRASH": 1}
 
 
+def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"file":"a","stdout":"fine"}')
+    for k in range(2):  # a lost checkpoint makes the same batch run twice
+        counts = incremental.crash_stream(spark, f"{tmp_path}/in", "file string, stdout string")
+        incremental.start(counts, f"{tmp_path}/ck{k}", f"{tmp_path}/out", "append").awaitTermination()
+    assert incremental.current(spark, f"{tmp_path}/out", "append").count() == 1
+
+
 def test_a_callers_model_and_json_rows(spark):
     df = spark.createDataFrame([(1, "x"), (2, "yy")], "id long, context string")
     got = records.classify(df, lambda texts: [f'{{"n": {len(t)}}}' for t in texts]).collect()
