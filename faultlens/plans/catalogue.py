@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultlens.functions import semistructured as js
 from faultlens.functions import text as tx
+from faultlens.functions.signature import ADDRESS, FRAME
 from faultlens.operators import byteprofile, hardening, metrics, records, triage
+from faultlens.plans import report
+from faultlens.sources import files
 
 # One row per event; the text is what a debugger would have printed for its type.
 CRASHES = """
@@ -59,9 +63,9 @@ def query(sql: str):
 
 
 # The signature cascade once more, as SQL.
-_X = r"regexp_extract(stdout, '#([0-9]+)\s+0x([0-9a-f]+) in ([^\s]+) (?:\([^)]*\) )?(?:at ([^:]+):([0-9]+))?', {})"
+_X = f"regexp_extract(stdout, '{FRAME}', {{}})"
 _P = [_X.format(k) for k in range(6)]
-_A = "regexp_extract(stdout, '0x([0-9a-f]+) in ([0-9A-Za-z_]+)', {})"
+_A = f"regexp_extract(stdout, '{ADDRESS}', {{}})"
 FRAMES_SQL = rf"""c AS ({CRASHES.replace('AS STRING', 'AS VARCHAR')}),
 f AS (SELECT *, CASE WHEN contains(stdout, 'TIMEOUT') THEN 'TIMEOUT'
   WHEN {_P[1]} <> '' AND {_P[4]} <> '' THEN concat('#', {_P[1]}, ' 0x', {_P[2]}, ' in ', {_P[3]}, ' at ', {_P[4]}, ':', {_P[5]})
@@ -250,7 +254,9 @@ def first_brace_last_brace(t: Tables) -> DataFrame:
     return t.pages.select("page_id", js.braced(F.col("html")).alias("body"))
 
 
-@query(r"SELECT conv_id, turn, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS code FROM conversations WHERE NOT contains(text, '```')")
+@query(r"""WITH c AS (SELECT conv_id, turn, CASE WHEN contains(text, '```') THEN text ELSE concat('Here:', chr(10), '```python', chr(10), text, chr(10), '```', chr(10), 'and') END AS t FROM conversations),
+f AS (SELECT conv_id, turn, regexp_extract(t, '(?s)```python[^\n]*\n(.*?)```', 1) AS named, regexp_extract(t, '(?s)```[^\n]*\n(.*?)```', 1) AS plain FROM c)
+SELECT conv_id, turn, regexp_replace(CASE WHEN named <> '' THEN named ELSE plain END, '^\s+|\s+$', '', 'g') AS code FROM f""")
 def fenced_block(t: Tables) -> DataFrame:
     text = F.concat(F.lit("Here:\n```python\n"), "text", F.lit("\n```\nand\n```\nrest\n```"))
     own = F.col("text").contains("```")
@@ -269,7 +275,7 @@ def risk_factors(t: Tables) -> DataFrame:
 
 
 def _unpivot() -> str:
-    rows = (("ASLR", "aslr", "Mitigated", "High risk - fixed addresses"), ("NX Bit", "nx", "ROP required", "High risk - shellcode execution"), ("Stack Canaries", "canary", "Leak required", "High risk - direct overflow"), ("PIE", "pie", "Code leak required", "Medium risk - fixed code base"))
+    rows = hardening.PROTECTION_TABLE
     parts = [f"SELECT p_partkey, '{n}' AS protection, CASE WHEN {c} THEN 'Enabled' ELSE 'Disabled' END AS status, CASE WHEN {c} THEN '{on}' ELSE '{off}' END AS impact FROM f" for n, c, on, off in rows]
     parts.append("SELECT p_partkey, 'RELRO', relro, CASE WHEN relro = 'No RELRO' THEN 'GOT overwrite possible' ELSE 'GOT protected' END FROM f")
     return f"WITH f AS ({FLAGS_SQL}) " + " UNION ALL ".join(parts)
@@ -329,12 +335,12 @@ def hex_and_format(t: Tables) -> DataFrame:
 
 @query(f"""WITH {FRAMES_SQL}, n AS (SELECT CAST(split_part(file, ':', 2) AS BIGINT) % 50 AS target_id, frame FROM f),
 a AS (SELECT target_id, count(*) AS total, count(DISTINCT frame) AS uniq FROM n GROUP BY 1),
-fl AS ({FLAGS_SQL}), h AS (SELECT p_partkey, {_N} AS n FROM fl WHERE p_partkey <= 40),
-d AS (SELECT CAST(doc_id AS BIGINT) AS target_id, source, quality FROM documents JOIN labels USING (doc_id) WHERE doc_id < 50)
+fl AS ({FLAGS_SQL}), h AS (SELECT p_partkey, {_N} AS n FROM fl),
+d AS (SELECT CAST(doc_id AS BIGINT) AS target_id, source, quality FROM documents JOIN labels USING (doc_id))
 SELECT u.target_id, coalesce(total, 0) AS total_crashes, coalesce(uniq, 0) AS unique_frames, coalesce(source, 'Unknown') AS vulnerability_type, CASE quality WHEN 1 THEN 'High' ELSE 'Unknown' END AS severity,
   round_even(coalesce(quality * 0.955::DOUBLE, 0.0::DOUBLE) * 100, 0) AS confidence, CASE WHEN n >= 4 THEN 'High' WHEN n >= 2 THEN 'Medium' WHEN n IS NULL THEN 'Unknown' ELSE 'Low' END AS protection_level,
   CASE WHEN n >= 4 THEN 'Hard' WHEN n >= 2 THEN 'Medium' WHEN n IS NULL THEN 'Unknown' ELSE 'Easy' END AS exploit_difficulty, coalesce(quality = 1, false) AS poc_generated, false AS strategy_available
-FROM (SELECT CAST(p_partkey AS BIGINT) AS target_id FROM part WHERE p_partkey <= 60) u LEFT JOIN a USING (target_id) LEFT JOIN h ON p_partkey = u.target_id LEFT JOIN d USING (target_id)""")
+FROM (SELECT CAST(p_partkey AS BIGINT) AS target_id FROM part) u LEFT JOIN a USING (target_id) LEFT JOIN h ON p_partkey = u.target_id LEFT JOIN d USING (target_id)""")
 def metrics_row(t: Tables) -> DataFrame:
     targets = t.part.select(F.col("p_partkey").alias("target_id"))
     crashes = triage.with_frame(t.sql(CRASHES)).withColumn("target_id", F.substring_index("file", ":", -1).cast("long") % 50)
@@ -359,7 +365,7 @@ def prompt_context(t: Tables) -> DataFrame:
     return records.prompt(triage.ranked(triage.groups(t.sql(CRASHES)))).select("rnk", "context")
 
 
-@query("SELECT file AS name, octet_length(encode(content)) AS size FROM (SELECT DISTINCT source AS file, source AS content FROM documents) WHERE file IN (SELECT 'src' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey < 5)")
+@query("SELECT file AS name, octet_length(encode(content)) AS size FROM (SELECT DISTINCT source AS file, source AS content FROM documents) WHERE file IN (SELECT 'src' || CAST(n_nationkey AS VARCHAR) FROM nation)")
 def existing_artifacts(t: Tables) -> DataFrame:
     wanted = t.nation.select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name"))
     have = t.documents.select(F.col("source").alias("name")).distinct()
@@ -419,3 +425,152 @@ def tool_facts(t: Tables) -> DataFrame:
     libs = F.concat(F.repeat(F.lit("\tlibx.so => /lib/x\n"), (F.col("p_size") % 4).cast("int")), F.lit("\tstatic"))
     symbols = F.when(F.col("p_size") % 5 == 0, "x __stack_chk_fail y").otherwise("main")
     return t.part.select("p_partkey", hardening.nx(stack)["enabled"].alias("nx"), hardening.pie(kind)["enabled"].alias("pie"), hardening.libraries(libs)["count"].alias("libraries"), F.array_join(hardening.canaries(symbols, F.lit(""))["symbols_found"], ",").alias("canary"))
+
+
+def saved(t: Tables, rows: DataFrame, key: str, value: str) -> str:
+    """A corpus with one text file a row, in a folder named key=..."""
+    path = files.scratch(t.spark, "corpus")
+    rows.select(key, value).write.partitionBy(key).text(path)
+    return path
+
+
+@query("SELECT n_nationkey, CAST(octet_length(encode(n_name)) + 1 AS BIGINT) AS size, concat(n_name, chr(10)) AS content FROM nation")
+def corpus_scan(t: Tables) -> DataFrame:
+    found = files.corpus(t.spark, saved(t, t.nation, "n_nationkey", "n_name"), recursive=True, glob="part-*")
+    return found.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), "size", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("SELECT r_regionkey, CAST(octet_length(encode(r_name)) + 1 AS BIGINT) AS size FROM region WHERE r_regionkey = 3")
+def first_directory(t: Tables) -> DataFrame:
+    path = saved(t, t.region, "r_regionkey", "r_name")
+    found = files.first_directory(t.spark, [f"{path}/absent", f"{path}/r_regionkey=3", f"{path}/r_regionkey=1"], glob="part-*")
+    return found.select(F.regexp_extract("path", "r_regionkey=([0-9]+)", 1).cast("int").alias("r_regionkey"), "size")
+
+
+@query("SELECT n_nationkey, concat(n_name, chr(10)) AS latest FROM nation WHERE n_nationkey = (SELECT arg_max(n_nationkey, CAST(n_nationkey AS VARCHAR)) FROM nation)")
+def latest_file(t: Tables) -> DataFrame:
+    last = files.latest(files.corpus(t.spark, saved(t, t.nation, "n_nationkey", "n_name"), recursive=True))
+    return last.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), F.decode("content", "UTF-8").alias("latest"))
+
+
+@query("SELECT CASE WHEN n_regionkey = 2 THEN NULL ELSE n_name END AS n_name, CASE WHEN n_regionkey = 2 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation")
+def json_documents(t: Tables) -> DataFrame:
+    """Documents of one region have text behind their JSON."""
+    body = F.to_json(F.struct("n_name", "n_regionkey"))
+    rows = t.nation.select("n_nationkey", F.concat(body, F.when(F.col("n_regionkey") == 2, " }").otherwise("")).alias("body"))
+    schema = T.StructType([T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())])
+    return files.json_document(t.spark, saved(t, rows, "n_nationkey", "body"), schema)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def json_written(t: Tables) -> DataFrame:
+    path = files.scratch(t.spark, "json")
+    files.write_json(t.supplier, path)
+    return t.spark.read.schema("s_suppkey long, s_name string, s_acctbal double").json(path)
+
+
+@query("SELECT concat(n_name, chr(10)) AS source_code FROM nation")
+def whole_texts(t: Tables) -> DataFrame:
+    return files.whole_text(t.spark, saved(t, t.nation, "n_nationkey", "n_name")).select("source_code")
+
+
+# Tool output of a binary for each part; what the rules find in it is worked out once more in SQL.
+TOOLS = """
+SELECT p_partkey AS binary_id, p_name AS name,
+  concat('/bin/', p_brand, ': ', CASE p_size % 3 WHEN 0 THEN 'ELF 64-bit x86-64' WHEN 1 THEN 'PE32 80386' ELSE 'ELF ARM' END, CASE p_partkey % 3 WHEN 0 THEN ', not stripped' WHEN 1 THEN ', stripped' ELSE '' END) AS file_out,
+  concat('  LOAD RW', chr(10), CASE WHEN p_partkey % 5 < 4 THEN concat('  GNU_STACK 0x0', chr(10), CASE WHEN p_size % 4 = 0 THEN '    0x0 RWE' ELSE '    0x0 RW ' END) ELSE '  NOTE' END, CASE WHEN p_partkey % 4 < 2 THEN concat(chr(10), '  GNU_RELRO') ELSE '' END) AS readelf_l,
+  concat('  Class: ELF64', chr(10), '  Type: ', CASE WHEN p_size % 2 = 0 THEN 'DYN' ELSE 'EXEC' END, chr(10), '  Type: DYN') AS readelf_h,
+  CASE WHEN p_size % 3 = 1 THEN concat('FLAGS BIND_NOW ', p_name) ELSE p_name END AS readelf_d,
+  concat(CASE WHEN p_partkey % 6 < 3 THEN concat('0 __stack_chk_fail', chr(10)) ELSE '' END, CASE p_size % 3 WHEN 0 THEN '__strcpy_chk __memcpy_chk __strcpy_chk' WHEN 1 THEN concat('__', p_brand, '_chk') ELSE '_chk' END) AS objdump_t,
+  concat('Stack Smashing ', p_name, chr(10), 'stack', chr(10), ' guard of the STACK') AS strings_out,
+  concat('   U puts', chr(10), CASE WHEN p_size % 2 = 0 THEN concat('  U strcpy@GLIBC_2', chr(10)) ELSE '' END, CASE WHEN p_partkey % 7 = 0 THEN concat('0001 U gets', chr(10)) ELSE '' END, '0002 T main', chr(10), '  U ', replace(p_brand, '#', '_')) AS nm_d,
+  concat(CASE WHEN p_partkey % 2 = 0 THEN concat(chr(9), 'libc.so.6 => /lib/libc.so.6', chr(10)) ELSE '' END, chr(9), p_brand, ' => ', p_name, chr(10), 'static') AS ldd_out,
+  CASE p_size % 4 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2' END AS aslr_value
+FROM part
+"""
+FACTS_SQL = rf"""tools AS ({TOOLS}),
+cut AS (SELECT *, string_split(readelf_l, chr(10)) AS seg, string_split(readelf_h, chr(10)) AS head, string_split(nm_d, chr(10)) AS sym FROM tools),
+at_ AS (SELECT *, coalesce(list_position(list_transform(seg, lambda x: contains(x, 'GNU_STACK')), true), 0) AS s,
+  list_transform(list_filter(list_transform(list_filter(sym, lambda x: trim(x) <> ''), lambda x: string_split_regex(trim(x), '\s+')), lambda p: p[1] = 'U' OR (len(p) > 1 AND p[2] = 'U')), lambda p: string_split(p[-1], '@')[1]) AS names FROM cut),
+facts AS (SELECT binary_id,
+  CASE WHEN contains(file_out, 'x86-64') THEN 'x86_64' WHEN contains(file_out, '80386') THEN 'i386' WHEN contains(file_out, 'ARM') THEN 'ARM' ELSE 'unknown' END AS architecture,
+  CASE WHEN contains(file_out, 'ELF') THEN 'ELF' ELSE 'PE' END AS format, CASE WHEN contains(file_out, 'not stripped') THEN false WHEN contains(file_out, 'stripped') THEN true END AS stripped,
+  CASE aslr_value WHEN '0' THEN 'Disabled' WHEN '1' THEN '{hardening.ASLR["1"]}' WHEN '2' THEN '{hardening.ASLR["2"]}' ELSE 'Unknown' END AS aslr_status, coalesce(aslr_value <> '0', false) AS aslr,
+  CASE WHEN s = 0 THEN false WHEN contains(concat(seg[s], ' ', seg[s + 1]), 'RWE') THEN false ELSE contains(concat(seg[s], ' ', seg[s + 1]), 'RW') END AS nx,
+  contains(objdump_t, '__stack_chk_fail') AS canary,
+  CAST(len(list_filter(string_split(lower(strings_out), chr(10)), lambda x: contains(x, 'stack') AND (contains(x, 'smash') OR contains(x, 'guard')))) AS BIGINT) AS related,
+  contains(list_filter(head, lambda x: contains(x, 'Type:'))[1], 'DYN') AS pie,
+  CASE WHEN contains(readelf_l, 'GNU_RELRO') AND contains(readelf_d, 'BIND_NOW') THEN 'Full RELRO' WHEN contains(readelf_l, 'GNU_RELRO') THEN 'Partial RELRO' ELSE 'No RELRO' END AS relro,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(objdump_t, '(__[0-9A-Za-z_]+_chk)', 1))), ',') AS fortified,
+  array_to_string(list_filter(names, lambda x: x IN ('strcpy', 'gets')), ',') AS dangerous, CAST(len(names) AS BIGINT) AS imported, array_to_string(names[1:10], ',') AS sample,
+  CAST(len(list_filter(string_split(ldd_out, chr(10)), lambda x: contains(x, '=>'))) AS BIGINT) AS libraries FROM at_)"""
+_COUNTED = f"WITH {FACTS_SQL}, s AS (SELECT *, {_N} AS n FROM facts)"
+
+
+@query(f"{_COUNTED} SELECT * EXCLUDE (n), n AS protection_count, CASE WHEN n >= 4 THEN 'High' WHEN n >= 2 THEN 'Medium' ELSE 'Low' END AS protection_level FROM s")
+def binary_facts(t: Tables) -> DataFrame:
+    """Facts of every binary, their flags and the score, in one go."""
+    found = hardening.facts(t.sql(TOOLS))
+    scored = hardening.score(hardening.flags(found))
+    c = F.col
+    plain = found.select(
+        c("binary_id").alias("id"), c("file_info.architecture"), c("file_info.format"), c("file_info.stripped"), c("aslr_system.status").alias("aslr_status"),
+        F.size("stack_canaries.related_strings").cast("long").alias("related"), F.array_join("fortify.fortified_functions", ",").alias("fortified"), F.array_join("symbols.dangerous_functions_found", ",").alias("dangerous"),
+        c("symbols.total_imported_functions").alias("imported"), F.array_join("symbols.sample_imports", ",").alias("sample"), c("dynamic_libs.count").alias("libraries"),
+    )
+    return scored.select("binary_id", "aslr", "nx", "canary", "pie", "relro", "protection_count", "protection_level").join(plain, c("binary_id") == c("id")).drop("id")
+
+
+_STATES = ", ".join(f"chr(10), '- {name}: ', CASE WHEN {c} THEN 'Enabled' ELSE 'Disabled' END" for name, c in records.PROTECTIONS.items())
+
+
+@query(f"""WITH f AS ({FLAGS_SQL}), s AS (SELECT *, {_N} AS n FROM f), k AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity >= 49)
+SELECT p.p_partkey, concat('CRASH ANALYSIS DATA:', chr(10), '- Crash Frame: ', p_name, chr(10), '- Number of crashes: ', p_size, chr(10), '- Sample crash file size: ', p.p_partkey, ' bytes',
+  CASE WHEN l_partkey IS NOT NULL THEN concat(chr(10), chr(10), 'SOURCE CODE:', chr(10), p_type) ELSE '' END,
+  CASE WHEN p_size > 10 THEN concat(chr(10), chr(10), 'BINARY PROTECTIONS:', chr(10), '- Protection Level: ', CASE WHEN n >= 4 THEN 'High' WHEN n >= 2 THEN 'Medium' ELSE 'Low' END, {_STATES}) ELSE '' END) AS context
+FROM part p JOIN s ON s.p_partkey = p.p_partkey LEFT JOIN k ON l_partkey = p.p_partkey""")
+def prompt_with_sides(t: Tables) -> DataFrame:
+    """Source where a line item is large, protections where a part is: either side may be missing."""
+    groups = t.part.select("p_partkey", F.col("p_partkey").alias("target_id"), F.col("p_name").alias("frame"), F.col("p_size").alias("cnt"), F.col("p_partkey").alias("size"))
+    large = t.lineitem.where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    sources = t.part.join(large, "p_partkey", "left_semi").select(F.col("p_partkey").alias("target_id"), F.col("p_type").alias("source_code"))
+    scores = hardening.score(t.sql(FLAGS).join(t.part.where("p_size > 10").select("p_partkey"), "p_partkey")).withColumnRenamed("p_partkey", "target_id")
+    return records.prompt(groups, sources, scores).select("p_partkey", "context")
+
+
+_BOLD = "concat('**{}:** ', {})".format
+_LEVELS = "CASE WHEN n >= 4 THEN 'High' WHEN n >= 2 THEN 'Medium' ELSE 'Low' END AS protection_level, CASE WHEN n >= 4 THEN 'Hard' WHEN n >= 2 THEN 'Medium' ELSE 'Easy' END AS exploit_difficulty"
+_DETAILS = "[" + ", ".join(["'### Vulnerability Classification'", *(_BOLD(name, f"coalesce({c}, '{default}')") for name, c, default in report.DETAILS)]) + "]"
+_TABLE = "[" + ", ".join([f"concat('{n} | ', CASE WHEN {c} THEN 'Enabled | {on}' ELSE 'Disabled | {off}' END)" for n, c, on, off in hardening.PROTECTION_TABLE] + ["concat('RELRO | ', relro, ' | ', CASE WHEN relro = 'No RELRO' THEN 'GOT overwrite possible' ELSE 'GOT protected' END)"]) + "]"
+RECORDS = f"SELECT p_partkey, {_KIND} AS vulnerability_type, CASE p_partkey % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Low' END AS severity, CAST(p_size AS DOUBLE) / 64 AS confidence, CASE p_size % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' END AS likelihood, p_type AS attack_vector, CASE WHEN p_size > 20 THEN p_brand END AS impact, CASE WHEN p_size > 30 THEN p_name END AS technical_details FROM part WHERE p_size > 5"
+
+
+@query(f"""WITH fl AS ({FLAGS_SQL}), s AS (SELECT *, {_N} AS n FROM fl), h AS (SELECT *, {_LEVELS} FROM s), r AS ({RECORDS}), {FRAMES_SQL.replace("r AS (SELECT frame", "rg AS (SELECT frame")},
+k AS (SELECT h.*, list_filter([CASE WHEN protection_level = 'Low' THEN '{metrics.RISKS[0]}' END, CASE WHEN severity IN ('Critical', 'High') THEN '{metrics.RISKS[1]}' END, CASE WHEN likelihood IN ('High', 'Medium') THEN '{metrics.RISKS[2]}' END], lambda x: x IS NOT NULL) AS risks FROM h LEFT JOIN r ON r.p_partkey = h.p_partkey),
+o AS (SELECT CAST(1 AS BIGINT) AS target_id, 1 AS section, ['# Security Report', {_BOLD('Total Crashes', 'CAST(sum(cnt) AS BIGINT)')}, {_BOLD('Unique Crash Frames', 'count(*)')}] AS x FROM g
+ UNION ALL SELECT p_partkey, 2, ['## Executive Summary', concat('**Critical Finding:** ', coalesce(vulnerability_type, 'Unknown'), ' vulnerability detected'), {_BOLD('Risk Level', "coalesce(severity, 'Unknown')")}, concat('**Exploitability:** ', printf('%.0f%%', round_even(confidence * 100, 0)), ' confidence')] FROM r
+ UNION ALL SELECT p_partkey, 3, [{_BOLD('Defense Level', 'protection_level')}, {_BOLD('Exploit Difficulty', 'exploit_difficulty')}] FROM h
+ UNION ALL SELECT p_partkey, 4, ['### Risk Assessment', concat('- ', CASE WHEN len(risks) = 0 THEN '{metrics.NO_RISK}' ELSE array_to_string(risks, concat(chr(10), '- ')) END)] FROM k
+ UNION ALL SELECT p_partkey, 5, {_TABLE} FROM h UNION ALL SELECT p_partkey, 8, {_DETAILS} FROM r)
+SELECT target_id, section, CAST(unnest(range(0, len(x))) AS BIGINT) AS line_no, unnest(x) AS line FROM o
+UNION ALL SELECT 1, 6, rnk, concat('### Crash Group ', rnk, ': ', frame, ' (', cnt, ' crashes, ', file, ')') FROM rg
+UNION ALL SELECT 1, 7, row_number() OVER (ORDER BY n_name), concat(n_name, ' | Binary protection analysis | Generated') FROM nation""")
+def report_lines(t: Tables) -> DataFrame:
+    """The report of every part; crash groups and files belong to the first."""
+    first = F.lit(1).cast("long").alias("target_id")
+    crashes = t.sql(CRASHES)
+    found = t.sql(RECORDS).withColumnRenamed("p_partkey", "target_id")
+    scores = hardening.score(t.sql(FLAGS)).withColumnRenamed("p_partkey", "target_id")
+    made = t.nation.select(first, F.col("n_name").alias("file"), F.lit("Binary protection analysis").alias("description"), F.lit("Generated").alias("status"))
+    return report.report(triage.summary(crashes).select(first, "*"), triage.ranked(triage.groups(crashes)).select(first, "*"), scores, found, made)
+
+
+@query("SELECT p_partkey AS target_id, CASE WHEN p_size > 10 THEN concat('{\"total_crashes\":', p_size, ',\"severity\":\"', p_brand, '\"}') ELSE concat('{\"total_crashes\":', p_size, '}') END AS json FROM part")
+def metrics_json(t: Tables) -> DataFrame:
+    return metrics.as_json(t.part.select(F.col("p_partkey").alias("target_id"), F.col("p_size").alias("total_crashes"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("severity")))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(lower(replace(p_type, '_', ' ')), ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') AS title, concat(p_brand, '.md') AS report FROM part")
+def titles_and_extensions(t: Tables) -> DataFrame:
+    kind = F.replace("p_type", F.lit(" "), F.lit("_"))
+    return t.part.select("p_partkey", tx.title(kind).alias("title"), tx.with_extension(F.concat("p_brand", F.lit(".json")), ".json", ".md").alias("report"))

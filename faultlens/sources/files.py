@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,5 +115,16 @@ def write_lines(lines: DataFrame, path: str) -> None:
         lines.repartitionByRange(1, *order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors share files: spark.checkpoint.dir; in local mode without one, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="faultlens-files-")
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def setting(spark: SparkSession, name: str, default: str) -> str:
     return spark.conf.get(name, default)
