@@ -5,8 +5,9 @@ bands [l, l / threshold]; a class takes part in its own band and in the one belo
 it is the larger partner.  In a band any two similar sets differ in at most k elements.
 Elements fall into n1 parts by hash, so some part holds at most k2 differences; that
 part is cut into n2 cells, and the n2 - k2 cells without a difference give equal
-signatures.  Every similar pair therefore shares a signature, and each candidate pair
-is counted exactly.
+signatures.  Every similar pair therefore shares a signature.  A small histogram of each
+set rules most candidate pairs out; the sets of the others are read from their texts and
+counted exactly.
 
 A chunk of documents meets each signature once: its own classes with equal signatures
 are linked to one of them there, and only that one travels.  Groups over ALL classes are
@@ -79,8 +80,23 @@ def classes(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack(lanes, axis=1)
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """A set's histogram over its items' high bits, about a bin for eight items, counts up to 255."""
+    bits = max(3, (len(items) >> 3).bit_length())
+    return np.minimum(np.bincount((items >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def sketches_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of how many items are in one of two sets only."""
+    a, b = sorted((np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)), key=len)
+    full = a < 255  # a clipped count only bounds from below
+    b = b.reshape(len(a), -1)
+    full &= (b < 255).all(1)
+    return int(np.abs(a - b.sum(1))[full].sum())
+
+
 def profile(n: int):
-    """All columns but the first, the text, with n_shingles and class."""
+    """All columns but the first, the text, with n_shingles, class and sketch."""
 
     def run(batches):
         for batch in batches:
@@ -90,7 +106,8 @@ def profile(n: int):
                 name = classes(sets, first)
                 names = pa.array([name[k].tobytes() if size[k] else None for k in range(c.n)], pa.binary())
                 rest = [x.slice(c.first, c.n) for x in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(size), names], [*batch.schema.names[1:], "n_shingles", "class"])
+                sketches = pa.array([sketch(sets[i:j]) if i < j else None for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(size), names, sketches], [*batch.schema.names[1:], "n_shingles", "class", "sketch"])
 
     return run
 
@@ -310,6 +327,18 @@ def set_rows(n: int):
     return run
 
 
+def may_link(num: int, den: int):
+    """The pairs whose sketches don't rule them out."""
+
+    def run(batches):
+        for b in batches:
+            most = (b.column("na").to_numpy() + b.column("nb").to_numpy()) * (den - num)
+            apart = np.array([sketches_apart(x.as_py(), y.as_py()) for x, y in zip(b.column("sa"), b.column("sb"), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(apart * (num + den) <= most, pa.bool_()))
+
+    return run
+
+
 def verify(num: int, den: int):
     def run(batches):
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_())])
@@ -367,26 +396,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids, text = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     rows = docs.select(text, ids, *carry)
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
-    profiles = store.materialize(rows.mapInArrow(profile(n), f"{plain}, n_shingles long, class binary"), "profiles")
-    kinds = profiles.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    profiles = store.materialize(rows.mapInArrow(profile(n), f"{plain}, n_shingles long, class binary, sketch binary"), "profiles")
+    kinds = profiles.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    kinds = store.materialize(kinds, "kinds")
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = blobs.number_for(total, 2_000_000)
     sent = docs.select(text).mapInArrow(send_signatures(n, n_buckets, num, den), blobs.ROW)
     found = store.materialize(sent.groupBy("bucket").applyInArrow(match(num, den, n_buckets), FOUND), "found")
-    pairs = store.materialize(found.where("pair").select("a", "b").distinct(), "pairs")
+    pairs = found.where("pair").select("a", "b").distinct()
     ties = store.materialize(found.where("NOT pair").select("a", "b").distinct(), "ties")
-    wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).unionAll(ties.select("a")).unionAll(ties.select("b")).distinct()
-    where = wanted.join(kinds, "class").select("least").distinct()
-    texts = docs.select(ids, text).join(where.hint("merge"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    sets = texts.select("text").mapInArrow(set_rows(n), "class binary, items binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    sets = store.materialize(sets, "sets", "none")
+    ka = kinds.select(F.col("class").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    sketched = pairs.hint("merge").join(ka, "a").hint("merge").join(ka.toDF("b", "nb", "sb"), "b")
+    near = store.materialize(sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(may_link(num, den), "a binary, b binary"), "pairs")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        """The sets of classes, read again from their first documents' texts."""
+        where = wanted.join(kinds, "class").select("least").distinct()
+        texts = docs.select(ids, text).join(where.hint("merge"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+        sets = texts.select("text").mapInArrow(set_rows(n), "class binary, items binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+        return store.materialize(sets, "sets", "none")
+
+    sets = fetch(near.select(F.col("a").alias("class")).unionAll(near.select("b")).distinct())
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    tested = pairs.hint("merge").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(verify(num, den), "a binary, b binary, linked boolean")
+    tested = near.hint("merge").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(verify(num, den), "a binary, b binary, linked boolean")
     links = store.materialize(tested.where("linked").select("a", "b"), "linked")
-    return profiles, links.unionAll(block_links(ties, links, sets, num, den))
+    more = block_links(ties, links, kinds, fetch, num, den)
+    store.drop(docs.sparkSession, found, near, sets)
+    return profiles.drop("sketch"), links.unionAll(more)
 
 
-def block_links(ties: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def block_links(ties: DataFrame, links: DataFrame, kinds: DataFrame, fetch, num: int, den: int) -> DataFrame:
     """Links between components among classes that ties connect, found block by block.
 
     A cluster is cut into the size bands that its similar pairs share.  In a band, the
@@ -396,8 +435,7 @@ def block_links(ties: DataFrame, links: DataFrame, sets: DataFrame, num: int, de
     """
     cluster = components(ties).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     label = components(links)
-    sized = sets.select("class", (F.octet_length("items") / 8).cast("long").alias("size"))
-    placed = cluster.join(label, cluster["class"] == label["node"], "left").select("class", "cluster", F.coalesce("root", "class").alias("root")).join(sized, "class")
+    placed = cluster.join(label, cluster["class"] == label["node"], "left").select("class", "cluster", F.coalesce("root", "class").alias("root")).join(kinds.select("class", "size"), "class")
     placed = store.materialize(placed, "placed")
     largest = placed.agg(F.max("size")).first()[0] or 1
     own = F.size(F.filter(F.array(*(F.lit(int(x)) for x in Bands(num, den).upto(largest))), lambda x: x <= F.col("size")))
@@ -412,8 +450,9 @@ def block_links(ties: DataFrame, links: DataFrame, sets: DataFrame, num: int, de
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     home = rows.select("cluster", "band", "upper", "main", "class", "root", F.lit(False).alias("guest"), of("blocks", 0).alias("i"), all_("guests").alias("j"))
     away = rows.where("NOT main").select("cluster", "band", "upper", "main", "class", "root", F.lit(True).alias("guest"), all_("blocks").alias("i"), of("guests", 1).alias("j"))
-    met = home.unionAll(away).join(sets, "class")
-    return store.materialize(met.groupBy("cluster", "band", "i", "j").applyInArrow(compare_blocks(num, den), "a binary, b binary"), "linked")
+    met = store.materialize(home.unionAll(away), "met")
+    rows = met.join(fetch(met.select("class").distinct()), "class")
+    return store.materialize(rows.groupBy("cluster", "band", "i", "j").applyInArrow(compare_blocks(num, den), "a binary, b binary"), "linked")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, carry: tuple[Column, ...] = ()) -> DataFrame:
