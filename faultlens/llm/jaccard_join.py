@@ -13,11 +13,9 @@ A chunk of documents meets each signature once: its own classes with equal signa
 are linked to one of them there, and only that one travels.  Groups over ALL classes are
 linked as stars (those of up to ALL classes pair by pair); they, and groups where a class
 speaks for others of its chunk, also tie their classes together.  When the links are
-known, classes that ties connect and that ended outside the largest component of their
-cluster and size band are compared with the rest of it, a pair of blocks a task: a bound
-from small histograms of the sets rules most pairs out, the rest are counted exactly, and a
-task returns only links that join components.  So no pair is lost and none is emitted but
-as a candidate star ray or a link.
+known, classes that ties put in one cluster and that ended outside the largest component of
+it and their size band are compared with the rest of it, a pair of blocks a task: the
+histograms rule most pairs out, the rest are counted exactly.  So no pair is lost.
 """
 
 from __future__ import annotations
@@ -37,9 +35,9 @@ from .components import components
 U = np.uint64
 N2, K2 = 3, 1
 ALL = 8
-BLOCK, BINS = 60_000, 256
-FOUND = "pair boolean, a binary, na int, b binary, nb int"
-FOUND_ARROW = pa.schema([("pair", pa.bool_()), ("a", pa.binary()), ("na", pa.int32()), ("b", pa.binary()), ("nb", pa.int32())])
+BLOCK = 60_000
+FOUND = "pair boolean, local boolean, a binary, na int, b binary, nb int"
+FOUND_ARROW = pa.schema([("pair", pa.bool_()), ("local", pa.bool_()), ("a", pa.binary()), ("na", pa.int32()), ("b", pa.binary()), ("nb", pa.int32())])
 
 
 def shingle_sets(chunk: ta.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,11 +211,11 @@ def link_groups(sig: np.ndarray, who: np.ndarray, names: np.ndarray, size: np.nd
     return pairs, ties, new, many[new]
 
 
-def found_rows(out: blobs.Rows, pairs, ties, names, size):
+def found_rows(out: blobs.Rows, pairs, ties, names, size, local: bool):
     raw = [n.tobytes() for n in names]
     for kind, some in ((True, pairs), (False, ties)):
         for i, j in some:
-            out.add(kind, raw[i], int(size[i]), raw[j], int(size[j]))
+            out.add(kind, local, raw[i], int(size[i]), raw[j], int(size[j]))
 
 
 def send_signatures(n: int, n_buckets: int, num: int, den: int):
@@ -267,7 +265,7 @@ def local_found(packed) -> pa.Table:
         names = np.frombuffer(e, np.uint64, 2 * n, 24).reshape(n, 2)
         size = np.frombuffer(e, np.int64, n, 24 + 16 * n)
         both = np.frombuffer(e, np.int64, 2 * (p + t), 24 + 24 * n).reshape(p + t, 2)
-        found_rows(out, both[:p], both[p:], names, size)
+        found_rows(out, both[:p], both[p:], names, size, True)
     return pa.Table.from_batches([out.flush()])
 
 
@@ -306,7 +304,7 @@ def match(num: int, den: int, n_buckets: int):
         twice[1:] = (sig[1:] == sig[:-1]) & (who[1:] == who[:-1])
         out = blobs.Rows(FOUND_ARROW)
         pairs, ties, _, _ = link_groups(sig[~twice], who[~twice], kinds, sized, Fraction(num, den), False, speaks[~twice])
-        found_rows(out, pairs, ties, kinds, sized)
+        found_rows(out, pairs, ties, kinds, sized, False)
         return pa.Table.from_batches([out.flush()])
 
     return run
@@ -355,34 +353,25 @@ def verify(num: int, den: int):
 
 
 def compare_blocks(num: int, den: int):
-    """Links that join components between a block's classes and a block of guests."""
+    """Pairs of a block's classes and a block of guests, in different components, that sketches don't rule out."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = table.column("class").to_pylist()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("items")]
-        size = np.array([len(s) for s in sets])
+        names, sketches = table.column("class").to_pylist(), table.column("sketch").to_pylist()
+        size = table.column("size").to_numpy()
         guest, upper, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("guest", "upper", "main"))
         root, label = table.column("root").to_pylist(), {}
         group = np.array([label.setdefault(r, len(label)) for r in root])
         rank = np.argsort(np.argsort(np.array(names, object), kind="stable"), kind="stable")
-        hist = np.stack([np.minimum(np.bincount((s >> U(20)).astype(np.int64) % BINS, minlength=BINS), 255) for s in sets]).astype(np.int16)
-        links = []
+        bins = min(map(len, sketches))
+        folded = np.stack([np.frombuffer(x, np.uint8).astype(np.int64).reshape(bins, -1).sum(1) for x in sketches])
+        clipped = np.stack([(np.frombuffer(x, np.uint8) == 255).reshape(bins, -1).any(1) for x in sketches])
+        pairs = []
         for x in np.flatnonzero(guest):
             # two classes that can both be guests meet as such once
-            other = ~guest & (group != group[x]) & (main | (rank < rank[x])) & ~(upper & upper[x]) & similar_sizes(size, size[x], Fraction(num, den))
-            y = np.flatnonzero(other)
-            if not len(y):
-                continue
-            apart = np.abs(hist[y] - hist[x]).sum(1)
-            y = y[apart * (num + den) <= (size[y] + size[x]) * (den - num)]
-            for k in y:
-                if group[k] != group[x]:
-                    both = np.sort(np.concatenate([sets[x], sets[k]]))
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if den * shared >= num * (len(both) - shared):
-                        links.append((names[x], names[k]))
-                        group[group == group[k]] = group[x]
-        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+            y = np.flatnonzero(~guest & (group != group[x]) & (main | (rank < rank[x])) & ~(upper & upper[x]) & similar_sizes(size, size[x], Fraction(num, den)))
+            apart = (np.abs(folded[y] - folded[x]) * ~(clipped[y] | clipped[x])).sum(1)
+            pairs += [(names[x], names[k]) for k in y[apart * (num + den) <= (size[y] + size[x]) * (den - num)]]
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
 
     return run
 
@@ -404,7 +393,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent = docs.select(text).mapInArrow(send_signatures(n, n_buckets, num, den), blobs.ROW)
     found = store.materialize(sent.groupBy("bucket").applyInArrow(match(num, den, n_buckets), FOUND), "found")
     pairs = found.where("pair").select("a", "b").distinct()
-    ties = store.materialize(found.where("NOT pair").select("a", "b").distinct(), "ties")
+    ties = store.materialize(found.where("NOT pair").select("local", "a", "b").distinct(), "ties")
     ka = kinds.select(F.col("class").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
     sketched = pairs.hint("merge").join(ka, "a").hint("merge").join(ka.toDF("b", "nb", "sb"), "b")
     near = store.materialize(sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(may_link(num, den), "a binary, b binary"), "pairs")
@@ -416,31 +405,42 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = texts.select("text").mapInArrow(set_rows(n), "class binary, items binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
         return store.materialize(sets, "sets", "none")
 
-    sets = fetch(near.select(F.col("a").alias("class")).unionAll(near.select("b")).distinct())
-    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    tested = near.hint("merge").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(verify(num, den), "a binary, b binary, linked boolean")
-    links = store.materialize(tested.where("linked").select("a", "b"), "linked")
-    more = block_links(ties, links, kinds, fetch, num, den)
-    store.drop(docs.sparkSession, found, near, sets)
+    def linked(near: DataFrame) -> DataFrame:
+        """The pairs that are similar, by their sets."""
+        sets = fetch(near.select(F.col("a").alias("class")).unionAll(near.select("b")).distinct())
+        x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+        tested = near.hint("merge").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(verify(num, den), "a binary, b binary, linked boolean")
+        links = store.materialize(tested.where("linked").select("a", "b"), "linked")
+        store.drop(docs.sparkSession, sets)
+        return links
+
+    links = linked(near)
+    more = linked(block_pairs(ties, links, kinds, num, den))
+    store.drop(docs.sparkSession, found, near)
     return profiles.drop("sketch"), links.unionAll(more)
 
 
-def block_links(ties: DataFrame, links: DataFrame, kinds: DataFrame, fetch, num: int, den: int) -> DataFrame:
-    """Links between components among classes that ties connect, found block by block.
+def block_pairs(ties: DataFrame, links: DataFrame, kinds: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of classes in different components that share a large group's signature, found block by block.
 
-    A cluster is cut into the size bands that its similar pairs share.  In a band, the
-    classes outside its largest component are guests, in blocks of their own; every block of
-    the band meets every block of guests.  So work follows the guests times the band, and
-    classes of the largest component never meet one another.
+    A cluster is a leader with the classes of the groups that it leads and those that they
+    speak for in their chunks; any two classes of one group are in one.  It is cut into the
+    size bands that its similar pairs share.  In a band, the classes outside its largest
+    component are guests, in blocks of their own; every block of the band meets every block
+    of guests.  So work follows the guests times the band, and classes of the largest
+    component never meet one another.
     """
-    cluster = components(ties).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    far, here = ties.where("NOT local"), ties.where("local")
+    spoken = far.select(F.col("a").alias("cluster"), F.col("b").alias("speaker")).join(here.select(F.col("a").alias("speaker"), F.col("b").alias("class")), "speaker")
+    own_ = ties.select(F.col("a").alias("cluster"), F.col("a").alias("class"))
+    cluster = spoken.select("cluster", "class").unionAll(ties.select(F.col("a").alias("cluster"), F.col("b").alias("class"))).unionAll(own_).distinct()
     label = components(links)
-    placed = cluster.join(label, cluster["class"] == label["node"], "left").select("class", "cluster", F.coalesce("root", "class").alias("root")).join(kinds.select("class", "size"), "class")
+    placed = cluster.join(label, cluster["class"] == label["node"], "left").select("class", "cluster", F.coalesce("root", "class").alias("root")).join(kinds.select("class", "size", "sketch"), "class")
     placed = store.materialize(placed, "placed")
     largest = placed.agg(F.max("size")).first()[0] or 1
     own = F.size(F.filter(F.array(*(F.lit(int(x)) for x in Bands(num, den).upto(largest))), lambda x: x <= F.col("size")))
     bands = F.inline(F.array(F.struct(own.alias("band"), F.lit(False).alias("upper")), F.struct((own - 1).alias("band"), F.lit(True).alias("upper"))))
-    banded = placed.select("class", "cluster", "root", "size", bands)
+    banded = placed.select("class", "cluster", "root", "size", "sketch", bands)
     per = banded.groupBy("cluster", "band", "root").agg(F.sum("size").alias("s"))
     per = per.groupBy("cluster", "band").agg(F.max_by("root", F.struct("s", "root")).alias("first"), F.sum("s").alias("all"), F.max("s").alias("most"), F.count("*").alias("n")).where("n > 1")
     blocks = lambda size: F.ceil(size / BLOCK).cast("int")
@@ -448,11 +448,10 @@ def block_links(ties: DataFrame, links: DataFrame, kinds: DataFrame, fetch, num:
     rows = banded.join(per, ["cluster", "band"]).withColumn("main", F.col("root") == F.col("first"))
     of = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    home = rows.select("cluster", "band", "upper", "main", "class", "root", F.lit(False).alias("guest"), of("blocks", 0).alias("i"), all_("guests").alias("j"))
-    away = rows.where("NOT main").select("cluster", "band", "upper", "main", "class", "root", F.lit(True).alias("guest"), all_("blocks").alias("i"), of("guests", 1).alias("j"))
-    met = store.materialize(home.unionAll(away), "met")
-    rows = met.join(fetch(met.select("class").distinct()), "class")
-    return store.materialize(rows.groupBy("cluster", "band", "i", "j").applyInArrow(compare_blocks(num, den), "a binary, b binary"), "linked")
+    home = rows.select("cluster", "band", "upper", "main", "class", "root", "size", "sketch", F.lit(False).alias("guest"), of("blocks", 0).alias("i"), all_("guests").alias("j"))
+    away = rows.where("NOT main").select("cluster", "band", "upper", "main", "class", "root", "size", "sketch", F.lit(True).alias("guest"), all_("blocks").alias("i"), of("guests", 1).alias("j"))
+    met = home.unionAll(away).groupBy("cluster", "band", "i", "j").applyInArrow(compare_blocks(num, den), "a binary, b binary")
+    return store.materialize(met.distinct(), "pairs")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, carry: tuple[Column, ...] = ()) -> DataFrame:
