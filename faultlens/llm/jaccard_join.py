@@ -35,7 +35,7 @@ from .components import components
 U = np.uint64
 N2, K2 = 3, 1
 ALL = 8
-BLOCK = 60_000
+BLOCK = 240_000
 FOUND = "pair boolean, local boolean, a binary, na int, b binary, nb int"
 FOUND_ARROW = pa.schema([("pair", pa.bool_()), ("local", pa.bool_()), ("a", pa.binary()), ("na", pa.int32()), ("b", pa.binary()), ("nb", pa.int32())])
 
@@ -352,26 +352,61 @@ def verify(num: int, den: int):
     return run
 
 
+def fold(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Histograms over as many bins as the shortest has, and which bins are clipped in part."""
+    lengths = np.array([len(x) for x in sketches])
+    bins = int(lengths.min())
+    folded, clipped = np.zeros((len(sketches), bins), np.int64), np.zeros((len(sketches), bins), bool)
+    for length in np.unique(lengths):
+        of = np.flatnonzero(lengths == length)
+        raw = np.frombuffer(b"".join(sketches[k] for k in of), np.uint8).reshape(len(of), bins, -1)
+        folded[of], clipped[of] = raw.sum(2, dtype=np.int64), (raw == 255).any(2)
+    return folded, clipped
+
+
+def bounds_apart(folded: np.ndarray, clipped: np.ndarray, x: np.ndarray, y: np.ndarray, largest: int) -> np.ndarray:
+    """For each of x against each of y, a lower bound of how many items are in one set only.
+
+    Bin by bin over all pairs, so a step touches one small matrix; a bin that is clipped in
+    either set counts nothing.
+    """
+    kind = np.int16 if 2 * largest < 1 << 15 else np.int64  # a sum is at most both sizes
+    a, b = folded[x].T.astype(kind), folded[y].T.astype(kind)
+    total, step = np.zeros((len(x), len(y)), kind), np.empty((len(x), len(y)), kind)
+    for k in range(len(a)):
+        np.subtract(a[k][:, None], b[k][None, :], out=step)
+        np.abs(step, out=step)
+        if clipped[:, k].any():
+            step *= ~(clipped[x, k][:, None] | clipped[y, k][None, :])
+        total += step
+    return total
+
+
 def compare_blocks(num: int, den: int):
     """Pairs of a block's classes and a block of guests, in different components, that sketches don't rule out."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, sketches = table.column("class").to_pylist(), table.column("sketch").to_pylist()
         size = table.column("size").to_numpy()
         guest, upper, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("guest", "upper", "main"))
-        root, label = table.column("root").to_pylist(), {}
-        group = np.array([label.setdefault(r, len(label)) for r in root])
-        rank = np.argsort(np.argsort(np.array(names, object), kind="stable"), kind="stable")
-        bins = min(map(len, sketches))
-        folded = np.stack([np.frombuffer(x, np.uint8).astype(np.int64).reshape(bins, -1).sum(1) for x in sketches])
-        clipped = np.stack([(np.frombuffer(x, np.uint8) == 255).reshape(bins, -1).any(1) for x in sketches])
-        pairs = []
-        for x in np.flatnonzero(guest):
+        x, y = np.flatnonzero(guest), np.flatnonzero(~guest)
+        found = np.zeros((2, 0), np.int64)
+        names = table.column("class").to_pylist()
+        if len(x) and len(y):
+            sketches = table.column("sketch").to_pylist()
+            label = {}
+            group = np.array([label.setdefault(r, len(label)) for r in table.column("root").to_pylist()])
+            rank = np.empty(len(names), np.int64)
+            rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+            folded, clipped = fold(sketches)
             # two classes that can both be guests meet as such once
-            y = np.flatnonzero(~guest & (group != group[x]) & (main | (rank < rank[x])) & ~(upper & upper[x]) & similar_sizes(size, size[x], Fraction(num, den)))
-            apart = (np.abs(folded[y] - folded[x]) * ~(clipped[y] | clipped[x])).sum(1)
-            pairs += [(names[x], names[k]) for k in y[apart * (num + den) <= (size[y] + size[x]) * (den - num)]]
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+            fit = (group[x][:, None] != group[y]) & (main[y] | (rank[y] < rank[x][:, None])) & ~(upper[y] & upper[x][:, None])
+            fit &= similar_sizes(size[x][:, None], size[y], Fraction(num, den))
+            some, other = fit.any(1), fit.any(0)
+            x, y, fit = x[some], y[other], fit[some][:, other]
+            apart = bounds_apart(folded, clipped, x, y, int(size.max())).astype(np.int64)
+            at = np.nonzero(fit & (apart * (num + den) <= (size[x][:, None] + size[y]).astype(np.int64) * (den - num)))
+            found = np.stack([x[at[0]], y[at[1]]])
+        return pa.table({c: pa.array([names[k] for k in of], pa.binary()) for c, of in zip("ab", found, strict=True)})
 
     return run
 
