@@ -36,7 +36,8 @@ def encoder(path: str):
     a rank encoder merges by the same order over the same splits and is several times
     faster.  A text with the special string goes to the tokenizer itself, and so does one
     with so long a run of white space that the splits of the rank encoder can't step back
-    over it.
+    over it.  The search for such a run starts only where one begins, so it reads each
+    character a bounded number of times.
     """
     import json
     import re
@@ -55,7 +56,7 @@ def encoder(path: str):
         fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         memo["bpe", path] = (Tokenizer.from_file(path), fast)
     tokenizer, fast = memo["bpe", path]
-    blank = re.compile(r"\s{%d}" % BLANKS)
+    blank = re.compile(r"(?<!\s)\s{%d}" % BLANKS)
 
     def encode(text: str) -> bytes:
         if SPECIAL in text or (len(text) > BLANKS and blank.search(text)):

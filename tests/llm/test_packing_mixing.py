@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -165,6 +166,19 @@ def test_two_million_blanks_have_the_tokenizers_ids(blank):
         assert np.array_equal(np.frombuffer(encode(text), "<u4"), t.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("run", [1_000, 25_000, packing.BLANKS - 1])
+def test_many_runs_of_blanks_take_linear_time(run):
+    """10 MB of words between runs just too short for the tokenizer, of each kind and of all of them."""
+    kinds = [" ", "\t", "\n", " \t\r\n", "\u00a0"]
+    encode, n = packing.encoder(packing.default_tokenizer()), 10_000_000 // len(kinds) // run
+    text = "".join(f"w{(blank * run)[:run]}" for blank in kinds for _ in range(n))
+    begun = time.process_time()
+    ids = encode(text)
+    assert time.process_time() - begun < 30 and len(ids) > 4 * n
+    short = text[: 3 * run]
+    assert encode(short) == np.array(Tokenizer.from_file(packing.default_tokenizer()).encode(short, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_of_a_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = packing.pack(docs).collect()
