@@ -17,6 +17,7 @@ MODULES = {
     "op9_media_columns": "media",
     "op10_jaccard_join": "jaccard_join",
     "op12_filter_audit": "filter_audit",
+    "op13_spelling_variants": "spelling",
 }
 
 
