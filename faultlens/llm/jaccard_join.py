@@ -5,9 +5,12 @@ bands [l, l / threshold]; a class takes part in its own band and in the one belo
 it is the larger partner.  In a band any two similar sets differ in at most k elements.
 Elements fall into n1 parts by hash, so some part holds at most k2 differences; that
 part is cut into n2 cells, and the n2 - k2 cells without a difference give equal
-signatures.  Every similar pair therefore shares a signature.  A small histogram of each
-set rules most candidate pairs out; the sets of the others are read from their texts and
-counted exactly.
+signatures.  Every similar pair therefore shares a signature.  Signatures of cells without an
+element are the same for unrelated sets.  So there are some parts to spare: at least
+`spare` parts of a similar pair hold at most k2 differences, and a set in which fewer parts than
+that have such cells keeps a shared signature of elements when it drops the empty ones.  A
+small histogram of each set rules most candidate pairs out; the sets of the others are read
+from their texts and counted exactly.
 
 A chunk of documents meets each signature once: its own classes with equal signatures
 are linked to one of them there, and only that one travels.  Groups over ALL classes are
@@ -22,18 +25,18 @@ from __future__ import annotations
 
 from fractions import Fraction
 from itertools import combinations
+from math import comb, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import blobs, store
+from . import blobs, keybits, store
 from . import textarrays as ta
 from .components import components
 
 U = np.uint64
-N2, K2 = 3, 1
 ALL = 8
 BLOCK = 240_000
 FOUND = "pair boolean, local boolean, a binary, na int, b binary, nb int"
@@ -115,7 +118,7 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.ratio = Fraction(num, den)
-        self.low = [1]
+        self.low, self.shapes = [1], []
 
     def upto(self, size: int) -> np.ndarray:
         """Lower ends of bands, beyond size and one more."""
@@ -123,13 +126,40 @@ class Bands:
             self.low.append(int(self.low[-1] / self.ratio) + 1)
         return np.array(self.low)
 
-    def shape(self, band: int) -> tuple[int, int, int]:
-        """n1, n2, k2 of a band: larger partners lie in the next band at most."""
-        most = int(self.low[band] / self.ratio)
-        k = int((most + int(most / self.ratio)) * (1 - self.ratio) / (1 + self.ratio))
-        if k == 0:
-            return 1, 1, 0
-        return -(-(k + 1) // (K2 + 1)), N2, K2
+    def shape(self, band: int) -> tuple[int, int, int, int]:
+        """n1, n2, k2 and spare of a band: larger partners lie in the next band at most."""
+        while len(self.shapes) <= band:
+            low = self.low[len(self.shapes)]
+            most = int(low / self.ratio)
+            self.shapes.append(best_shape(low, int((most + int(most / self.ratio)) * (1 - self.ratio) / (1 + self.ratio))))
+        return self.shapes[band]
+
+
+def chance_of(least: int, mean: float) -> float:
+    """The chance that a Poisson variable is `least` or more."""
+    return 1 - sum(exp(k * log(mean) - mean - lgamma(k + 1)) for k in range(least)) if mean > 0 else 0.0
+
+
+def best_shape(size: int, k: int) -> tuple[int, int, int, int]:
+    """The shape of fewest signatures for sets of `size` elements with at most k differences.
+
+    Any shape finds all pairs.  A set that can't drop its empty signatures counts as 20 more
+    sets, and so does a signature of under 3.5 elements, which unrelated sets share too often.
+    """
+    if k == 0:
+        return 1, 1, 0, 1
+    found = []
+    for k2 in range(1, min(k, 3) + 1):
+        for n2 in range(k2 + 1, k2 + 4):
+            for extra in range(max(8, k // 4)):
+                n1 = k // (k2 + 1) + 1 + extra
+                cell = size / n1 / n2
+                empty = sum(comb(n2, i) * (1 - exp(-cell)) ** i * exp(-cell * (n2 - i)) for i in range(k2 + 1))
+                stuck = chance_of(extra + 1, n1 * empty) + (cell * (n2 - k2) < 3.5)
+                found.append((n1 * comb(n2, k2) * (1 + 20 * stuck), n1, n2, k2, extra + 1))
+                if stuck < 0.005:
+                    break
+    return min(found)[1:]
 
 
 def signatures(sets: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +172,13 @@ def signatures(sets: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.nd
     row = ta.rows_of(first)
     part, cell = ta.mix(sets ^ U(11)), ta.mix(sets ^ U(13))
     hi, lo = (cell >> U(32)).astype(np.float64), (cell & U(0xFFFFFFFF)).astype(np.float64)
+    shapes = np.array([bands.shape(b) for b in range(len(low) - 1)])
     sigs, rows = [], []
     for step in (0, 1):
         band = own - step
         usable = (size > 0) & (band >= 0)
-        shapes = np.array([bands.shape(int(b)) for b in np.arange(len(low) - 1)])
-        shape = shapes[np.where(usable, band, 0)]
-        n1, n2 = np.where(usable, shape[:, 0], 0), shape[:, 1]
+        n1, n2, k2, spare = shapes[np.where(usable, band, 0)].T
+        n1 = np.where(usable, n1, 0)
         base = np.concatenate([[0], np.cumsum(n1 * n2)])
         use = usable[row]
         r = row[use]
@@ -156,19 +186,23 @@ def signatures(sets: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.nd
         q = ((part[use] & U(0xFFFFFFFF)) * n2[r].astype(np.uint64) >> U(32)).astype(np.int64)
         at = base[r] + p * n2[r] + q
         sums = (np.bincount(at, hi[use], base[-1]).astype(np.uint64) << U(32)) + np.bincount(at, lo[use], base[-1]).astype(np.uint64)
-        sums = ta.mix(sums)
+        sums, filled = ta.mix(sums), np.bincount(at, minlength=base[-1]) > 0
         owner = np.repeat(np.arange(len(size)), n1)
         where = np.arange(len(owner)) - np.repeat(np.cumsum(n1) - n1, n1)
         tag = ta.mix(band[owner].astype(np.uint64) * ta.ODD[0] + where.astype(np.uint64))
         start = base[owner] + where * n2[owner]
-        for shape_n2, shape_k2 in ((1, 0), (N2, K2)):
-            of = n2[owner] == shape_n2
-            for j, keep in enumerate(combinations(range(shape_n2), shape_n2 - shape_k2)):
-                s = tag[of] + U(j)
+        for cells, differ in {(int(a), int(b)) for a, b in zip(n2[usable], k2[usable], strict=True)}:
+            of = np.flatnonzero((n2[owner] == cells) & (k2[owner] == differ))
+            who = owner[of]
+            full = filled[start[of][:, None] + np.arange(cells)]
+            drops = np.bincount(who, full.sum(1) <= differ, len(size)) < spare
+            for j, keep in enumerate(combinations(range(cells), cells - differ)):
+                some = full[:, keep].any(1) | ~drops[who]
+                s = tag[of[some]] + U(j)
                 for c in keep:
-                    s = ta.mix(s + sums[start[of] + c] * ta.ODD[1])
+                    s = ta.mix(s + sums[start[of[some]] + c] * ta.ODD[1])
                 sigs.append(s)
-                rows.append(owner[of])
+                rows.append(who[some])
     return np.concatenate(sigs), np.concatenate(rows)
 
 
@@ -418,10 +452,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component are skipped, so links of a document can't be counted from them.
     """
     ids, text = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    rows = docs.select(text, ids, *carry)
+    digest = F.unhex(F.sha2(F.col(text_col).cast("string"), 256)).alias("digest")
+    rows = docs.select(text, ids, digest, *carry)
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
     profiles = store.materialize(rows.mapInArrow(profile(n), f"{plain}, n_shingles long, class binary, sketch binary"), "profiles")
-    kinds = profiles.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    kinds = profiles.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.min("digest").alias("digest"))
     kinds = store.materialize(kinds, "kinds")
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = blobs.number_for(total, 2_000_000)
@@ -434,10 +469,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = store.materialize(sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(may_link(num, den), "a binary, b binary"), "pairs")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        """The sets of classes, read again from their first documents' texts."""
-        where = wanted.join(kinds, "class").select("least").distinct()
-        texts = docs.select(ids, text).join(where.hint("merge"), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-        sets = texts.select("text").mapInArrow(set_rows(n), "class binary, items binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+        """The sets of classes, read again from one text each; other texts are told by a bitmap, and copies meet in their task."""
+        where = store.materialize(wanted.join(kinds, "class").select("digest").distinct(), "where")
+        seen, hit = keybits.maybe(docs.select(text, digest), F.col("digest"), keybits.bitmap(where, "digest"))
+        texts = seen.where(hit).groupBy("digest").agg(F.first("text").alias("text")).hint("merge").join(where, "digest", "left_semi")
+        sets = texts.select("text").mapInArrow(set_rows(n), "class binary, items binary").dropDuplicates(["class"])
         return store.materialize(sets, "sets", "none")
 
     def linked(near: DataFrame) -> DataFrame:
@@ -450,9 +486,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return links
 
     links = linked(near)
-    more = linked(block_pairs(ties, links, kinds, num, den))
-    store.drop(docs.sparkSession, found, near)
-    return profiles.drop("sketch"), links.unionAll(more)
+    further = block_pairs(ties, links, kinds, num, den)
+    if not further.isEmpty():
+        links = links.unionAll(linked(further))
+    store.drop(docs.sparkSession, found, near, further)
+    return profiles.drop("sketch", "digest"), links
 
 
 def block_pairs(ties: DataFrame, links: DataFrame, kinds: DataFrame, num: int, den: int) -> DataFrame:
@@ -511,14 +549,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that lead their group: those with its smallest id, each once.
 
-    A row without an id stays if no row with an id is in its group.
+    A row without an id stays if no row with an id is in its group.  Cases are those of
+    jaccard_join; very long texts stay whole.  Only rows whose key may be that of a row that
+    goes, or of one that stands more than once, are shuffled.
     """
     name = store.unused(docs, "key")
-    key = store.key_of(id_col, text_col).alias(name)
-    groups = jaccard_join(docs, id_col, text_col, carry=(key,), **how)
-    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name).distinct()
-    kept = docs.withColumn(name, store.key_of(id_col, text_col)).join(leads.hint("merge"), name, "left_semi")
-    return kept.dropDuplicates([name]).select(*docs.columns)
+    groups = jaccard_join(docs, id_col, text_col, carry=(store.key_of(id_col, text_col).alias(name),), **how)
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    per = groups.groupBy(name).agg(F.bool_or(leads).alias("leads"), F.count("*").alias("n")).where("NOT leads OR n > 1")
+    doubtful = store.materialize(per, "doubtful")
+    rows, hit = keybits.maybe(docs.withColumn(name, store.key_of(id_col, text_col)), F.col(name), keybits.bitmap(doubtful, name))
+    columns = [*docs.columns, name]
+    sure = rows.where(~hit).select(*columns)
+    judged = rows.where(hit).select(*columns)
+    once = judged.hint("merge").join(doubtful.select(name), name, "left_anti").select(*columns)
+    again = judged.hint("merge").join(doubtful.where("leads").select(name), name, "left_semi").dropDuplicates([name]).select(*columns)
+    return sure.unionAll(once).unionAll(again).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultlens.llm import jaccard_join, line_dedup, quality_rules, substring_dedup
+from faultlens.llm import jaccard_join, keybits, line_dedup, quality_rules, substring_dedup
 from faultlens.llm import textarrays as ta
 
 from .helpers import SCHEMA, cut_lines, cut_windows, edge_docs, edge_rows, link_groups, passage, sha, words
@@ -137,6 +137,37 @@ def test_jaccard_join_near_the_threshold(spark, n, edits, monkeypatch):
     assert got == sorted(link_groups(rows), key=repr)
 
 
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (60, 100)])
+def test_similar_sets_share_a_signature(num, den):
+    """Pairs just above the threshold, of all small sizes and some large ones, equal or not in size; empty signatures are rare."""
+    r = np.random.default_rng(num)
+    bands, empty = jaccard_join.Bands(num, den), 0
+    for size in [*range(1, 60)] * 8 + [100, 250, 700, 2000] * 4:
+        shared = size
+        spare = shared * (den - num) // num  # so many elements may be in one set only
+        left = int(r.integers(0, spare + 1))
+        new = r.integers(0, 1 << 63, shared + spare, np.uint64)
+        x, y = np.unique(new[: shared + left]), np.unique(np.concatenate([new[:shared], new[shared + left :]]))
+        assert den * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y))
+        first = np.array([0, len(x), len(x) + len(y)])
+        sig, row = jaccard_join.signatures(np.concatenate([x, y]), first, bands)
+        assert np.intersect1d(sig[row == 0], sig[row == 1]).size
+        z = np.unique(r.integers(0, 1 << 63, len(x), np.uint64))
+        other, _ = jaccard_join.signatures(z, np.array([0, len(z)]), bands)
+        empty += size >= 100 and np.intersect1d(sig, other).size > 0
+    assert num < 80 or empty <= 1  # there, large sets can drop their empty signatures
+
+
+def test_rows_that_repeat_and_rows_without_an_id_stay_once(spark, monkeypatch):
+    """Also when the bitmap takes every key for one of those that go."""
+    rows = [(d, passage(d, 30), "en", "s", None) for d in (1, 2, 3)] * 3 + [(4, passage(1, 30), "en", "s", None)] * 2
+    rows += [(None, passage(k, 30), None, None, None) for k in (1, 8, 8, 9)] + [(5, None, None, None, None)] * 2
+    for words in (keybits.WORDS, 1):
+        monkeypatch.setattr(keybits, "WORDS", words)
+        got = collected(jaccard_join.one_of_each(edge_docs(spark, rows)), "doc_id", "text")
+        assert got == sorted([(d, passage(d, 30)) for d in (1, 2, 3)] + [(None, passage(k, 30)) for k in (8, 9)] + [(5, None)], key=repr)
+
+
 def test_one_of_each_keeps_one_row_of_a_group(spark):
     rows = edge_rows()
     kept = jaccard_join.one_of_each(edge_docs(spark)).collect()
