@@ -3,12 +3,12 @@
 A mask has one bit per letter, set if the word holds that letter an odd number of times.
 A replaced code point flips exactly two bits, an inserted or deleted one exactly one.  The
 bits are dealt to three bands, so two near words have at least one equal band.  Words meet
-by (band, its value, length); a longer partner also comes to the words one shorter.  Inside
-a group the other bits are cut into three sub-bands, of which again one is equal, before masks
-are compared; what is left is verified letter by letter.  A group that is larger than a limit,
-as of words of few letters, is cut by halves of its words first: an edit leaves one of the
-halves as it is, and goes on in the other, which is cut again until groups are small.  A pair
-counts where its first equal band, half and sub-band are, so it is found once.
+by (band, its value, length); a longer partner also comes to the words one shorter.  An edit
+leaves one half of a word as it is, so inside a group only words with an equal half are
+compared: by their masks, then letter by letter.  A group that is larger than a limit, as
+of words of few letters, is cut by halves before it comes to a task, and a half by its
+halves again, until groups are small.  A pair counts where its first equal band and halves
+are, so it is found once.
 
 Words are Latin letters up to U+00FF, so that a code point is a byte of Latin-1.
 """
@@ -187,23 +187,6 @@ def band_rows(batches):
                 yield rows_of(group_keys(band, m[:, band], size - longer), b"", band, longer, word, batch.column(1))
 
 
-#: The three bands of the 90 bits, and the three sub-bands of the bits outside each band.
-BANDS = [np.arange(k, 90, 3) for k in range(3)]
-SUBS = [[np.setdiff1d(np.arange(90), BANDS[k])[j::3] for j in range(3)] for k in range(3)]
-
-
-def select(m: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Masks cut down to some bits (n x 3)."""
-    keep = np.zeros(3, np.uint32)
-    for b in bits:
-        keep[b % 3] |= np.uint32(1) << np.uint32(b // 3)
-    return m & keep
-
-
-def names_of(m: np.ndarray) -> np.ndarray:
-    return ta.mix(m[:, 0].astype(np.uint64) * ta.ODD[0] + ta.mix((m[:, 1].astype(np.uint64) << U(32)) + m[:, 2].astype(np.uint64)))
-
-
 def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
 
@@ -268,20 +251,27 @@ class Compared:
 
     def __init__(self, paths, bands, longer, words):
         self.paths, self.bands, self.longer, self.words = paths, bands, longer, words
-        data, off = joined(words)
-        self.size, self.m = np.diff(off), masks(data, off)
+        self.data, self.off = joined(words)
+        self.size, self.m = np.diff(self.off), masks(self.data, self.off)
         self.left, self.right = aligned(words), aligned(words, True)
 
     def pairs(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows x, y that are near, the shorter one first; each pair as often as it stands in groups that count it."""
+        group = self.size - self.longer
+        lo, mid, hi = np.zeros(len(group), np.int64), group // 2, group.copy()
+        for k in np.flatnonzero([len(p) > 0 for p in self.paths]):
+            _, lo[k], mid[k], hi[k] = list(halves(self.paths[k], int(group[k])))[-1]
+        front = ta.span_names(self.data, self.off[:-1] + lo, self.off[:-1] + mid)
+        back = ta.span_names(self.data, self.off[:-1] + mid + self.longer, self.off[:-1] + hi + self.longer)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for band in range(3):
-            here = np.flatnonzero(self.bands == band)
-            for j, sub in enumerate(SUBS[band] if len(here) else ()):
-                order, end = runs_of_equal(names_of(select(self.m[here], sub)), self.size[here] - self.longer[here], key[here].view(np.uint64))
-                rows = here[order]
-                for x, y in self.met(rows, end):
-                    found.append(self.halved(*self.near(*self.counted(((BANDS, band), (SUBS[band], j)), x, y))))
+        for half in (front, back):
+            rows, end = runs_of_equal(*half, key.view(np.uint64))
+            for x, y in self.met(rows, end):
+                equal = self.m[x] == self.m[y]
+                ok = equal.any(1) & (equal.argmax(1) == self.bands[x])
+                if half is back:
+                    ok &= (front[0][x] != front[0][y]) | (front[1][x] != front[1][y])
+                found.append(self.halved(*self.near(x[ok], y[ok])))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def halved(self, x, y) -> tuple[np.ndarray, np.ndarray]:
@@ -312,16 +302,6 @@ class Compared:
                 yield np.where(swap, y, x), np.where(swap, x, y)
             step += 1
 
-    def counted(self, chosen, x, y) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs whose first equal band and sub-band are the chosen ones."""
-        ok = np.ones(len(x), bool)
-        differ = self.m[x] ^ self.m[y]
-        for cuts, k in chosen:
-            for j in range(k):
-                ok &= select(differ, cuts[j]).any(1)
-            ok &= ~select(differ, cuts[k]).any(1)
-        return x[ok], y[ok]
-
     def near(self, x, y) -> tuple[np.ndarray, np.ndarray]:
         wide = self.size[y] > WIDE
         same = self.size[x] == self.size[y]

@@ -104,7 +104,7 @@ def test_checksums_equal_the_librarys():
     assert got.tolist() == [zlib.crc32(s, x) for s, x in zip(spans, state, strict=True)]
 
 
-def test_an_edit_leaves_a_band_a_sub_band_and_a_half():
+def test_an_edit_leaves_a_band_and_a_half():
     r = random.Random(6)
     words = sorted({"".join(r.choice("abcde") for _ in range(r.randint(5, 6))) for _ in range(200)})
     m = spelling.masks(*spelling.latin(pa.array(words)))
@@ -113,8 +113,7 @@ def test_an_edit_leaves_a_band_a_sub_band_and_a_half():
             if len(x) <= len(y) and x != y and near(x, y):
                 differ = m[[i]] ^ m[[j]]
                 assert int(np.bitwise_count(differ).sum()) == 2 - (len(x) != len(y))
-                for cuts in (spelling.BANDS, *spelling.SUBS):
-                    assert any(not spelling.select(differ, cut).any() for cut in cuts)
+                assert (differ == 0).any()
                 on, path = len(y) - len(x), b""
                 for _ in range(3):
                     _, lo, mid, hi = list(spelling.halves(path, len(x)))[-1]
