@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +19,42 @@ def chunk_counts(files: DataFrame, key: str = "id", width: int = 4) -> DataFrame
     return cut.groupBy(key, "chunk").agg(F.count("*").alias("n"))
 
 
+def counted(content: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct chunks of some bytes and their counts, from the most frequent on; ties: the larger chunk first."""
+    whole = np.frombuffer(content, np.uint8)[: len(content) // width * width].reshape(-1, width)
+    if width == 4:
+        values, n = np.unique(whole.view(">u4").ravel(), return_counts=True)
+        values = values.astype(">u4").view(np.uint8).reshape(-1, 4)
+    else:
+        values, n = np.unique(whole, axis=0, return_counts=True)
+    order = np.lexsort((-np.arange(len(n)), -n))
+    return values[order], n[order]
+
+
 def top_chunks(files: DataFrame, key: str = "id", width: int = 4, k: int = 3) -> DataFrame:
-    """The k most frequent chunks of a file that occur more than once; ties: the larger chunk first.
+    """The k most frequent chunks of each row's content that occur more than once; ties: the larger chunk first.
 
-    The count filter comes after the cut, so a file of single chunks has none.
+    The count filter comes after the cut, so a file of single chunks has none.  A row holds
+    its whole file, so its task counts its chunks and nothing is shuffled; files that no row
+    should hold go through byteranges.top_chunks.  Null content has no chunks.
     """
-    w = Window.partitionBy(key).orderBy(F.desc("n"), F.desc("chunk"))
-    out = chunk_counts(files, key, width).withColumn("rnk", F.row_number().over(w).cast("long")).where((F.col("rnk") <= k) & (F.col("n") > 1))
-    return out.select(key, "rnk", F.lower(F.hex("chunk")).alias("chunk"), "n")
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows, rnk, chunk, n = [], [], [], []
+            for i, content in enumerate(batch.column(1)):
+                values, counts = counted(content.as_py() or b"", width)
+                for j in range(min(k, len(counts))):
+                    if counts[j] > 1:
+                        rows.append(i)
+                        rnk.append(j + 1)
+                        chunk.append(values[j].tobytes().hex())
+                        n.append(int(counts[j]))
+            keys = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(rnk, pa.int64()), pa.array(chunk, pa.string()), pa.array(n, pa.int64())], [key, "rnk", "chunk", "n"])
+
+    return files.select(key, "content").mapInArrow(run, f"`{key}` {kind}, rnk long, chunk string, n long")
 
 
 def nonprintable(text: Column) -> tuple[Column, Column, Column]:

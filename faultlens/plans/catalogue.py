@@ -13,15 +13,16 @@ from pyspark.sql import types as T
 from faultlens.functions import semistructured as js
 from faultlens.functions import text as tx
 from faultlens.functions.signature import ADDRESS, FRAME
-from faultlens.operators import byteprofile, hardening, metrics, records, triage
+from faultlens.operators import byteprofile, byteranges, elf, hardening, metrics, records, triage
 from faultlens.plans import report
-from faultlens.sources import files
+from faultlens.sources import corpus, documents, files, shared
+from faultlens.streaming import incremental
 
 # One row per event; the text is what a debugger would have printed for its type.
 CRASHES = """
 SELECT concat('id:', CAST(event_id AS STRING)) AS file, CAST(floor(value * 10) AS BIGINT) AS size,
   CASE WHEN user_id % 50 = 7 THEN 'TIMEOUT'
-       WHEN event_type = 'error' THEN concat('#0  0x', lower(hex(4096 + event_id % 31)), ' in fn_', CAST(event_id % 13 AS STRING), ' (n=1) at mod_', CAST(event_id % 3 AS STRING), '.c:', CAST(event_id % 17 AS STRING), ' x')
+       WHEN event_type = 'error' THEN concat('#0  0x', lower(hex(4096 + event_id % 31)), ' in fn_', CAST(event_id % 13 AS STRING), ' (n=1) at mod_', CAST(event_id % 3 AS STRING), '.c:', CAST(event_id % 17 AS STRING), ' x', repeat(concat(chr(10), '#1  0x2a in caller (m=2) at main.c:5'), CAST(event_id % 14 AS INT)))
        WHEN event_type = 'view' THEN concat('#1  0x', lower(hex(8192 + event_id % 11)), ' in main () ')
        WHEN event_type = 'click' THEN concat('received SIGSEGV, 0x', lower(hex(64 + user_id % 5)), ' in handler')
        WHEN event_type = 'signup' THEN CASE WHEN user_id % 2 = 0 THEN 'Segmentation fault' ELSE 'SIGABRT' END
@@ -118,7 +119,7 @@ def stable_groups(t: Tables) -> DataFrame:
 
 
 @query(rf"""WITH {FRAMES_SQL}, a AS (SELECT file, regexp_extract_all(stdout, '(#[0-9]+\s+0x[0-9a-f]+ in [^\s]+ )', 1) AS fs FROM c)
-SELECT file, CAST(unnest(range(0, len(fs))) AS BIGINT) AS depth, rtrim(unnest(fs)) AS frame FROM a""")
+SELECT file, CAST(unnest(range(0, len(fs[1:10]))) AS BIGINT) AS depth, rtrim(unnest(fs[1:10])) AS frame FROM a""")
 def backtrace_frames(t: Tables) -> DataFrame:
     return triage.backtraces(t.sql(CRASHES))
 
@@ -154,10 +155,12 @@ def byte_preview(t: Tables) -> DataFrame:
     return contents(t).select("doc_id", byteprofile.dump(F.col("content")).alias("dump"))
 
 
-@query("SELECT doc_id, contains(text, 'License') AS has_bytes, contains(hex(encode(text)), '4C6963656E7365') AS has_hex, true AS textual FROM documents")
+@query("SELECT doc_id, contains(text, 'License') AS has_bytes, contains(hex(encode(text)), '4C6963656E7365') AS has_hex, doc_id % 5 <> 0 AND NOT contains(text, chr(0)) AS textual FROM documents")
 def pattern_flags(t: Tables) -> DataFrame:
+    """Every fifth content has half a character at its end, which no text has."""
     c = F.col("content")
-    return contents(t).select("doc_id", byteprofile.has_bytes(c, b"License").alias("has_bytes"), byteprofile.has_hex(c, b"License").alias("has_hex"), byteprofile.looks_textual(c).alias("textual"))
+    half = F.when(F.col("doc_id") % 5 == 0, F.lit(b"\xe2\x82")).otherwise(F.lit(b""))
+    return contents(t).select("doc_id", F.concat(c, half).alias("content")).select("doc_id", byteprofile.has_bytes(c, b"License").alias("has_bytes"), byteprofile.has_hex(c, b"License").alias("has_hex"), byteprofile.looks_textual(c).alias("textual"))
 
 
 @query("WITH p AS (SELECT url, CASE WHEN contains(url, '/a') THEN 0 WHEN contains(url, '/b') THEN 1 ELSE 2 END AS prio FROM pages) SELECT max(url) AS url FROM p WHERE prio = (SELECT min(prio) FROM p)")
@@ -429,17 +432,30 @@ def tool_facts(t: Tables) -> DataFrame:
 
 def saved(t: Tables, rows: DataFrame, key: str, value: str) -> str:
     """A corpus with one text file a row, in a folder named key=..."""
-    path = files.scratch(t.spark, "corpus")
+    path = shared.scratch(t.spark, "corpus")
     rows.select(key, value).write.partitionBy(key).text(path)
     return path
 
 
 @query("SELECT n_nationkey, CAST(octet_length(encode(n_name)) + 1 AS BIGINT) AS size, concat(n_name, chr(10)) AS content FROM nation")
 def corpus_scan(t: Tables) -> DataFrame:
-    found = files.corpus(t.spark, saved(t, t.nation, "n_nationkey", "n_name"), recursive=True, glob="part-*")
+    found = corpus.corpus(t.spark, saved(t, t.nation, "n_nationkey", "n_name"), recursive=True, glob="part-*")
     return found.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), "size", F.decode("content", "UTF-8").alias("content"))
 
 
+_NAME = """CASE s_suppkey % 5 WHEN 0 THEN concat('_', s_suppkey) WHEN 1 THEN concat('.', s_suppkey) WHEN 2 THEN 'README.txt' WHEN 3 THEN concat('id:', s_suppkey, ' %20') ELSE concat('id', s_suppkey) END"""
+CORPUS = f"SELECT concat(s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN concat('/.n/_', s_suppkey) WHEN s_suppkey % 5 = 2 THEN concat('/', s_suppkey) ELSE '' END, '/', {_NAME}) AS name, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS content FROM supplier"
+
+
+@query(f"WITH c AS ({CORPUS}) SELECT name, string_split(name, '/')[-1] AS file, CAST(coalesce(octet_length(encode(content)), 0) AS BIGINT) AS size, coalesce(content, '') AS content FROM c WHERE string_split(name, '/')[-1] <> 'README.txt'")
+def corpus_complete(t: Tables) -> DataFrame:
+    """Files with plain, hidden and odd names, empty ones and README.txt, at several depths, written and listed."""
+    root = shared.scratch(t.spark, "corpus")
+    corpus.write_files(t.sql(CORPUS), root)
+    found = corpus.corpus(t.spark, root, recursive=True)
+    return found.select(F.substring(F.col("path"), len(root) + 2, 1 << 20).alias("name"), "file", "size", F.decode("content", "UTF-8").alias("content"))
+
+
 @query("SELECT r_regionkey, CAST(octet_length(encode(r_name)) + 1 AS BIGINT) AS size FROM region WHERE r_regionkey = 3")
 def first_directory(t: Tables) -> DataFrame:
     path = saved(t, t.region, "r_regionkey", "r_name")
@@ -449,7 +465,7 @@ def first_directory(t: Tables) -> DataFrame:
 
 @query("SELECT n_nationkey, concat(n_name, chr(10)) AS latest FROM nation WHERE n_nationkey = (SELECT arg_max(n_nationkey, CAST(n_nationkey AS VARCHAR)) FROM nation)")
 def latest_file(t: Tables) -> DataFrame:
-    last = files.latest(files.corpus(t.spark, saved(t, t.nation, "n_nationkey", "n_name"), recursive=True))
+    last = files.latest(corpus.corpus(t.spark, saved(t, t.nation, "n_nationkey", "n_name"), recursive=True))
     return last.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), F.decode("content", "UTF-8").alias("latest"))
 
 
@@ -464,7 +480,7 @@ def json_documents(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def json_written(t: Tables) -> DataFrame:
-    path = files.scratch(t.spark, "json")
+    path = shared.scratch(t.spark, "json")
     files.write_json(t.supplier, path)
     return t.spark.read.schema("s_suppkey long, s_name string, s_acctbal double").json(path)
 
@@ -545,16 +561,23 @@ _TABLE = "[" + ", ".join([f"concat('{n} | ', CASE WHEN {c} THEN 'Enabled | {on}'
 RECORDS = f"SELECT p_partkey, {_KIND} AS vulnerability_type, CASE p_partkey % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Low' END AS severity, CAST(p_size AS DOUBLE) / 64 AS confidence, CASE p_size % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' END AS likelihood, p_type AS attack_vector, CASE WHEN p_size > 20 THEN p_brand END AS impact, CASE WHEN p_size > 30 THEN p_name END AS technical_details FROM part WHERE p_size > 5"
 
 
-@query(f"""WITH fl AS ({FLAGS_SQL}), s AS (SELECT *, {_N} AS n FROM fl), h AS (SELECT *, {_LEVELS} FROM s), r AS ({RECORDS}), {FRAMES_SQL.replace("r AS (SELECT frame", "rg AS (SELECT frame")},
+REVIEWS = "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_name END AS vulnerable_function, p_type AS root_cause, CASE WHEN p_size > 25 THEN p_brand END AS attack_surface, CASE WHEN p_size % 2 = 0 THEN split(concat('strcpy,', p_brand), ',') END AS dangerous_functions FROM part WHERE p_size > 12"
+PATCHES = "SELECT p_partkey, split(concat('bound copies in ', p_name, ',', p_type), ',') AS immediate_fixes, CASE WHEN p_size % 4 = 0 THEN concat('f(', p_brand, ');', chr(10), 'return;') END AS corrected_code_snippet, CASE WHEN p_size % 5 < 2 THEN split(concat(p_type, ',fuzz'), ',') END AS long_term_recommendations FROM part WHERE p_size > 30"
+_REVIEW = "list_concat(['### Source Code Analysis', concat('**Vulnerable Function:** `', coalesce(vulnerable_function, 'Unknown'), '`'), concat('**Root Cause:** ', root_cause), concat('**Attack Surface:** ', coalesce(attack_surface, 'Unknown'))], CASE WHEN len(dangerous_functions) > 0 THEN list_concat(['**Dangerous Functions Detected:**'], list_transform(dangerous_functions, lambda x: concat('- `', x, '`'))) ELSE [] END)"
+_PATCH = "list_concat(list_concat(['## Remediation Strategy', '### Immediate Actions Required'], list_transform(immediate_fixes, lambda x: concat('1. **', x, '**'))), list_concat(CASE WHEN corrected_code_snippet <> '' THEN ['### Code Fix Example', '```c', corrected_code_snippet, '```'] ELSE [] END, CASE WHEN len(long_term_recommendations) > 0 THEN list_concat(['### Long-term Security Improvements'], list_transform(long_term_recommendations, lambda x: concat('- ', x))) ELSE [] END))"
+REPORT_SQL = f"""WITH fl AS ({FLAGS_SQL}), s AS (SELECT *, {_N} AS n FROM fl), h AS (SELECT *, {_LEVELS} FROM s), r AS ({RECORDS}), {FRAMES_SQL.replace("r AS (SELECT frame", "rg AS (SELECT frame")},
 k AS (SELECT h.*, list_filter([CASE WHEN protection_level = 'Low' THEN '{metrics.RISKS[0]}' END, CASE WHEN severity IN ('Critical', 'High') THEN '{metrics.RISKS[1]}' END, CASE WHEN likelihood IN ('High', 'Medium') THEN '{metrics.RISKS[2]}' END], lambda x: x IS NOT NULL) AS risks FROM h LEFT JOIN r ON r.p_partkey = h.p_partkey),
 o AS (SELECT CAST(1 AS BIGINT) AS target_id, 1 AS section, ['# Security Report', {_BOLD('Total Crashes', 'CAST(sum(cnt) AS BIGINT)')}, {_BOLD('Unique Crash Frames', 'count(*)')}] AS x FROM g
  UNION ALL SELECT p_partkey, 2, ['## Executive Summary', concat('**Critical Finding:** ', coalesce(vulnerability_type, 'Unknown'), ' vulnerability detected'), {_BOLD('Risk Level', "coalesce(severity, 'Unknown')")}, concat('**Exploitability:** ', printf('%.0f%%', round_even(confidence * 100, 0)), ' confidence')] FROM r
  UNION ALL SELECT p_partkey, 3, [{_BOLD('Defense Level', 'protection_level')}, {_BOLD('Exploit Difficulty', 'exploit_difficulty')}] FROM h
  UNION ALL SELECT p_partkey, 4, ['### Risk Assessment', concat('- ', CASE WHEN len(risks) = 0 THEN '{metrics.NO_RISK}' ELSE array_to_string(risks, concat(chr(10), '- ')) END)] FROM k
- UNION ALL SELECT p_partkey, 5, {_TABLE} FROM h UNION ALL SELECT p_partkey, 8, {_DETAILS} FROM r)
-SELECT target_id, section, CAST(unnest(range(0, len(x))) AS BIGINT) AS line_no, unnest(x) AS line FROM o
-UNION ALL SELECT 1, 6, rnk, concat('### Crash Group ', rnk, ': ', frame, ' (', cnt, ' crashes, ', file, ')') FROM rg
-UNION ALL SELECT 1, 7, row_number() OVER (ORDER BY n_name), concat(n_name, ' | Binary protection analysis | Generated') FROM nation""")
+ UNION ALL SELECT p_partkey, 5, {_DETAILS} FROM r UNION ALL SELECT p_partkey, 6, {_TABLE} FROM h UNION ALL SELECT p_partkey, 7, {_REVIEW} FROM ({REVIEWS}) UNION ALL SELECT p_partkey, 8, {_PATCH} FROM ({PATCHES})),
+report AS (SELECT target_id, section, CAST(unnest(range(0, len(x))) AS BIGINT) AS line_no, unnest(x) AS line FROM o
+UNION ALL SELECT 1, 9, rnk, concat('### Crash Group ', rnk, ': ', frame, ' (', cnt, ' crashes, ', file, ')') FROM rg
+UNION ALL SELECT 1, 10, row_number() OVER (ORDER BY n_name), concat(n_name, ' | Binary protection analysis | Generated') FROM nation)"""
+
+
+@query(f"{REPORT_SQL} SELECT target_id, section, line_no, line FROM report")
 def report_lines(t: Tables) -> DataFrame:
     """The report of every part; crash groups and files belong to the first."""
     first = F.lit(1).cast("long").alias("target_id")
@@ -562,7 +585,16 @@ def report_lines(t: Tables) -> DataFrame:
     found = t.sql(RECORDS).withColumnRenamed("p_partkey", "target_id")
     scores = hardening.score(t.sql(FLAGS)).withColumnRenamed("p_partkey", "target_id")
     made = t.nation.select(first, F.col("n_name").alias("file"), F.lit("Binary protection analysis").alias("description"), F.lit("Generated").alias("status"))
-    return report.report(triage.summary(crashes).select(first, "*"), triage.ranked(triage.groups(crashes)).select(first, "*"), scores, found, made)
+    reviews, patches = (t.sql(q).withColumnRenamed("p_partkey", "target_id") for q in (REVIEWS, PATCHES))
+    return report.report(triage.summary(crashes).select(first, "*"), triage.ranked(triage.groups(crashes)).select(first, "*"), scores, found, made, reviews, patches)
+
+
+@query(f"""{REPORT_SQL}, x AS (SELECT target_id, section, line_no, string_split(line, chr(10)) AS ls FROM report),
+y AS (SELECT target_id, section, line_no, unnest(range(0, len(ls))) AS k, unnest(ls) AS line FROM x)
+SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY section, line_no, k) AS n, line FROM y""")
+def report_files(t: Tables) -> DataFrame:
+    """The report written by many tasks, and read back by its index, line by line."""
+    return files.read_report(files.write_report(report_lines(t), shared.scratch(t.spark, "report")))
 
 
 @query("SELECT p_partkey AS target_id, CASE WHEN p_size > 10 THEN concat('{\"total_crashes\":', p_size, ',\"severity\":\"', p_brand, '\"}') ELSE concat('{\"total_crashes\":', p_size, '}') END AS json FROM part")
@@ -574,3 +606,141 @@ def metrics_json(t: Tables) -> DataFrame:
 def titles_and_extensions(t: Tables) -> DataFrame:
     kind = F.replace("p_type", F.lit(" "), F.lit("_"))
     return t.part.select("p_partkey", tx.title(kind).alias("title"), tx.with_extension(F.concat("p_brand", F.lit(".json")), ".json", ".md").alias("report"))
+
+
+_MEMBER = "concat('        {', chr(10), '          \"file\": \"', file, '\",', chr(10), '          \"path\": \"/crashes/', file, '\",', chr(10), '          \"size\": ', size, chr(10), '        }')"
+
+
+@query(f"""WITH {FRAMES_SQL}, n AS (SELECT *, CAST(split_part(file, ':', 2) AS BIGINT) % 20 AS target_id FROM f),
+m AS (SELECT target_id, frame, count(*) AS cnt, string_agg({_MEMBER}, concat(',', chr(10)) ORDER BY size, file) AS members FROM n GROUP BY ALL),
+d AS (SELECT target_id, CAST(sum(cnt) AS BIGINT) AS total, count(*) AS frames, string_agg(concat('    "', frame, '": {{', chr(10), '      "count": ', cnt, ',', chr(10), '      "crashes": [', chr(10), members, chr(10), '      ]', chr(10), '    }}'), concat(',', chr(10)) ORDER BY cnt DESC, frame) AS groups FROM m GROUP BY target_id)
+SELECT concat(target_id, '.json') AS file, concat('{{', chr(10), '  "total_crashes": ', total, ',', chr(10), '  "unique_crash_frames": ', frames, ',', chr(10), '  "groups": {{', chr(10), groups, chr(10), '  }}', chr(10), '}}') AS document FROM d""")
+def triage_documents(t: Tables) -> DataFrame:
+    """The indented triage document of each of twenty targets, written and read back as text."""
+    crashes = t.sql(CRASHES).select(F.substring_index("file", ":", -1).cast("long").alias("id"), "*")
+    rows = triage.document_rows(crashes.select((F.col("id") % 20).alias("target_id"), "file", F.concat(F.lit("/crashes/"), "file").alias("path"), "size", "stdout"))
+    path = shared.scratch(t.spark, "documents")
+    documents.write_documents(rows, path, "rnk", "part", "size", "file")
+    return corpus.corpus(t.spark, path).select("file", F.decode("content", "UTF-8").alias("document"))
+
+
+def split_files(t: Tables) -> tuple[str, DataFrame]:
+    """The documents' texts as files of their own, and their listing."""
+    root = shared.scratch(t.spark, "texts")
+    corpus.write_files(t.documents.select(F.concat(F.lit("_"), F.col("doc_id").cast("string")).alias("name"), F.encode("text", "UTF-8").alias("content")), root)
+    return root, corpus.listing(t.spark, [root])
+
+
+_BYTES = "list_transform(range(0, octet_length(b)), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INT))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, encode(text) AS b, hex(encode(text)) AS h FROM documents), s AS (SELECT *, CAST(octet_length(b) AS BIGINT) AS size, CAST(len(list_filter({_BYTES}, lambda x: x < 32 OR x > 126)) AS BIGINT) AS np FROM d)
+SELECT concat('_', doc_id) AS file, size, np AS nonprintable, CASE WHEN size > 0 THEN CAST(np * 1000 // size AS DOUBLE) / 10.0::DOUBLE END AS pct, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS newlines,
+  NOT contains(text, chr(0)) AS textual, lower(substr(h, 1, 320)) AS dump, contains(text, 'tion') AS has_word, contains(h, '74696F6E') AS hex_word, contains(text, ' the ') AS has_the, contains(h, '2074686520') AS hex_the FROM s""")
+def file_profiles(t: Tables) -> DataFrame:
+    """Files in ranges of 777 bytes, which cut characters and patterns."""
+    _, found = split_files(t)
+    out = byteranges.profile(found, {"word": b"tion", "the": b" the "}, width=777)
+    return out.withColumn("path", tx.basename(F.col("path"))).withColumnRenamed("path", "file")
+
+
+@query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE octet_length(encode(text)) >= 4),
+k AS (SELECT doc_id, unnest([substr(h, CAST(i * 8 + 1 AS BIGINT), 8) for i in range(0, length(h) // 8)]) AS chunk FROM h),
+n AS (SELECT doc_id, chunk, count(*) AS n FROM k GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, chunk DESC) AS rnk FROM n)
+SELECT concat('_', doc_id) AS file, rnk, lower(chunk) AS chunk, n FROM r WHERE rnk <= 3 AND n > 1""")
+def file_chunks_top3(t: Tables) -> DataFrame:
+    """Files in ranges of 4 kB that send 64 chunks each."""
+    _, found = split_files(t)
+    return byteranges.top_chunks(found, share=4096, kept=64).withColumn("path", tx.basename(F.col("path"))).withColumnRenamed("path", "file")
+
+
+@query(f"WITH {FRAMES_SQL} SELECT frame, cnt, file, size FROM r")
+def streamed_groups(t: Tables) -> DataFrame:
+    """Groups with their smallest members, as they are after four micro-batches of a file stream."""
+    root = shared.scratch(t.spark, "stream")
+    t.sql(CRASHES).repartition(8).write.parquet(f"{root}/in")
+    arriving = t.spark.readStream.schema("file string, size long, stdout string").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    incremental.start(incremental.running_groups(arriving), f"{root}/checkpoint", f"{root}/out", "update").awaitTermination()
+    return incremental.current(t.spark, f"{root}/out", "update")
+
+
+# Answers with fields of the model's own; some aren't valid.
+OWN_FIELDS = """SELECT event_id AS id, concat('Found: {"severity": "High", "', event_type, '": ', CAST(user_id AS STRING), ', "notes": {"deep": {"k": [', CAST(event_id AS STRING), ', null]}, "type": "', event_type, '"}, "tags": ["a", "', event_type, '"], "sure": ', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END, CASE WHEN event_id % 9 = 4 THEN '' ELSE '}' END, ' done') AS response FROM events"""
+_OWN_SQL = OWN_FIELDS.replace("AS STRING", "AS VARCHAR")
+
+
+@query(rf"""WITH a AS ({_OWN_SQL}), b AS (SELECT id, regexp_extract(response, '(?s)(\{{.*\}})', 1) AS j FROM a), v AS (SELECT id, j FROM b WHERE json_valid(j)), k AS (SELECT id, j, unnest(json_keys(j)) AS name FROM v)
+SELECT id, name, CASE json_type(x) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, replace(CAST(x AS VARCHAR), ' ', '') AS value
+FROM (SELECT id, name, json_extract(j, '$."' || name || '"') AS x FROM k WHERE name <> 'severity')""")
+def answers_own_fields(t: Tables) -> DataFrame:
+    """Fields that the schema doesn't have, with their nested values."""
+    return records.other_fields(records.extract(t.sql(OWN_FIELDS)))
+
+
+@query(rf"""WITH a AS ({_OWN_SQL}), b AS (SELECT id, regexp_extract(response, '(?s)(\{{.*\}})', 1) AS j FROM a)
+SELECT id, CASE WHEN json_valid(j) THEN coalesce(json_extract_string(j, '$.notes.type'), 'none') ELSE 'none' END AS note, CASE WHEN json_valid(j) THEN coalesce(TRY_CAST(json_extract(j, '$.notes.deep.k[0]') AS BIGINT), -1) ELSE -1 END AS k, CASE WHEN json_valid(j) THEN coalesce(TRY_CAST(json_extract(j, '$.click') AS BIGINT), 0) ELSE 0 END AS clicks FROM b""")
+def answers_typed_fields(t: Tables) -> DataFrame:
+    """Typed values at paths of answers, with defaults."""
+    j = F.col("json")
+    found = records.extract(t.sql(OWN_FIELDS))
+    return found.select("id", records.field(j, "$.notes.type", "string", "none").alias("note"), records.field(j, "$.notes.deep.k[0]", "long", -1).alias("k"), records.field(j, "$.click", "long", 0).alias("clicks"))
+
+
+@query("""SELECT d.doc_id, CASE WHEN length(d.text) % 10 = 3 THEN NULL ELSE concat('{"n": ', length(d.text), '}') END AS response, length(d.text) % 10 = 3 AS failed FROM documents d""")
+def answers_from_cache(t: Tables) -> DataFrame:
+    """A caller's function asked once per text; where it raises, the rows have errors, and later calls ask again for those alone."""
+
+    def answer(texts: list[str]) -> list[str]:
+        if any(len(x) % 10 == 3 for x in texts):
+            raise ValueError("a length that it can't do")
+        return [f'{{"n": {len(x)}}}' for x in texts]
+
+    def never(texts: list[str]) -> list[str]:
+        raise RuntimeError("asked again")
+
+    cache = shared.scratch(t.spark, "answers")
+    records.classify(t.documents, answer, "doc_id", "text", batch=1, cache=cache)
+    again = records.classify(t.documents, never, "doc_id", "text", batch=1, cache=cache)
+    return again.select("doc_id", "response", F.coalesce(F.col("error").contains("asked again"), F.lit(False)).alias("failed"))
+
+
+def elf_file(wide: bool) -> str:
+    """SQL for the hex text of an ELF file of a part: 64-bit with the low byte first, or 32-bit with the high byte first."""
+
+    def word(value: int, size: int) -> str:
+        return value.to_bytes(size, "little" if wide else "big").hex()
+
+    n = 8 if wide else 4
+
+    def program(kind: int, flags: int, offset: int = 0, held: int = 0) -> str:
+        places = [word(offset, n), word(0, n), word(0, n), word(held, n), word(held, n)]
+        return "".join([word(kind, 4), word(flags, 4), *places, word(8, n)] if wide else [word(kind, 4), *places, word(flags, 4), word(8, n)])
+
+    head, each = (64, 56) if wide else (52, 32)
+    begin = "7f454c46" + ("0201" if wide else "0102") + "01" + "00" * 9
+    machine = word(62, 2) if wide else word(3, 2)
+    rest = "".join([machine, word(1, 4), word(0, n), word(head, n), word(0, n), word(0, 4), word(head, 2), word(each, 2), word(3, 2), word(0, 2), word(0, 2), word(0, 2)])
+    stack = f"CASE WHEN p_partkey % 5 < 4 THEN CASE WHEN p_size % 4 = 0 THEN '{program(elf.STACK, 7)}' ELSE '{program(elf.STACK, 6)}' END ELSE '{program(4, 4)}' END"
+    relro = f"CASE WHEN p_partkey % 4 < 2 THEN '{program(elf.RELRO, 4)}' ELSE '{program(1, 5)}' END"
+    now = f"CASE WHEN p_size % 3 = 1 THEN CASE WHEN p_partkey % 2 = 0 THEN '{word(elf.BIND_NOW, n) + word(0, n)}' ELSE '{word(elf.FLAGS, n) + word(elf.NOW_FLAG, n)}' END ELSE '{word(21, n) + word(0, n)}' END"
+    dynamic = program(elf.DYNAMIC, 6, head + 3 * each, 4 * n)
+    return f"concat('{begin}', CASE WHEN p_size % 2 = 0 THEN '{word(3, 2)}' ELSE '{word(2, 2)}' END, '{rest}', {stack}, {relro}, '{dynamic}', {now}, '{word(0, n) * 2}')"
+
+
+@query(f"WITH {FACTS_SQL} SELECT binary_id, nx, pie, relro, CAST(CASE WHEN p_brand < 'Brand#3' THEN 64 ELSE 32 END AS INT) AS bits FROM facts JOIN part ON p_partkey = binary_id")
+def elf_facts(t: Tables) -> DataFrame:
+    """Facts of a file's bytes for each part; the SQL has them from the tools' texts."""
+    content = F.unhex(F.expr(f"CASE WHEN p_brand < 'Brand#3' THEN {elf_file(True)} ELSE {elf_file(False)} END"))
+    found = elf.facts(t.part.select(F.col("p_partkey").alias("binary_id"), content.alias("content")))
+    return found.select("binary_id", "nx", "pie", elf.relro(F.col("gnu_relro"), F.col("bind_now")).alias("relro"), "bits")
+
+
+@query("SELECT concat('_', item_id) AS file, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM benchmark WHERE item_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def copied_artifacts(t: Tables) -> DataFrame:
+    """Benchmark items as files; those that good documents' numbers name are copied to another folder."""
+    root = shared.scratch(t.spark, "artifacts")
+    corpus.write_files(t.benchmark.select(F.concat(F.lit("_"), F.col("item_id").cast("string")).alias("name"), F.encode("text", "UTF-8").alias("content")), f"{root}/in")
+    wanted = t.labels.where("quality = 1").select(F.concat(F.lit("_"), F.col("doc_id").cast("string")).alias("file"))
+    corpus.copy_existing(wanted, corpus.listing(t.spark, [f"{root}/in"]), f"{root}/out")
+    return corpus.listing(t.spark, [f"{root}/out"], missing_ok=True).select("file", "size")

@@ -1,64 +1,14 @@
-"""Corpora of files, documents and texts as DataFrames, and their writers."""
+"""Documents and texts as DataFrames, and their writers."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from fnmatch import fnmatchcase
-
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultlens.functions.semistructured import is_json
-from faultlens.functions.text import basename
-
-SKIPPED = "README.txt"
-
-
-def corpus(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None, content: bool = True, empty: bool = False) -> DataFrame:
-    """path, file, size, modified and content of the files of a directory, without README.txt.
-
-    With content=False the bytes are pruned from the scan.  Names that start with _ or .
-    are hidden from Spark's readers and so from this table.  Spark also leaves out empty
-    files; empty=True adds them from a listing by the driver, for corpora that it can list.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    # a checksum file's name can't have a colon, local corpora do: this read alone goes without them
-    reader = reader.option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    rows = reader.load(path).withColumn("file", basename(F.col("path"))).where(F.col("file") != SKIPPED)
-    if not recursive:
-        rows = rows.where(F.substring_index("path", "/", -2) == F.concat(F.lit(path.rstrip("/").rsplit("/", 1)[-1] + "/"), F.col("file")))
-    rows = rows.select("path", "file", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
-    if not empty or not (found := empty_files(spark, path, recursive, glob)):
-        return rows
-    more = spark.createDataFrame(found, "path string, file string, size long, millis long")
-    bytes_ = [F.lit(b"").alias("content")] if content else []
-    return rows.unionByName(more.select("path", "file", "size", F.timestamp_millis("millis").alias("modified"), *bytes_))
-
-
-def filesystem(spark: SparkSession, path: str):
-    """Hadoop's file system of a path, and the path."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def empty_files(spark: SparkSession, path: str, recursive: bool, glob: str | None) -> list[tuple]:
-    """(path, name, 0, modified) of files without a byte."""
-    fs, first = filesystem(spark, path)
-    folders, out = [first], []
-    while folders:
-        for f in fs.listStatus(folders.pop()):
-            name = f.getPath().getName()
-            if f.isDirectory():
-                folders += [f.getPath()] if recursive else []
-            elif f.getLen() == 0 and name != SKIPPED and name[0] not in "_." and (glob is None or fnmatchcase(name, glob)):
-                out.append((f.getPath().toString(), name, 0, f.getModificationTime()))
-    return out
+from faultlens.sources import corpus, shared
 
 
 def latest(files: DataFrame) -> DataFrame:
@@ -66,19 +16,9 @@ def latest(files: DataFrame) -> DataFrame:
     return files.orderBy(F.desc("path")).limit(1)
 
 
-def first_directory(spark: SparkSession, paths: list[str], glob: str = "id*", empty: bool = False) -> DataFrame:
-    """The last file by name of the first directory that has one."""
-    found = None
-    for k, path in enumerate(paths):
-        try:
-            part = corpus(spark, path, glob=glob, content=False, empty=empty).withColumn("priority", F.lit(k))
-        except Exception as e:  # a directory that isn't there yields nothing
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            continue
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "path string, file string, size long, modified timestamp, priority int")
+def first_directory(spark: SparkSession, paths: list[str], glob: str = "id*") -> DataFrame:
+    """The last file by name of the first directory that has one; a directory that isn't there has none."""
+    found = corpus.listing(spark, paths, glob=glob, missing_ok=True).withColumnRenamed("root", "priority")
     return found.orderBy("priority", F.desc("path")).limit(1)
 
 
@@ -115,15 +55,67 @@ def write_lines(lines: DataFrame, path: str) -> None:
         lines.repartitionByRange(1, *order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path where driver and executors share files: spark.checkpoint.dir; in local mode without one, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="faultlens-files-")
-        atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+REPORT_INDEX = "target_id {}, part int, file string, at long, size long, lines long"
+
+
+def write_part(root: str):
+    """Writes a sorted partition's lines as one file, and says where each target's lines are in it."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, out, rows, at = TaskContext.get().partitionId(), None, [], 0
+        store, folder = corpus.store_of(root)
+        name = f"part-{part:06}.md"
+        unfinished = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for target, line in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if out is None:
+                    store.create_dir(folder, recursive=True)
+                    out = store.open_output_stream(unfinished)
+                data = (line or "").encode() + b"\n"
+                out.write(data)
+                if not rows or rows[-1][0] != target:
+                    rows.append([target, part, f"{root}/{name}", at, 0, 0])
+                rows[-1][4] += len(data)
+                rows[-1][5] += data.count(b"\n")
+                at += len(data)
+        if out is not None:
+            out.close()
+            store.move(unfinished, f"{folder}/{name}")
+            kinds = (kind, pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["target_id", "part", "file", "at", "size", "lines"])
+
+    return run
+
+
+def write_report(lines: DataFrame, path: str) -> DataFrame:
+    """Writes the lines of all targets in order, by many tasks, and returns where each target's are.
+
+    Lines are dealt by ranges of (target, section, line number), so a target with most lines
+    is several tasks'.  The files by name, one behind the other, are the whole report.  The index has a
+    row per target and file: target_id, part, file, at, size, lines, before: the target's lines in earlier files.
+    """
+    order = ["target_id", "section", "line_no"]
+    kind = lines.schema["target_id"].dataType.simpleString()
+    ranged = lines.select(*order, "line").repartitionByRange(*order).sortWithinPartitions(*order)
+    index = shared.written(ranged.mapInArrow(write_part(path.rstrip("/")), REPORT_INDEX.format(kind)), "index")
+    earlier = Window.partitionBy("target_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return index.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+
+
+def read_report(index: DataFrame) -> DataFrame:
+    """target_id, n and line: each target's lines from 1 on, read by the index from the bytes of its files."""
+    kind = index.schema["target_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                lines = corpus.range_of(r["file"], r["at"], r["at"] + r["size"]).decode().split("\n")[:-1]
+                yield pa.RecordBatch.from_pydict({"target_id": pa.array([r["target_id"]] * len(lines), batch.schema.field("target_id").type), "n": pa.array(range(r["before"] + 1, r["before"] + 1 + len(lines)), pa.int64()), "line": pa.array(lines, pa.string())})
+
+    return index.mapInArrow(run, f"target_id {kind}, n long, line string")
 
 
 def setting(spark: SparkSession, name: str, default: str) -> str:

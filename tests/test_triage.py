@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.signature import signature, stable_signature
 from faultlens.operators import byteprofile, ranking, triage
+from faultlens.sources import shared
 
 CASES = {
     "Program TIMEOUT #0  0x1 in f () ": "TIMEOUT",
@@ -81,22 +82,33 @@ def test_byte_matches_are_true_and_hex_matches_are_not(spark):
 
 
 @pytest.mark.parametrize("kind", ["one frame", "singletons", "nulls"])
-def test_places_of_hot_groups(spark, kind):
-    """Nine rows in ten in one frame, or frames of one crash each: places as by plain sorting, and no piece holds much more than its share."""
+def test_places_of_hot_groups(spark, kind, monkeypatch):
+    """Nine rows in ten in one frame, or frames of one crash each: places as by plain sorting, and no partition holds much more than its share."""
     rows = [(f"f{k:05}", None if kind == "nulls" and k % 7 == 0 else k * 7919 % 101, "hot" if kind == "one frame" and k % 10 else f"g{k}") for k in range(4000)]
     df = spark.createDataFrame(rows, "file string, size long, g string")
-    got = {(r["g"], r["file"]): r["place"] for r in ranking.placed(df, "g", ["size", "file"], pieces=16).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    tables, real = [], shared.written
+    monkeypatch.setattr(ranking.shared, "written", lambda d, name: tables.append(real(d, name)) or tables[-1])
+    try:
+        got = {(r["g"], r["file"]): r["place"] for r in ranking.placed(df, ["g"], [F.col("size"), F.col("file")]).collect()}
+        counted = df.groupBy(F.col("g").alias("frame")).agg(F.count("*").alias("cnt"))
+        ranks = sorted((r["rnk"], r["cnt"], r["frame"]) for r in triage.ranked(counted).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     want, seen = {}, {}
     for file, _, g in sorted(rows, key=lambda r: (r[1] is not None, r[1], r[0])):
         seen[g] = want[g, file] = seen.get(g, 0) + 1
     assert got == want
-    piece = F.size(F.filter(ranking.cuts(df, ["size", "file"], 16), lambda c: c <= F.struct("size", "file")))
-    per = [r["count"] for r in df.groupBy(piece.alias("p")).count().collect()]
+    per = [r["count"] for r in tables[0].groupBy("__part").count().collect()]
     assert len(per) >= 12 and max(per) < 3 * 4000 / 16
-    counted = df.groupBy(F.col("g").alias("frame")).agg(F.count("*").alias("cnt"))
-    ranks = sorted((r["rnk"], r["cnt"], r["frame"]) for r in triage.ranked(counted).collect())
     assert [r[0] for r in ranks] == list(range(1, len(ranks) + 1)) and ranks == sorted(ranks, key=lambda r: (-r[1], r[2]))
 
 
-def test_places_of_nothing(spark):
-    assert ranking.placed(spark.createDataFrame([], "g string, x long"), "g", ["x"]).collect() == []
+def test_places_of_nothing_and_of_null_groups(spark):
+    assert ranking.placed(spark.createDataFrame([], "g string, x long"), ["g"], [F.col("x")]).collect() == []
+    rows = [(None, 3), (None, 1), ("a", 2), ("", 5), ("", 4)]
+    got = ranking.placed(spark.createDataFrame(rows, "g string, x long"), ["g"], [F.col("x")]).collect()
+    assert sorted((r["g"] or "-", r["x"], r["place"]) for r in got if r["g"] != "") == [("-", 1, 1), ("-", 3, 2), ("a", 2, 1)]
+    assert sorted((r["x"], r["place"]) for r in got if r["g"] == "") == [(4, 1), (5, 2)]
