@@ -54,12 +54,13 @@ def encoder(path: str):
         byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(other)}
         ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token != SPECIAL}
         fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        memo["bpe", path] = (Tokenizer.from_file(path), fast)
-    tokenizer, fast = memo["bpe", path]
+        memo["bpe", path] = fast
+    fast = memo["bpe", path]
     blank = re.compile(r"(?<!\s)\s{%d}" % BLANKS)
 
     def encode(text: str) -> bytes:
         if SPECIAL in text or (len(text) > BLANKS and blank.search(text)):
+            tokenizer = memo.get(("tokenizer", path)) or memo.setdefault(("tokenizer", path), Tokenizer.from_file(path))
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
@@ -88,6 +89,7 @@ def cut(path: str, limit: int):
                     seen[size] += 1
                     at, piece, size = at + size, piece + 1, limit
                 yield from out.ready()
+            ta.give_back()
         yield out.flush()
 
     return run

@@ -144,6 +144,22 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, at most once a second: a worker lives on between stages."""
+    import ctypes
+    import time
+
+    memo = process_memo()
+    if time.monotonic() < memo.get("given", 0.0) + 1:
+        return
+    memo["given"] = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(column: pa.Array, limit: int = CHUNK):
     """Chunks of a string column, in order."""
     data, off = text_buffers(column)
@@ -152,6 +168,7 @@ def chunks(column: pa.Array, limit: int = CHUNK):
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
         yield Chunk(data[off[i] : off[j]], off[i : j + 1] - off[i], i)
         i = j
+    give_back()
 
 
 def rows_of(counts_from: np.ndarray) -> np.ndarray:
