@@ -16,6 +16,7 @@ MODULES = {
     "op8_best_fit_packing": "packing",
     "op9_media_columns": "media",
     "op10_jaccard_join": "jaccard_join",
+    "op11_lm_scores": "lm_scoring",
     "op12_filter_audit": "filter_audit",
     "op13_spelling_variants": "spelling",
 }
