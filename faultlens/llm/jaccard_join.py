@@ -533,7 +533,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns doc_id, n_shingles and component_id, the smallest doc_id reachable by links,
     for every row.  A text without words (or null) has no shingles and no links; a text of
     fewer than n words is one shingle.  Rows without an id link like others, and lend no
-    id to their component.  Other columns are not read; columns in carry come along.
+    id to their component.  A very long text is one task's chunk: its shingles are hashed
+    and sorted there whole.  Other columns are not read; columns in carry come along.
     """
     profiles, links = jaccard_classes(docs, id_col, text_col, n, num, den, carry)
     label = components(links)

@@ -185,10 +185,18 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(True))
 
 
+#: Languages that are learned: the most frequent ones.  Each pair in a family, and each pair of families, has an SVM.
+MOST = 64
+
+
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bound: int) -> Model:
-    """Learns from about `bound` labelled rows at most, drawn by a hash of the id over all of them."""
+    """Learns from about `bound` labelled rows at most, drawn by a hash of the id over all of them.
+
+    Of a column with more than MOST values, as a dirty one has, the most frequent are learned
+    (of equally frequent ones the first by code); rows of others teach nothing.
+    """
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("l")).count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST).collect()}
     if not counts:
         return Model([], np.zeros((1, SIZE), np.float32), np.array([], object))
     each = max(1, bound // len(counts))
@@ -232,7 +240,9 @@ def known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs whose text is in the language that it is said to be in, with docs' columns; a null language is filled in.
 
     A row goes if its text has no letter, if the predicted language has a score under `low`,
-    or if it has one of `contrary` or more and is not the row's own language.
+    or if it has one of `contrary` or more and is not the row's own language.  A language that
+    isn't learned is contrary to any.  Null text has no letter; rows without an id and
+    repeated rows are judged like others; a very long text is judged whole, by one task.
     """
     model = learn(docs, id_col, text_col, lang_col, bound)
     pred, score = store.unused(docs, "lang_pred"), store.unused(docs, "score")

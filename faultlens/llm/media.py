@@ -177,7 +177,11 @@ def headers(folder: str):
 
 
 def media_metadata(index: DataFrame, folder: str) -> DataFrame:
-    """index with width, height, bits and colour, from header-only range reads."""
+    """index with width, height, bits and colour, from header-only range reads.
+
+    Whatever the length of a payload, its first bytes alone are read.  Rows without an id and
+    repeated rows have their own columns; an empty index gives none.
+    """
     plain = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
     return index.mapInArrow(headers(folder), f"{plain}, width long, height long, bits long, colour long")
 
@@ -204,7 +208,11 @@ def bodies(folder: str):
 
 
 def media_features(rows: DataFrame, folder: str) -> DataFrame:
-    """Reads whole images back: sizes, digests, checksum and feature of each row."""
+    """Reads whole images back: sizes, digests, checksum and feature of each row.
+
+    Null and empty texts are payloads of blanks.  A task holds one payload at a time, so a
+    very long text costs its task that text's memory.  An empty table gives no row.
+    """
     return rows.mapInArrow(bodies(folder), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

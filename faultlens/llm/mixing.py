@@ -79,6 +79,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text has size 0; a null source is a source of its own, the last one; a source of
     size 0 has target 0.  Rows of one id share their draws.  The same rows give the same mix.
+    A very long text only has its words counted.
     """
     rows = sized(docs, id_col, text_col, source_col)
     mixed = rows.join(plan(rows, **how), F.col("source").eqNullSafe(F.col("of")))

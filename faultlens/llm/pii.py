@@ -4,7 +4,7 @@ The patterns give the base spans.  Words with a digit or an @ are the field's no
 features of their shape; the words beside and between them are outside by definition.
 Potentials join words that stand next to each other and, however far apart, each
 occurrence of a word with the first one of the same word or of a similar one (the same
-digits, the same part before an @), the first observed one where there is any.  Words of
+last seven or ten digits), the first observed one where there is any.  Words of
 base spans are observed; loopy sum-product messages carry them through the document, so
 that "555-2678" is a phone number where "+1 (736) 555-2678" stands elsewhere.  Runs of words
 that are surely of one kind and touch no base span are added.  Documents without a base
@@ -169,11 +169,6 @@ class Field:
         if len(digits) >= 7:
             out.add("d" + digits[-10:])
             out.add("e" + digits[-7:])
-        if "@" in low:
-            out.add("w" + low.partition("@")[0])
-            out.add("a" + low.partition("@")[0])
-        elif len(low) > 4:
-            out.add("a" + low)
         return out
 
 
@@ -306,10 +301,13 @@ def fit(rows: np.ndarray, n: np.ndarray, steps: int = 150, penalty: float = 0.5)
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, bound: int) -> Model:
-    """Learns from pattern labels of about `bound` documents drawn by a hash of the id."""
+    """Learns from pattern labels of about `bound` documents drawn by a hash of id and text, so rows without an id are drawn like others.
+
+    The driver gets the distinct (features, label, neighbours) of those documents' nodes.
+    """
     n = docs.count()
     share = min(1.0, bound / n) if n else 1.0
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("pii")), F.lit(1 << 30)) / float(1 << 30) <= share
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("pii")), F.lit(1 << 30)) / float(1 << 30) <= share
     rows = docs.where(draw).select(F.col(text_col).cast("string")).mapInArrow(train_rows, "what binary, n long").groupBy("what").agg(F.sum("n")).collect()
     rows.sort()
     return fit(np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.int32).reshape(-1, WIDTH + 1 + 2 * len(LABELS)), np.array([r[1] for r in rows], float))

@@ -120,7 +120,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A line is removed when more than min_docs documents of its host and more than
     max_share of them hold it; a document is rejected when less than min_kept of its
     words is left.  Null text: no words, fails the base rules.  A null host is a host of
-    its own.  Rows without an id and repeated rows are judged like others.
+    its own.  Rows without an id and repeated rows are judged like others.  A very long text
+    is one task's chunk, and its lines are one row.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, and n_line_words, the words of removed lines.

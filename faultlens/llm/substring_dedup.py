@@ -265,6 +265,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_words, n_removed and kept_text (kept words joined by one space) for
     every row.  Null text: no words.  A row without an id neither removes nor loses words.
     Rows of one id do not remove each other's words.  Texts shorter than a window stay.
+    A very long text is a chunk of its own, which one task holds.
     Other columns are not read.
     """
     table = ct.chunk_table(docs, id_col, text_col)

@@ -60,7 +60,30 @@ class Counter(dict):
         return value
 
     def best(self, text: str) -> complex:
-        """Only as many places as the longest piece has characters are kept, whatever the stretch."""
+        """The best segmentation's score and pieces; long stretches go through a ring."""
+        if len(text) > LONG:
+            return self.best_of_long(text)
+        ending: list[list[tuple[int, float]]] = [[] for _ in text]
+        for end, match in self.automaton.iter(text):
+            ending[end].append(match)
+        score, pieces = [0.0], [0]
+        for end, matches in enumerate(ending):
+            top, count, single = None, 0, False
+            for length, value in matches:
+                start = end + 1 - length
+                reached = score[start] + value
+                if top is None or reached > top:
+                    top, count = reached, pieces[start] + 1
+                if length == 1:
+                    single = True
+            if not single and (top is None or score[end] + self.unknown > top):
+                top, count = score[end] + self.unknown, pieces[end] + len(text[end].encode())
+            score.append(top)
+            pieces.append(count)
+        return complex(score[-1], pieces[-1])
+
+    def best_of_long(self, text: str) -> complex:
+        """As best(); only as many places as the longest piece has characters are kept, whatever the stretch."""
         size = self.longest + 1
         score, pieces = [0.0] * size, [0] * size
         done = 0

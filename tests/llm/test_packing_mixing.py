@@ -226,3 +226,17 @@ def test_long_stretches_are_counted_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == len(t.encode(text).ids) and peak < 20e6
+
+
+def test_token_counts_of_nothing(spark):
+    assert token_counts.token_counts(spark.createDataFrame([], SCHEMA)).collect() == []
+    got = token_counts.token_counts(spark.createDataFrame([(1, None, None, None, None), (None, "", None, None, None)], SCHEMA)).collect()
+    assert [(r["n_tokens"], r["score"]) for r in got] == [(0, 0.0)] * 2
+
+
+def test_short_and_long_stretches_have_the_same_counts():
+    c = token_counts.Counter(token_counts.load_vocabulary(token_counts.default_vocabulary()))
+    r = random.Random(9)
+    for _ in range(500):
+        stretch = "▁" + "".join(r.choice("etaoinsrh.,𝔘é日\n") for _ in range(r.randint(0, token_counts.LONG - 1)))
+        assert c.best(stretch) == c.best_of_long(stretch)
