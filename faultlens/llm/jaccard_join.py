@@ -18,7 +18,9 @@ linked as stars (those of up to ALL classes pair by pair); they, and groups wher
 speaks for others of its chunk, also tie their classes together.  When the links are
 known, classes that ties put in one cluster and that ended outside the largest component of
 it and their size band are compared with the rest of it, a pair of blocks a task: the
-histograms rule most pairs out, the rest are counted exactly.  So no pair is lost.
+histograms rule most pairs out, the rest are counted exactly.  Blocks with many pairs left
+count a small share of them first, by a hash of the pair, then larger ones: links found so
+far spare all other pairs of the components that they join.  So no pair is lost.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from .components import components
 U = np.uint64
 ALL = 8
 BLOCK = 240_000
+#: Pairs that a block gives at once, and the shares of its pairs that a block with more of them has given after each round.
+FEW, SHARES = 2_000, (1 / 512, 1 / 64, 1 / 8, 1.0)
 FOUND = "pair boolean, local boolean, a binary, na int, b binary, nb int"
 FOUND_ARROW = pa.schema([("pair", pa.bool_()), ("local", pa.bool_()), ("a", pa.binary()), ("na", pa.int32()), ("b", pa.binary()), ("nb", pa.int32())])
 
@@ -416,14 +420,18 @@ def bounds_apart(folded: np.ndarray, clipped: np.ndarray, x: np.ndarray, y: np.n
     return total
 
 
-def compare_blocks(num: int, den: int):
-    """Pairs of a block's classes and a block of guests, in different components, that sketches don't rule out."""
+def compare_blocks(num: int, den: int, low: float, high: float):
+    """Pairs of a block's classes and a block of guests, in different components, that sketches don't rule out.
+
+    Pairs are of a hash from low on; if there are more than FEW, up to high, and a row without
+    a pair says that there may be others.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         size = table.column("size").to_numpy()
         guest, upper, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("guest", "upper", "main"))
         x, y = np.flatnonzero(guest), np.flatnonzero(~guest)
-        found = np.zeros((2, 0), np.int64)
+        found, more = np.zeros((2, 0), np.int64), False
         names = table.column("class").to_pylist()
         if len(x) and len(y):
             sketches = table.column("sketch").to_pylist()
@@ -440,7 +448,12 @@ def compare_blocks(num: int, den: int):
             apart = bounds_apart(folded, clipped, x, y, int(size.max())).astype(np.int64)
             at = np.nonzero(fit & (apart * (num + den) <= (size[x][:, None] + size[y]).astype(np.int64) * (den - num)))
             found = np.stack([x[at[0]], y[at[1]]])
-        return pa.table({c: pa.array([names[k] for k in of], pa.binary()) for c, of in zip("ab", found, strict=True)})
+            lane = np.frombuffer(b"".join(n[:8] for n in names), np.uint64)
+            h = ta.mix(lane[found[0]] + lane[found[1]]).astype(np.float64) / 2.0**64
+            more = high < 1 and found.shape[1] > FEW
+            found = found[:, (h >= low) & ((h < high) | (not more))]
+        rows = [[names[k] for k in of] + [None] * more for of in found]
+        return pa.table({c: pa.array(of, pa.binary()) for c, of in zip("ab", rows, strict=True)})
 
     return run
 
@@ -486,14 +499,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return links
 
     links = linked(near)
-    further = block_pairs(ties, links, kinds, num, den)
-    if not further.isEmpty():
-        links = links.unionAll(linked(further))
-    store.drop(docs.sparkSession, found, near, further)
+    for low, high in zip((0.0, *SHARES), SHARES, strict=False):
+        met = block_pairs(ties, links, kinds, num, den, low, high)
+        further = met.where("a IS NOT NULL")
+        if not further.isEmpty():
+            links = store.materialize(links.unionAll(linked(further)), "links")
+        going = not met.where("a IS NULL").isEmpty()
+        store.drop(docs.sparkSession, met)
+        if not going:
+            break
+    store.drop(docs.sparkSession, found, near)
     return profiles.drop("sketch", "digest"), links
 
 
-def block_pairs(ties: DataFrame, links: DataFrame, kinds: DataFrame, num: int, den: int) -> DataFrame:
+def block_pairs(ties: DataFrame, links: DataFrame, kinds: DataFrame, num: int, den: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Pairs of classes in different components that share a large group's signature, found block by block.
 
     A cluster is a leader with the classes of the groups that it leads and those that they
@@ -523,8 +542,10 @@ def block_pairs(ties: DataFrame, links: DataFrame, kinds: DataFrame, num: int, d
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     home = rows.select("cluster", "band", "upper", "main", "class", "root", "size", "sketch", F.lit(False).alias("guest"), of("blocks", 0).alias("i"), all_("guests").alias("j"))
     away = rows.where("NOT main").select("cluster", "band", "upper", "main", "class", "root", "size", "sketch", F.lit(True).alias("guest"), all_("blocks").alias("i"), of("guests", 1).alias("j"))
-    met = home.unionAll(away).groupBy("cluster", "band", "i", "j").applyInArrow(compare_blocks(num, den), "a binary, b binary")
-    return store.materialize(met.distinct(), "pairs")
+    met = home.unionAll(away).groupBy("cluster", "band", "i", "j").applyInArrow(compare_blocks(num, den, low, high), "a binary, b binary")
+    met = store.materialize(met.distinct(), "pairs")
+    store.drop(ties.sparkSession, placed)
+    return met
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, carry: tuple[Column, ...] = ()) -> DataFrame:

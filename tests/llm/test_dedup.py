@@ -127,6 +127,8 @@ def test_jaccard_join_matches_brute_force(spark):
 def test_jaccard_join_near_the_threshold(spark, n, edits, monkeypatch):
     """Many near copies of one text, large groups, blocks of few sets: no link is lost."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 2000)
+    monkeypatch.setattr(jaccard_join, "FEW", 5)
+    monkeypatch.setattr(jaccard_join, "SHARES", (0.2, 1.0))
     r, base, rows = random.Random(n), passage(n, n).split(), []
     for d in range(60):
         w = list(base)
