@@ -1 +1,11 @@
-"""Crash-triage, hardening and corpus analytics on Spark DataFrames."""
+"""Crash-triage, hardening and corpus analytics on Spark DataFrames.
+
+Functions and data sources travel to the executors by value, so a cluster needs no copy of
+the package on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -744,3 +744,11 @@ def copied_artifacts(t: Tables) -> DataFrame:
     wanted = t.labels.where("quality = 1").select(F.concat(F.lit("_"), F.col("doc_id").cast("string")).alias("file"))
     corpus.copy_existing(wanted, corpus.listing(t.spark, [f"{root}/in"]), f"{root}/out")
     return corpus.listing(t.spark, [f"{root}/out"], missing_ok=True).select("file", "size")
+
+
+@query(rf"""WITH a AS ({_OWN_SQL}), b AS (SELECT id, regexp_extract(response, '(?s)(\{{.*\}})', 1) AS j FROM a), v AS (SELECT id, j FROM b WHERE json_valid(j)), k AS (SELECT id, j, unnest(json_keys(j)) AS name FROM v)
+SELECT name, count(*) AS n, count(DISTINCT json_type(j, '$."' || name || '"')) AS kinds FROM k WHERE name <> 'severity' GROUP BY name""")
+def answers_field_counts(t: Tables) -> DataFrame:
+    """How many answers have each field that the schema doesn't have, and of how many kinds."""
+    found = records.other_fields(records.extract(t.sql(OWN_FIELDS)))
+    return found.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("kind").alias("kinds"))
