@@ -86,8 +86,8 @@ def classes(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(items: np.ndarray) -> bytes:
-    """A set's histogram over its items' high bits, about a bin for eight items, counts up to 255."""
-    bits = max(3, (len(items) >> 3).bit_length())
+    """A set's histogram over its items' high bits, a bin for one or two items, counts up to 255."""
+    bits = max(3, (len(items) >> 1).bit_length())
     return np.minimum(np.bincount((items >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
