@@ -31,13 +31,22 @@ def preview(c: Column, n: int) -> Column:
     return F.concat(F.substring(c, 1, n), F.lit("..."))
 
 
+def round_even(c: Column, digits: int) -> Column:
+    """Rounded in doubles, as SQL's round_even does it: bround goes by the shortest decimal and loses the sign of zero."""
+    c, unit = c.cast("double"), F.lit(float(10**digits))
+    return F.when(F.abs(c * unit) < float("inf"), F.rint(c * unit) / unit).otherwise(c)
+
+
 def percent(c: Column) -> Column:
     """A share as whole percent, halves to even."""
-    return F.bround(c * 100, 0)
+    return round_even(c * 100, 0)
 
 
 def percent_text(c: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f%%", F.bround(c * 100, digits))
+    """A share as percent with some digits, halves to even; null stays null."""
+    x = round_even(c * 100, digits)
+    text = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(x.isNotNull(), F.concat(text, F.lit("%")))
 
 
 def basename(c: Column) -> Column:
@@ -85,7 +94,7 @@ def last_index(c: Column, needle: str) -> Column:
 
 def seconds(c: Column) -> Column:
     """Rounded to hundredths, halves to even."""
-    return F.bround(c, 2)
+    return round_even(c, 2)
 
 
 def with_extension(c: Column, old: str, new: str) -> Column:
