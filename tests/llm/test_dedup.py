@@ -233,3 +233,28 @@ def test_names_are_exact_up_to_fifteen_bytes_and_see_every_byte():
         for i, h in enumerate(ta.windows(a[[0, 1, 0, 1, 1, 0, 0, 1, 0, 1, 0, 1, 1, 0, 0, 1]], k).tolist()):
             got.setdefault(h, set()).add("0101100101011001"[i : i + k])
         assert all(len(v) == 1 for v in got.values()) and len(got) == len({"0101100101011001"[i : i + k] for i in range(17 - k)})
+
+
+def test_a_block_counts_exactly_and_gives_no_more_links_than_it_joins(monkeypatch):
+    """Near copies that are all alike gave a row per pair; now a row per class at most, and none is lost."""
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    r = np.random.default_rng(0)
+    base = np.unique(r.integers(0, 1 << 60, 3000).astype(np.uint64))
+    sets = [np.unique(np.concatenate([r.choice(base[:200], 190, replace=False), r.choice(base, 5)])) for _ in range(90)]
+    x, y = np.arange(30), np.arange(30, 90)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in y] for i in x]
+    assert jaccard_join.shared_counts(sets, x, y).tolist() == want
+    names = [b"%02d" % k for k in range(90)]
+    both = [(k, True) for k in range(90)] + [(k, False) for k in range(90)]
+    table = pa.table({
+        "class": [names[k] for k, _ in both], "root": [names[k] for k, _ in both], "size": [len(sets[k]) for k, _ in both], "items": [sets[k].tobytes() for k, _ in both],
+        "guest": [g for _, g in both], "upper": [False] * 180, "main": [False] * 180,
+    })
+    found = jaccard_join.compare_blocks(80, 100)(table).to_pylist()
+    root = list(range(90))
+    for f in found:
+        a, b = (root[names.index(f[c])] for c in "ab")
+        assert a != b
+        root = [a if k == b else k for k in root]
+    linked = [(i, j) for i in range(90) for j in range(i) if jaccard_join.linked_sets(sets[i], sets[j], 80, 100)]
+    assert len(linked) > 1000 and all(root[i] == root[j] for i, j in linked)
