@@ -4,8 +4,10 @@ A text is its words, A-Z lower-cased, and one end.  It is read once: a chunk of
 the names of its distinct words, their subword ids, and which word stands where.  The names
 meet in buckets, where the counts of the whole training part are summed, and each chunk
 gets those of its words back.  Counts of subword ids over the whole training part give the
-model its vocabulary and what its distributions are smoothed to; its weights are learned on
-the driver from a bounded number of windows, drawn by hash from all of it.  Then every
+model its vocabulary and what its distributions are smoothed to.  Its weights are learned from
+all training windows: from a start that the driver learns from some, drawn by hash, every shard
+of the windows (dealt by hash, in an order of their own) makes one pass, and the shards' weights
+are averaged; the distributions are what all windows give them, summed.  Then every
 chunk is scored: the base by its counts, the model by windows that overlap and score each
 id once.
 """
@@ -30,8 +32,10 @@ U = np.uint64
 #: Ids of the vocabulary; behind them the end of a text and its beginning.
 IDS = 50_256
 END, BEGIN = IDS, IDS + 1
-#: Characters of a word that are encoded at once, bytes of a chunk, and ids that the model is trained on, about.
+#: Characters of a word that are encoded at once, bytes of a chunk, and ids that the model's start is learned from, about.
 PART, CHUNK, TRAINED = 64, 8 << 20, 1_200_000
+#: Ids of a shard of windows, about, and rows of the model that are merged at once.
+SHARD, MERGED = 8 << 20, 256
 #: White space of other kinds, at which the encoder's splits needn't be those of words.
 ODD = re.compile("[\x85\xa0  -     　]")
 FIELDS = (("ids", pa.binary()), ("held", pa.binary()), ("first", pa.binary()), ("number", pa.binary()), ("names", pa.binary()), ("counts", pa.binary()), ("pieces", pa.binary()), ("sizes", pa.binary()))
@@ -74,10 +78,13 @@ class Encoder:
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
-        alone = np.array([len(w) > PART or ODD.search(w) is not None for w in words], bool)
-        usual = [w for w, a in zip(words, alone, strict=True) if not a]
-        flat = self.ids("".join(f" {w}" for w in usual)) if usual else np.zeros(0, np.uint16)
-        ends = np.cumsum([len(w.encode()) + 1 for w in usual]) if usual else np.zeros(0, np.int64)
+        alone = np.fromiter(map(len, words), np.int64, len(words)) > PART
+        if ODD.search("".join(words)):
+            alone |= np.array([ODD.search(w) is not None for w in words], bool)
+        usual = [w for w, a in zip(words, alone.tolist(), strict=True) if not a] if alone.any() else words
+        joined = " ".join(["", *usual])
+        flat = self.ids(joined)
+        ends = np.cumsum(np.fromiter(map(len, usual if joined.isascii() else map(str.encode, usual)), np.int64, len(usual)) + 1)
         at = np.cumsum(self.size[flat])
         last = np.searchsorted(at, ends)
         if not np.array_equal(at[last], ends):  # an id over two words
@@ -101,6 +108,19 @@ def encoder(path: str) -> Encoder:
     return memo["lm", path]
 
 
+def by_name(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names in order, and which of them are not the one before."""
+    order = np.argsort(a)
+    x, y = a[order], b[order]
+    new, other = np.ones(len(order), bool), y[1:] != y[:-1]
+    new[1:] = x[1:] != x[:-1]
+    if (other & ~new[1:]).any():  # equal first halves
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return order, new
+
+
 def held_out(doc_id: int | None) -> bool:
     """Kept from learning; a row without an id is."""
     return doc_id is None or zlib.crc32(b"%d" % doc_id) % 7 == 2
@@ -121,9 +141,7 @@ def chunk_rows(path: str):
                 held = np.array([held_out(i) for i in mine], bool)
                 starts, ends, first = c.words()
                 a, b = c.word_names(lower=True)
-                order = np.lexsort((b, a))
-                new = np.ones(len(order), bool)
-                new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+                order, new = by_name(a, b)
                 one = order[new]
                 number = np.empty(len(order), np.uint32)
                 number[order] = np.cumsum(new) - 1
@@ -188,9 +206,7 @@ def totals(table: pa.Table) -> pa.Table:
     counts = np.concatenate([np.frombuffer(e.as_py(), np.int64) for e in table.column("extra")])
     size = [len(x) for x in names]
     a, b = np.concatenate(names).T
-    order = np.lexsort((b, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    order, new = by_name(a, b)
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
     total = np.bincount(group, counts).astype(np.int64)
@@ -212,27 +228,121 @@ def id_counts(batches):
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], ["id", "n"])
 
 
+class Windows:
+    """The windows of a chunk's training texts; marks: a hash of each one's text's id and its number there."""
+
+    def __init__(self, c: Chunk):
+        self.x, self.first = c.tokens()
+        size = np.diff(self.first)
+        count = np.where(c.held, 0, -(-size // WINDOW))
+        self.text = np.repeat(np.arange(len(size)), count)
+        self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(count) - count, count)
+        self.marks = ta.mix(c.ids[self.text].view(np.uint64) * ta.ODD[0] + ta.mix(self.number.astype(np.uint64) + ta.ODD[1]))
+
+    def some(self, pick: np.ndarray) -> np.ndarray:
+        """Ids (n x WINDOW + 1); behind a text's end are more ends."""
+        if not len(pick):
+            return np.zeros((0, WINDOW + 1), np.uint16)
+        at = self.first[:-1][self.text[pick]] + self.number[pick] * WINDOW
+        to = at[:, None] + np.arange(WINDOW + 1)
+        return np.where(to < self.first[1:][self.text[pick]][:, None], self.x[np.minimum(to, len(self.x) - 1)], END).astype(np.uint16)
+
+
 def drawn(share: float):
-    """Windows of training texts, each with the chance `share` by a hash of its text's id and its number."""
+    """Windows of training texts, each with the chance `share` by its mark."""
 
     def run(batches):
         for row in chunktable.each(batches):
-            c = Chunk(row)
-            x, first = c.tokens()
-            size = np.diff(first)
-            count = np.where(c.held, 0, -(-size // WINDOW))
-            text = np.repeat(np.arange(len(size)), count)
-            number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-            h = ta.mix(c.ids[text].view(np.uint64) * ta.ODD[0] + ta.mix(number.astype(np.uint64) + ta.ODD[1]))
-            pick = np.flatnonzero(h.astype(np.float64) < share * 2.0**64)
-            at = first[:-1][text[pick]] + number[pick] * WINDOW
-            to = at[:, None] + np.arange(WINDOW + 1)
-            some = np.where(to < first[1:][text[pick]][:, None], x[np.minimum(to, len(x) - 1)], END).astype(np.uint16) if len(pick) else np.zeros((0, WINDOW + 1), np.uint16)
+            w = Windows(Chunk(row))
+            some = w.some(np.flatnonzero(w.marks.astype(np.float64) < share * 2.0**64))
             yield pa.record_batch([pa.array([some.tobytes()], pa.binary())], ["windows"])
 
     return run
 
 
+DEALT = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("windows", pa.binary())])
+
+
+def deal(n_shards: int):
+    """All windows of training texts for their shards.
+
+    A key is made of a window's mark and its ids: in the order of keys windows of equal keys
+    are equal, so a shard's order is that of the data, whichever chunks they came in.
+    """
+
+    def run(batches):
+        out = blobs.Rows(DEALT)
+        power = ta.mix(np.arange(WINDOW + 1, dtype=np.uint64)) | U(1)
+        for row in chunktable.each(batches):
+            w = Windows(Chunk(row))
+            some = w.some(np.arange(len(w.text)))
+            key = ta.mix(w.marks + ta.mix(some.astype(np.uint64) @ power))
+            order = np.argsort(key)
+            shard = ((key[order] >> U(32)) * U(n_shards) >> U(32)).astype(np.int64)
+            ends = np.searchsorted(shard, np.arange(n_shards + 1))
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                cut = order[ends[k] : ends[k + 1]]
+                out.add(k, key[cut].tobytes(), squeeze(some[cut]))
+            yield from out.ready()
+        yield out.flush()
+
+    return run
+
+
+LEARNED = "block int, shard int, weight binary, weights binary, given binary"
+
+
+def learn(start: Model):
+    """What a pass over one shard makes of the weights: in block -1 those of all ids, in others E and the distributions of some rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(k.as_py(), np.uint64) for k in table.column("keys")])
+        windows = np.concatenate([spread(w.as_py(), np.uint16) for w in table.column("windows")]).reshape(-1, WINDOW + 1)
+        p, read, given, _ = start.passed(windows[np.argsort(keys)])
+        shard, rest = table.column("shard")[0].as_py(), np.concatenate([p[name].ravel() for name in start.others()])
+        rows = [(-1, shard, np.array([len(windows)], np.int64).tobytes(), rest.tobytes(), b"")]
+        for low in range(0, len(read), MERGED):
+            of = slice(low, low + MERGED)
+            if read[of].any() or given[of].any():
+                rows.append((low // MERGED, shard, read[of].tobytes(), p["E"][of].tobytes(), given[of].astype(np.float32).tobytes()))
+        return pa.table({f.split()[0]: [r[k] for r in rows] for k, f in enumerate(LEARNED.split(", "))}, pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("weight", pa.binary()), ("weights", pa.binary()), ("given", pa.binary())]))
+
+    return run
+
+
+def merge(table: pa.Table) -> pa.Table:
+    """One block of all shards: weights by how many windows, or reads of a row, they come from; what is given is summed."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+    weight, total, given = 0, 0, 0
+    for r in rows:
+        n = np.frombuffer(r["weight"], np.int64)
+        weight = weight + n
+        total = total + np.frombuffer(r["weights"], np.float32).reshape(len(n), -1) * n[:, None].astype(np.float64)
+        given = given + np.frombuffer(r["given"], np.float32).astype(np.float64)
+    mean = (total / np.maximum(weight, 1)[:, None]).astype(np.float32)
+    return pa.table({"block": pa.array([rows[0]["block"]], pa.int32()), "shard": pa.array([None], pa.int32()), "weight": [weight.tobytes()], "weights": [mean.tobytes()], "given": [given.tobytes()]})
+
+
+def learned(table: DataFrame, start: Model, ids: float) -> Model:
+    """The model after a pass over all training windows of the table of chunks."""
+    n_shards = max(1, -(-int(ids) // SHARD))
+    dealt = table.select("ids", "held", "first", "number", "pieces", "sizes").mapInArrow(deal(n_shards), "shard int, keys binary, windows binary")
+    merged = dealt.groupBy("shard").applyInArrow(learn(start), LEARNED).groupBy("block").applyInArrow(merge, LEARNED)
+    rows = {r["block"]: r for r in merged.collect()}  # a row of numbers per id of the vocabulary at most
+    if not rows:
+        return start
+    got = {k: np.frombuffer(r["weight"], np.int64) for k, r in rows.items()}
+    read, e, given = np.zeros(len(start.T), np.int64), start.p["E"].copy(), np.zeros(start.T.shape)
+    for k, r in rows.items():
+        if k >= 0:
+            of = slice(k * MERGED, k * MERGED + len(got[k]))
+            read[of] = got[k]
+            some = np.frombuffer(r["weights"], np.float32).reshape(len(got[k]), -1)
+            e[of] = np.where(got[k][:, None] > 0, some, e[of])
+            given[of] = np.frombuffer(r["given"]).reshape(len(got[k]), -1)
+    return start.after(e, np.frombuffer(rows[-1]["weights"], np.float32), given)
+
+
 def scored(model: Model, tokens: int, types: int, ends: int):
     """doc_id, held_out, n_tokens, n_known, base_score and score of the texts of each chunk.
 
@@ -267,8 +377,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     Rows whose crc32 of the id is 2 modulo 7 are held out, and so are rows without an id.
     base_score adds log10((c + 1) / (N + V + 1)) over words and end, with counts of the whole
     training part.  score is the log10 probability of the text's subword ids and its end
-    under the model, whose weights come from about `trained` ids, in windows drawn by hash
-    from all training texts.  Null and empty text: the end alone.  Repeated rows count again
+    under the model, which learns from all windows of training texts; its start comes from
+    about `trained` ids, in windows drawn by hash.  Null and empty text: the end alone.  Repeated rows count again
     in learning and are scored alike.  A very long text, or one long word, is a chunk of its
     own: one task holds its ids, and scores it whole.  Without training rows all words are
     unknown and all ids equally likely.  Other columns are not read.
@@ -291,7 +401,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     windows = table.select("ids", "held", "first", "number", "pieces", "sizes").mapInArrow(drawn(share), "windows binary").collect()
     some = np.frombuffer(b"".join(r["windows"] for r in windows), np.uint16).reshape(-1, WINDOW + 1)
     some = some[np.lexsort(some.T)]  # the same windows in the same order, whichever tasks found them
-    model = Model(seen).train(some)
+    model = learned(table, Model(seen).train(some), seen.sum())
     per = replies.where("cid IS NOT NULL").groupBy("cid").agg(F.collect_list(F.struct("bucket", "bits")).alias("totals"))
     joined = table.drop("counts", "names").join(per.hint("merge"), "cid", "left")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -151,3 +151,43 @@ def test_tokens_of_a_chunk_follow_their_texts(spark):
             text = x[first[k] : first[k + 1]]
             assert text[0] == lm_scoring.BEGIN
             assert e.plain.decode(text[1:].tolist()) == "".join(f" {w}" for w in words(lower(dict((q[0], q[1]) for q in rows)[d])))
+
+
+def ordered_docs(spark, backward, parts):
+    """Training texts that count on, or back; texts 1 and 2 (ids of none of them) count on."""
+    ids = [d for d in range(100, 5000) if zlib.crc32(str(d).encode()) % 7 != 2][:1500]
+    names = words("zero one two three four five six seven eight nine")
+    rows = []
+    for d in ids:
+        some = [names[(d + k) % 10] for k in range(62)]
+        rows.append((d, " ".join(reversed(some) if backward else some), None, None, None))
+    held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2)
+    return held, spark.createDataFrame([*rows, (held, " ".join(names * 6), None, None, None)], SCHEMA).repartition(parts)
+
+
+def test_windows_that_no_draw_took_teach_as_well(spark):
+    """Both corpora have the same words; only their order, in windows of which none is drawn, tells them apart."""
+    got = []
+    for backward in (False, True):
+        held, docs = ordered_docs(spark, backward, 3)
+        got += [r["score"] for r in lm_scoring.lm_scores(docs, trained=0).collect() if r["doc_id"] == held]
+    assert got[0] > got[1] + 1
+
+
+def test_what_is_learned_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD", 30_000)
+    got = []
+    for parts in (1, 5):
+        _, docs = ordered_docs(spark, False, parts)
+        got.append({r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs, trained=5_000).collect()})
+    assert got[0].keys() == got[1].keys() and all(math.isclose(v, got[1][k], rel_tol=1e-4) for k, v in got[0].items())
+
+
+def test_a_pass_counts_every_place():
+    model, flat = small_model(300)
+    p, read, given, told = model.passed(flat)
+    assert read.sum() == flat[:, :-1].size and np.allclose(given.sum(1), np.bincount(model.rows[flat[:, 1:]].ravel(), minlength=len(given)), rtol=1e-4)
+    rest = np.concatenate([p[name].ravel() for name in model.others()])
+    after = model.after(p["E"], rest, given)
+    assert all((after.p[name] == p[name]).all() for name in p)
+    assert after.passed(flat)[3] > told
