@@ -402,6 +402,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     some = np.frombuffer(b"".join(r["windows"] for r in windows), np.uint16).reshape(-1, WINDOW + 1)
     some = some[np.lexsort(some.T)]  # the same windows in the same order, whichever tasks found them
     model = learned(table, Model(seen).train(some), seen.sum())
+    del sent
+    store.release(docs.sparkSession)  # shuffled windows go before chunks are shuffled
     per = replies.where("cid IS NOT NULL").groupBy("cid").agg(F.collect_list(F.struct("bucket", "bits")).alias("totals"))
     joined = table.drop("counts", "names").join(per.hint("merge"), "cid", "left")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
