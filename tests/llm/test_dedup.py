@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultlens.llm import jaccard_join, keybits, line_dedup, quality_rules, substring_dedup
+from faultlens.llm import jaccard_join, keybits, line_dedup, quality_rules, store, substring_dedup
 from faultlens.llm import textarrays as ta
 
 from .helpers import SCHEMA, cut_lines, cut_windows, edge_docs, edge_rows, link_groups, passage, sha, words
@@ -258,3 +259,38 @@ def test_a_block_counts_exactly_and_gives_no_more_links_than_it_joins(monkeypatc
         root = [a if k == b else k for k in root]
     linked = [(i, j) for i in range(90) for j in range(i) if jaccard_join.linked_sets(sets[i], sets[j], 80, 100)]
     assert len(linked) > 1000 and all(root[i] == root[j] for i, j in linked)
+
+
+def test_a_block_of_near_copies_takes_little_memory(monkeypatch):
+    """Pairs of a large group are worked on some rows at a time: 3,000 guests and 5,000 others, with links and without."""
+    r = np.random.default_rng(1)
+    rows, base = [], r.integers(0, 1 << 63, 60).astype(np.uint64)
+    for k in range(8000):
+        own = base.copy()
+        own[r.choice(60, 8, False)] = r.integers(0, 1 << 63, 8).astype(np.uint64)
+        own.sort()
+        rows.append({"guest": k < 3000, "upper": False, "main": k >= 3000, "class": b"%05d" % k, "root": b"%05d" % k, "size": 60, "items": own.tobytes()})
+    rows[0]["items"] = rows[7000]["items"]
+    table = pa.Table.from_pylist(rows)
+    got = []
+    for cells in (jaccard_join.CELLS, 1 << 40):
+        monkeypatch.setattr(jaccard_join, "CELLS", cells)
+        tracemalloc.start()
+        found = jaccard_join.compare_blocks(90, 100)(table).to_pylist()
+        got.append((tracemalloc.get_traced_memory()[1] / 1e6, found))
+        tracemalloc.stop()
+    assert got[0][1] == got[1][1] == [{"a": b"00000", "b": b"07000"}]
+    assert got[0][0] < 90 < got[1][0]
+
+
+def test_the_pipeline_bounds_batches_but_keeps_what_the_session_says(spark):
+    key, before = store.ROWS_KEY, spark.conf.get(store.ROWS_KEY, None)
+    try:
+        spark.conf.unset(key)
+        store.bound_batches(spark)
+        assert spark.conf.get(key) == str(store.ROWS)
+        spark.conf.set(key, 77)
+        store.bound_batches(spark)
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
