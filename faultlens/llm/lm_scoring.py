@@ -36,6 +36,8 @@ END, BEGIN = IDS, IDS + 1
 PART, CHUNK, TRAINED = 64, 8 << 20, 1_200_000
 #: Ids of a shard of windows, about, and rows of the model that are merged at once.
 SHARD, MERGED = 8 << 20, 256
+#: Words whose ids a worker keeps, at most; most words of a chunk were in one before.
+KNOWN = 1 << 19
 #: White space of other kinds, at which the encoder's splits needn't be those of words.
 ODD = re.compile("[\x85\xa0  -     　]")
 FIELDS = (("ids", pa.binary()), ("held", pa.binary()), ("first", pa.binary()), ("number", pa.binary()), ("names", pa.binary()), ("counts", pa.binary()), ("pieces", pa.binary()), ("sizes", pa.binary()))
@@ -68,6 +70,7 @@ class Encoder:
         self.plain = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(IDS, np.int64)
         self.size[list(ranks.values())] = [len(b) for b in ranks]
+        self.names, self.begin, self.length, self.flat = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16)
 
     def ids(self, text: str) -> np.ndarray:
         return self.plain.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
@@ -101,6 +104,27 @@ class Encoder:
         return out, counts
 
 
+    def named(self, names: np.ndarray, text) -> tuple[np.ndarray, np.ndarray]:
+        """Like words(), of distinct words by their names (n x 2, in order); text: the words at some of these places."""
+        at = np.searchsorted(self.names[:, 0], names[:, 0])
+        hit = np.zeros(len(names), bool)
+        inside = np.flatnonzero(at < len(self.names))
+        hit[inside] = (self.names[at[inside]] == names[inside]).all(1)
+        new = np.flatnonzero(~hit)
+        fresh, size = self.words(text(new))
+        sizes = np.empty(len(names), np.int64)
+        sizes[new], sizes[hit] = size, self.length[at[hit]]
+        old = sizes[hit]
+        out, theirs = np.empty(sizes.sum(), np.uint16), np.repeat(hit, sizes)
+        out[~theirs], out[theirs] = fresh, self.flat[np.arange(old.sum()) + np.repeat(self.begin[at[hit]] - (np.cumsum(old) - old), old)]
+        keep = new[: max(0, KNOWN - len(self.names))]
+        size = size[: len(keep)]
+        self.names, self.length = np.insert(self.names, at[keep], names[keep], 0), np.insert(self.length, at[keep], size)
+        self.begin = np.insert(self.begin, at[keep], len(self.flat) + np.cumsum(size) - size)
+        self.flat = np.concatenate([self.flat, fresh[: size.sum()]])
+        return out, sizes
+
+
 def encoder(path: str) -> Encoder:
     memo = ta.process_memo()
     if ("lm", path) not in memo:
@@ -147,8 +171,8 @@ def chunk_rows(path: str):
                 number[order] = np.cumsum(new) - 1
                 counts = np.bincount(number[~held[ta.rows_of(first)]], minlength=len(one)).astype(np.int64)
                 raw = memoryview(ta.lowered(c.data))
-                pieces, sizes = encoder(path).words([str(raw[s:e], "utf-8", "replace") for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
                 names = np.stack([a[one], b[one]], axis=1)
+                pieces, sizes = encoder(path).named(names, lambda k: [str(raw[s:e], "utf-8", "replace") for s, e in zip(starts[one[k]].tolist(), ends[one[k]].tolist(), strict=True)])  # noqa: B023
                 known = np.array([0 if i is None else i for i in mine], np.int64)
                 flags = held.astype(np.uint8) | (np.array([i is None for i in mine], np.uint8) << 1)
                 out.add(cid, known.tobytes(), flags.tobytes(), first.astype(np.int64).tobytes(), squeeze(number), names.tobytes(), squeeze(counts), squeeze(pieces), squeeze(sizes.astype(np.uint32)))

@@ -191,3 +191,50 @@ def test_a_pass_counts_every_place():
     after = model.after(p["E"], rest, given)
     assert all((after.p[name] == p[name]).all() for name in p)
     assert after.passed(flat)[3] > told
+
+
+@pytest.mark.parametrize("n", [1, 64, 150])
+def test_gradients_in_blocks_are_the_plain_ones(n):
+    """A batch in blocks, its ids looked up once."""
+    model, flat = small_model(300)
+    rows = model.rows[flat[:n]]
+    x, y = rows[:, :-1], rows[:, 1:]
+    f = model.forward(x)
+    joint = f["pi"] * model.T[y]
+    post = joint / joint.sum(2, keepdims=True)
+    want = model.gradients(x, f, (f["pi"] - post) / np.float32(x.size))
+    ones, at = attention.Places(len(model.T)).of(rows)
+    own = np.concatenate([model.p["E"][ones], np.ones((len(ones), 1), np.float32)], axis=1)
+    g, given, told = attention.Gradients(150).of(model, own, at, rows)
+    e = np.zeros_like(want["E"])
+    e[ones] = g.pop("E")
+    for name, v in {**g, "E": e}.items():
+        assert np.allclose(v, want[name], rtol=1e-3, atol=1e-4 * np.abs(want[name]).max()), name
+    assert np.allclose(given, attention.sums_of_rows(y.ravel(), post.reshape(y.size, -1), len(model.T))[ones], rtol=1e-3, atol=1e-4)
+    assert math.isclose(told, np.log10(joint.sum(2)).sum(dtype=np.float64), rel_tol=1e-4)
+
+
+@pytest.mark.parametrize("size", [1, 31, 33, 5000])
+def test_sums_by_number(size):
+    r = np.random.default_rng(size)
+    ones, at = np.unique(r.zipf(1.4, size) % 300, return_inverse=True)
+    values = r.normal(size=(size + 1, 7)).astype(np.float32)
+    which = r.permutation(size + 1)[:size]
+    (got,) = attention.sums_by(at.astype(np.uint16), len(ones), (values, which, np.zeros((size, 7), np.float32)))
+    assert np.allclose(got, attention.sums_of_rows(at, values[which], len(ones)), atol=1e-3)
+
+
+@pytest.mark.parametrize("known", [0, 4, 1000])
+def test_known_words_are_not_encoded_again(monkeypatch, known):
+    monkeypatch.setattr(lm_scoring, "KNOWN", known)
+    e, fresh = lm_scoring.Encoder(lm_scoring.ranks_path()), []
+    plain = e.words
+    monkeypatch.setattr(e, "words", lambda w: (fresh.append(len(w)), plain(w))[1])
+    some = ["the", "naïve", "x" * 500, "日本語", "'s", "123abc", "...", "\x1c", "é" * 65]
+    for chosen in (range(0, 9, 2), range(9), range(8, -1, -3), range(0)):
+        k = sorted(chosen)
+        names = np.array([(i // 2, i) for i in k], np.uint64).reshape(-1, 2)  # first halves may be equal
+        ids, sizes = e.named(names, lambda at, k=k: [some[k[i]] for i in at])
+        want, counts = plain([some[i] for i in k])
+        assert ids.tolist() == want.tolist() and sizes.tolist() == counts.tolist()
+    assert len(e.names) <= known and (known < 9 or sum(fresh) < 5 + 9 + 3)
